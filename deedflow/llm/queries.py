@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deedflow.llm.common import table
 from deedflow.llm.exact_dedup import exact_dedup
+from deedflow.llm.pii import find_personal
+from deedflow.llm.secret_scan import find_secrets
 from deedflow.llm.token_counts import token_counts
 
 #: The vocabulary that op10 counts with, by its name in the public collection.
 VOCABULARY = "piece_bpe_32k.model"
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -29,6 +35,10 @@ FROM d JOIN g USING (sha)
 """
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deedflow.llm.common import table
 from deedflow.llm.exact_dedup import exact_dedup
 from deedflow.llm.pii import find_personal
 from deedflow.llm.secret_scan import find_secrets
+from deedflow.llm.simhash import simhash_groups
+from deedflow.llm.substring_dedup import substring_dedup
 from deedflow.llm.token_counts import token_counts
 
 #: The vocabulary that op10 counts with, by its name in the public collection.
@@ -39,6 +42,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op8_simhash, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

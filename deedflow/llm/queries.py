@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedflow.llm.common import table
+from deedflow.llm.decontaminate import decontaminate
 from deedflow.llm.exact_dedup import exact_dedup
+from deedflow.llm.line_dedup import LEAST, RATIO, line_dedup
 from deedflow.llm.pii import find_personal
 from deedflow.llm.secret_scan import find_secrets
 from deedflow.llm.simhash import simhash_groups
@@ -42,6 +44,42 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"), host="source")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+held AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct([x FOR x IN ls IF trim(x) <> ''])) AS line FROM d) GROUP BY ALL),
+total AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+bad AS (SELECT h.source, list(line) AS lines FROM held h JOIN total t ON h.source IS NOT DISTINCT FROM t.source WHERE c >= {LEAST} AND c > n * {RATIO}::DOUBLE GROUP BY h.source),
+k AS (SELECT doc_id, ls, [x FOR x IN ls IF NOT list_contains(coalesce(lines, []), x)] AS kept FROM d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"[x FOR x IN regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']"
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') AS k FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, s, dw.n FROM dw JOIN win ON dw.n = win.n AND dw.k = win.k),
+places AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS c, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.c, 0)::BIGINT AS n_hit, coalesce(i.c, 0)::BIGINT AS n_items, sha256(coalesce(i.l, '')) AS items_sha256, coalesce(p.c, 0) > 0 AS contaminated
+FROM d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -58,8 +96,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op8_simhash, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op4_line_dedup, op7_decontaminate, op8_simhash, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_decontaminate": OP7_SQL}

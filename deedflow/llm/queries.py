@@ -14,7 +14,9 @@ from deedflow.llm.common import table
 from deedflow.llm.decontaminate import decontaminate
 from deedflow.llm.exact_dedup import exact_dedup
 from deedflow.llm.line_dedup import LEAST, RATIO, line_dedup
+from deedflow.llm.mixing import mix, taken
 from deedflow.llm.pii import find_personal
+from deedflow.llm.quality import learn, score
 from deedflow.llm.secret_scan import find_secrets
 from deedflow.llm.simhash import simhash_groups
 from deedflow.llm.substring_dedup import substring_dedup
@@ -59,6 +61,15 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dr
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(table(spark, sf_dir, "documents")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -96,7 +107,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op4_line_dedup, op7_decontaminate, op8_simhash, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_personal_data, op2_exact_dedup, op3_secrets, op4_line_dedup, op5_quality, op6_mixing, op7_decontaminate, op8_simhash, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,11 +41,15 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
     return held.join(small(totals), "host").where(F.col("c") > F.col("total") * F.lit(ratio)).select("host", "line")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", ratio: float = RATIO, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of docs: id, n_lines, n_dropped, kept (the lines left, joined by line feeds)."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", ratio: float = RATIO, least: int = LEAST, carry: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of docs: id, n_lines, n_dropped, kept (the lines left, joined by line feeds).
+
+    With carry also a struct, row, of all of the row's columns.
+    """
     key = F.col(host) if isinstance(host, str) else host
     # Null becomes a value of its own, so that plain equality joins it.
-    pages = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")).alias("host"))
+    row = F.struct(*docs.columns) if carry else F.lit(None)
+    pages = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")).alias("host"), row.alias("row"))
     listed = cut(boilerplate(pages, ratio, least))
     none = F.array().cast("array<bigint>")
     if listed.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -56,6 +60,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = lines.join(listed, ["host", "line"]).groupBy("id", "host").agg(F.collect_set("line").alias("dropped")).withColumnRenamed("id", "i").withColumnRenamed("host", "h")
         marked = pages.join(own, F.col("id").eqNullSafe(F.col("i")) & (F.col("host") == F.col("h")), "left")
     dropped = F.coalesce("dropped", none)
-    kept = marked.select("id", _lines(F.col("t")).alias("lines"), dropped.alias("dropped"))
-    kept = kept.select("id", F.size("lines").cast("long").alias("n_lines"), F.when(F.size("dropped") == 0, F.col("lines")).otherwise(F.filter("lines", _stays(F.col("dropped")))).alias("left"))
-    return kept.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"), F.array_join("left", "\n").alias("kept"))
+    kept = marked.select("id", "row", _lines(F.col("t")).alias("lines"), dropped.alias("dropped"))
+    kept = kept.select("id", "row", F.size("lines").cast("long").alias("n_lines"), F.when(F.size("dropped") == 0, F.col("lines")).otherwise(F.filter("lines", _stays(F.col("dropped")))).alias("left"))
+    return kept.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"), F.array_join("left", "\n").alias("kept"), *(["row"] if carry else []))

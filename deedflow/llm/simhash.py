@@ -16,7 +16,7 @@ words than a shingle are one shingle; rows that repeat an id repeat its answer;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,16 @@ BLOCK = 1024
 _PAIRS = np.uint64(0x5555555555555555)
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """SimHash of a text's shingles; of its different words if shingle is 0."""
     if not words:
         return 0
-    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    n = max(1, len(words) - shingle + 1)
+    if shingle == 0:
+        parts = set(words)
+        n = len(parts)
+    else:
+        parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+        n = max(1, len(words) - shingle + 1)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, n)
     octets = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     if n < 256:
@@ -48,17 +52,21 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingles: list[int]) -> DataFrame:
+    """(id, fp0, fp1, ...): a fingerprint as a signed long for each shingle length."""
     shown = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = shown.schema["id"].dataType.simpleString()
+    names = [f"fp{k}" for k in range(len(shingles))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.zeros((len(shingles), b.num_rows), np.uint64)
+            for row, text in enumerate(b.column(1).to_pylist()):
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                fps[:, row] = [fingerprint(words, n) for n in shingles]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f.view(np.int64)) for f in fps)], ["id", *names])
 
-    return map_text(shown, run, f"id {kind}, fp long")
+    return map_text(shown, run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -74,108 +82,129 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(odd) + 2 * np.bitwise_count(two)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint in the cell of each half (own), and in the cells one step above (not own)."""
-    for b in batches:
-        whole = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(whole), 8192):
-            fp = whole[at : at + 8192]
-            packed = embed(fp)
-            keys, owners, own = [], [], []
-            for half in range(2):
-                cell = (packed >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-                tag = np.uint64(half) << np.uint64(32)
-                keys.append(cell | tag)
-                owners.append(fp)
-                own.append(np.ones(len(fp), bool))
-                for k in range(16):
-                    up = ((cell >> np.uint64(2 * k)) & np.uint64(3)) < 2
-                    keys.append((cell[up] + (np.uint64(1) << np.uint64(2 * k))) | tag)
-                    owners.append(fp[up])
-                    own.append(np.zeros(int(up.sum()), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(own))], ["cell", "fp", "own"])
-
-
-def forest(own: np.ndarray, up: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (own with own, own with up) within radius in one cell, thinned to what keeps its points connected."""
-    points = np.concatenate([own, up])
-    packed, root = embed(points), np.arange(len(points))
-    out: list[tuple[int, int]] = []
+def _half_keys(packed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Cells of each half, then the cells one step above; with a mask of the points that have that cell, and are not its own."""
+    for half in range(2):
+        cell, tag = (packed >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF), np.uint64(half) << np.uint64(32)
+        yield cell | tag, None
+        for k in range(16):
+            up = ((cell >> np.uint64(2 * k)) & np.uint64(3)) < 2
+            yield (cell[up] + (np.uint64(1) << np.uint64(2 * k))) | tag, up
+
+
+def _block_keys(packed: np.ndarray, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Cells of every two of `blocks` blocks of segments."""
+    edges = [round(64 * k / blocks / 2) * 2 for k in range(blocks + 1)]
+    field = [((1 << (z - a)) - 1) << a for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    for no, (a, b) in enumerate(combinations(range(blocks), 2)):
+        with np.errstate(over="ignore"):
+            mixed = ((packed & np.uint64(field[a] | field[b])) + np.uint64(no + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield mixed ^ (mixed >> np.uint64(29)), None
+
+
+def _cells(blocks: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, fp, other) of each point in its cells (own), and in the cells one step above (not own)."""
+        for b in batches:
+            whole = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            for at in range(0, b.num_rows, 8192):
+                cols = [c[at : at + 8192] for c in whole]
+                packed = embed(cols[1].view(np.uint64))
+                parts = []
+                for keys, up in _half_keys(packed) if blocks is None else _block_keys(packed, blocks):
+                    own = cols if up is None else [c[up] for c in cols]
+                    parts.append((keys.view(np.int64), np.full(len(keys), up is None), *own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["cell", "own", "node", "fp", "other"])
+
+    return run
+
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def forest(fp: np.ndarray, other: np.ndarray, n_own: int, radius: int, other_radius: int) -> np.ndarray:
+    """Links (index pairs) of one cell, thinned to what keeps its points connected. The first n_own points are its own.
 
-    for i in range(0, len(own), BLOCK):
-        for j in range(i, len(points), BLOCK):
-            left, right = slice(i, min(i + BLOCK, len(own))), slice(j, j + BLOCK)
+    Blocks of points are compared at once. Points that earlier blocks have joined are not linked again, and two blocks
+    that lie in one component are not compared at all, so dense cells of copies stay cheap.
+    """
+    packed, label = embed(fp), np.arange(len(fp))
+    out: list[tuple[int, int]] = []
+    for i in range(0, n_own, BLOCK):
+        left = slice(i, min(i + BLOCK, n_own))
+        for j in range(i, len(fp), BLOCK):
+            right = slice(j, j + BLOCK)
+            if (label[left] == label[j]).all() and (label[right] == label[j]).all():
+                continue
+            # The embeddings' distance is a lower bound; what passes is verified bit by bit.
             near = _apart(packed[left, None], packed[None, right]) <= radius
             x, y = np.nonzero(near)
-            x, y = x + i, y + j
-            keep = (x < y) & (np.bitwise_count(points[x] ^ points[y]) <= radius)
-            for p, q in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-                rp, rq = find(p), find(q)
-                if rp != rq:
-                    root[max(rp, rq)] = min(rp, rq)
-                    out.append((p, q))
-    if not out:
-        return points[:0], points[:0]
-    p, q = np.array(out).T
-    return points[p], points[q]
-
-
-def _links(radius: int):
+            good = (np.bitwise_count(fp[left][x] ^ fp[right][y]) <= radius) & (np.bitwise_count(other[left][x] ^ other[right][y]) <= other_radius)
+            near[x[~good], y[~good]] = False
+            while True:
+                fresh = near & (label[left][:, None] != label[right][None, :])
+                rows = np.flatnonzero(fresh.any(1))
+                if not len(rows):
+                    break
+                for p, q in zip((rows + i).tolist(), (fresh[rows].argmax(1) + j).tolist(), strict=True):
+                    lo, hi = sorted((label[p], label[q]))
+                    if lo != hi:
+                        label[label == hi] = lo
+                        out.append((p, q))
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def _links(radius: int, other_radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by cell, own first; a cell may span batches."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
-        def done(cell: np.ndarray, fp: np.ndarray, own: np.ndarray):
-            if not len(cell):
-                return
+        def done():
+            cell, own, node, fp, other = (np.concatenate(c) for c in zip(*held, strict=True))
             start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             end = np.r_[start[1:], len(cell)]
-            a, b = [], []
-            for s, e in zip(start[(m := (end - start > 1) & own[start])].tolist(), end[m].tolist(), strict=True):
-                x, y = forest(fp[s:e][own[s:e]], fp[s:e][~own[s:e]], radius)
-                a.append(x)
-                b.append(y)
-            if a and sum(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
+            links = []
+            # Cells of one point, and those in which no point is at home, hold no pair.
+            some = (end - start > 1) & own[start]
+            for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True):
+                links.append(forest(fp[s:e].view(np.uint64), other[s:e].view(np.uint64), int(own[s:e].sum()), radius, other_radius) + s)
+            if links and len(pairs := np.concatenate(links)):
+                yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if cols[0][0] != cols[0][-1]:  # the last cell of the batch may go on in the next one
-                last = int(np.searchsorted(cols[0], cols[0][-1]))
-                held.append(tuple(c[:last] for c in cols))
-                yield from done(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                held = [tuple(c[last:] for c in cols)]
-            elif held and held[-1][0][-1] != cols[0][0]:
-                yield from done(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                held = [cols]
-            else:
-                held.append(cols)
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell of the batch may go on in the next one
+            if held and (last or held[-1][0][-1] != cols[0][0]):
+                held.append([c[:last] for c in cols])
+                yield from done()
+                held = []
+            elif last:
+                held = [[c[:last] for c in cols]]
+                yield from done()
+                held = []
+            held.append([c[last:] for c in cols])
         if held:
-            yield from done(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from done()
 
     return run
 
 
+def _linked(points: DataFrame, radius: int, other_radius: int, blocks: int | None) -> DataFrame:
+    cells = points.mapInArrow(_cells(blocks), "cell long, own boolean, node long, fp long, other long")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", F.col("own").desc())
+    return dealt.mapInArrow(_links(radius, other_radius), "a long, b long")
+
+
 def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect the fingerprints of column fp which lie within radius bits (at most 3) of each other."""
     if not 0 <= radius <= 3:
-        raise ValueError("the grid join finds every pair only up to 3 bits")
-    cells = distinct.select("fp").mapInArrow(_cells, "cell long, fp long, own boolean")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", F.col("own").desc())
-    return dealt.mapInArrow(_links(radius), "a long, b long")
+        raise ValueError("cells of halves hold every pair only up to 3 bits")
+    return _linked(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius, 0, None)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (least id linked to it, itself included)."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    fps = cut(fingerprints(docs, id_col, text_col, [shingle]).withColumnRenamed("fp0", "fp"))
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(linked(classes, radius), "a", "b")
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -184,3 +213,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = classes.join(heads, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10, shingle_radius: int = 13, blocks: int = 8) -> DataFrame:
+    """(id, component_id) of documents that are near copies: of a shingle similarity of 0.8 or more, by SimHash.
+
+    A similarity of 0.8 over five-word shingles is about 10 of 64 bits, too wide for cells of halves. The grid is
+    therefore laid over a fingerprint of the documents' different words, which the same edits move less: cells are any
+    two of `blocks` blocks of segments, which hold every pair within blocks - 2 bits and most beyond. A pair is a near
+    copy if its word fingerprints lie within `radius` and its shingle fingerprints within `shingle_radius` bits.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col, [0, shingle]))
+    classes = cut(fps.groupBy("fp0", "fp1").agg(F.min("id").cast("long").alias("node")))
+    roots = components(_linked(classes.where(F.col("node").isNotNull()).select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("other")), radius, shingle_radius, blocks), "a", "b")
+    classes = classes.join(roots, "node", "left").select("fp0", "fp1", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(classes, ["fp0", "fp1"]).select(F.col("id").alias(id_col), "component_id")

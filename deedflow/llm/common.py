@@ -44,9 +44,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; fn sees slices of at most TEXT_ROWS rows, so long texts never meet in one large batch."""
-    rows = TEXT_ROWS
+def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = TEXT_ROWS) -> DataFrame:
+    """mapInArrow; fn sees slices of at most `rows` rows, so long texts never meet in one large batch."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cuts():

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 OK = ("000", "00")
@@ -32,7 +33,7 @@ def parse_pages(pages: DataFrame, fields: list[str], xml: str = "xml") -> DataFr
     error = F.coalesce(gateway_error(doc), F.when(F.xpath_boolean(doc, F.lit("/OpenAPI_ServiceResponse")), "UNKNOWN"), F.when(~code.isin(*OK), F.when(code == "", "UNKNOWN").otherwise(code)))
     df = pages.withColumns({"error": error, "total_count": F.xpath_int(doc, F.lit("//body/totalCount")), "page_no": F.xpath_int(doc, F.lit("//body/pageNo"))})
     # Items are parsed in Arrow batches: xpath cannot keep absent fields of an item apart from blank ones.
-    return df.mapInPandas(_items_of(fields, xml), df.schema.add("items", "array<map<string,string>>").add("parsed", "boolean"))
+    return df.mapInPandas(_items_of(fields, xml), T.StructType([*df.schema.fields, T.StructField("items", T.ArrayType(T.MapType(T.StringType(), T.StringType()))), T.StructField("parsed", T.BooleanType())]))
 
 
 def _items_of(fields: list[str], xml: str) -> Callable:

@@ -103,3 +103,8 @@ def version_mismatch(bronze: DataFrame, versions: dict[int, list[str]], row: str
     allowed = F.coalesce(*(F.when(F.col("schema_ver") == v, F.array(*map(F.lit, f))) for v, f in versions.items()))
     bad = F.coalesce(F.size(F.array_except(F.map_keys(row), allowed)) > 0, F.lit(True))
     return _row(bronze, "row_matches_version", F.count_if(bad))
+
+
+def verify_month(history: DataFrame, stage: DataFrame, expected: DataFrame, fetch_seq: DataFrame, key: str) -> DataFrame:
+    """The blocking checks of a month again, from stored tables, without merging."""
+    return post_merge(history, stage, expected, fetch_seq, key).where(F.col("check").isin("dup_current", "stage_as_observed"))

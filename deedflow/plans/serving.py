@@ -279,3 +279,27 @@ def feature_collection(shapes: DataFrame, key: str = "sgg_cd", geometry: str = "
     """(key, feature): a GeoJSON feature for each shape; the collection is their list by code (Q46)."""
     props = F.struct(*(c for c in shapes.columns if c != geometry))
     return shapes.select(key, F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.col(geometry).alias("geometry"))).alias("feature")).orderBy(key)
+
+
+def published(df: DataFrame, columns: dict[str, object]) -> DataFrame:
+    """The published projection: the named columns in order, nulls replaced where a default is given (V3)."""
+    return df.select(*(F.col(c) if default is None else F.coalesce(c, F.lit(default)).alias(c) for c, default in columns.items()))
+
+
+def latest_quote(marts: DataFrame, key: str, today: str, settle_days: int = 30) -> DataFrame:
+    """Each key's latest settled month with its median and the change against a year before."""
+    settled = F.date_add(F.last_day(F.to_date(F.concat("deal_ym", F.lit("01")), "yyyyMMdd")), settle_days) < F.lit(today).cast("date")
+    rows = with_changes(marts.where(settled), key, {"median_ppm2": 0})
+    last = F.max_by(F.struct("deal_ym", "median_ppm2", "median_ppm2_yoy"), "deal_ym")
+    return rows.groupBy(key).agg(last.alias("q")).select(key, "q.*")
+
+
+def trailing(marts: DataFrame, key: str, n: int = 12) -> DataFrame:
+    """Each key's trades and priced sample over its last n rows."""
+    return last_points(marts, key, n).groupBy(key).agg(F.sum("trades").alias("trades"), F.sum("priced").alias("priced"))
+
+
+def scope_of(ident: Column, rent: bool = False) -> tuple[Column, Column]:
+    """The district and month that an id names, as partition predicates for its history."""
+    at = 2 if rent else 1
+    return F.substring(ident, at, 5), F.substring(ident, at + 6, 6)

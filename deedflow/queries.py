@@ -737,3 +737,42 @@ def nearest_ranks(spark, d):
     """O7"""
     h = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("g"), "l_linenumber").agg(F.count(F.lit(1)).alias("w"))
     return nearest_rank(h, ["g"], "l_linenumber", "w", {"p25": 0.25, "p75": 0.75})
+
+
+@query(f"""{SERVED}, m AS (SELECT *, substr(deal_ym, 1, 4)::INT * 12 + substr(deal_ym, 5, 2)::INT AS no FROM ({_month_sql("served", "priced", "sgg_cd")}) WHERE deal_ym <= '200108')
+SELECT a.sgg_cd, a.deal_ym, a.median_ppm2, round((a.median_ppm2 - y.median_ppm2) * 100.0::DOUBLE / nullif(y.median_ppm2, 0), 2) AS median_ppm2_yoy FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sgg_cd ORDER BY deal_ym DESC) = 1) a LEFT JOIN m y ON a.sgg_cd = y.sgg_cd AND y.no = a.no - 12""", "trade")
+def latest_quote(spark, d):
+    """W4, Q26"""
+    return serving.latest_quote(region_month(spark, d), "sgg_cd", "2001-10-05")
+
+
+@query(f"{SERVED}, m AS (SELECT * FROM ({_month_sql('served', 'priced', 'sgg_cd')}) QUALIFY row_number() OVER (PARTITION BY sgg_cd ORDER BY deal_ym DESC) <= 12) SELECT sgg_cd, sum(trades)::BIGINT AS trades, sum(priced)::BIGINT AS priced FROM m GROUP BY 1", "trade")
+def trailing_stats(spark, d):
+    """W4"""
+    return serving.trailing(region_month(spark, d), "sgg_cd")
+
+
+@query("SELECT trade_id, coalesce(floor, -1) AS floor, build_year, coalesce(cancel_date, DATE '1970-01-01') AS cancel_date FROM trade", "trade")
+def published_rows(spark, d):
+    """V3"""
+    import datetime as dt
+
+    return serving.published(view(spark, d, "trade"), {"trade_id": None, "floor": -1, "build_year": None, "cancel_date": dt.date(1970, 1, 1)})
+
+
+@query("""--with cur AS (SELECT trade_id, sgg_cd, complex_no FROM trade WHERE complex_no % 5 <> 3) SELECT 'dup_current' AS check_name, 0::BIGINT AS failed UNION ALL SELECT 'stage_as_observed', count(*) FILTER (a <> b) FROM (SELECT sgg_cd, count(*) FILTER (complex_no % 5 <> 3 AND sgg_cd <> '15023') AS a, count(*) AS b FROM trade GROUP BY 1)""", "trade")
+def month_verification(spark, d):
+    """M9, M10"""
+    history, stage, parts = _history(spark, d)
+    merged = scd2.merge_history(history, stage, parts, "trade_key", ["price_manwon"])
+    total = view(spark, d, "trade").groupBy("sgg_cd").agg(F.count(F.lit(1)).alias("total"))
+    return checks.verify_month(merged, stage, total, parts.select("sgg_cd", "fetch_seq"), "trade_key").select(F.col("check").alias("check_name"), "failed")
+
+
+@query("WITH m AS (SELECT concat(date_part('year', l_shipdate) * 100 + date_part('month', l_shipdate), '') AS deal_ym, max(l_shipdate) AS changed FROM lineitem GROUP BY 1) SELECT deal_ym, 'late' AS kind, 1440::BIGINT AS minutes FROM m")
+def publish_waits(spark, d):
+    """Minutes from a change to the publish that took it in"""
+    ym = F.date_format("l_shipdate", "yyyyMM")
+    m = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(ym.alias("deal_ym")).agg(F.max("l_shipdate").cast("timestamp").alias("changed_at"))
+    publishes = m.select("deal_ym", F.explode(F.array(F.col("changed_at") - F.expr("interval 5 days"), F.col("changed_at") + F.expr("interval 1 day"), F.col("changed_at") + F.expr("interval 9 days"))).alias("published_at"))
+    return quality.lag_rows(publishes, m).select("deal_ym", F.lit("late").alias("kind"), "minutes")

@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut, map_text
+from deedflow.llm.common import cut, map_text, small
 from deedflow.llm.components import components
 
 RADIUS = 3
 BLOCK = 1024
+#: Up to this many ids are broadcast, eight bytes each.
+NODES = 1_000_000
 _PAIRS = np.uint64(0x5555555555555555)
 
 
@@ -135,20 +137,21 @@ def forest(fp: np.ndarray, other: np.ndarray, n_own: int, radius: int, other_rad
             if (label[left] == label[j]).all() and (label[right] == label[j]).all():
                 continue
             # The embeddings' distance is a lower bound; what passes is verified bit by bit.
-            near = _apart(packed[left, None], packed[None, right]) <= radius
-            x, y = np.nonzero(near)
-            good = (np.bitwise_count(fp[left][x] ^ fp[right][y]) <= radius) & (np.bitwise_count(other[left][x] ^ other[right][y]) <= other_radius)
-            near[x[~good], y[~good]] = False
-            while True:
-                fresh = near & (label[left][:, None] != label[right][None, :])
-                rows = np.flatnonzero(fresh.any(1))
-                if not len(rows):
-                    break
-                for p, q in zip((rows + i).tolist(), (fresh[rows].argmax(1) + j).tolist(), strict=True):
-                    lo, hi = sorted((label[p], label[q]))
-                    if lo != hi:
-                        label[label == hi] = lo
-                        out.append((p, q))
+            x, y = np.nonzero(_apart(packed[left, None], packed[None, right]) <= radius)
+            x, y = x + i, y + j
+            apart = np.bitwise_count(other[x] ^ other[y])
+            good = (np.bitwise_count(fp[x] ^ fp[y]) <= radius) & (apart <= other_radius) & (x != y)
+            x, y, apart = x[good], y[good], apart[good]
+            # Nearest pairs first, so that points hang together by their closest links.
+            for step in np.unique(apart):
+                p, q = x[apart == step], y[apart == step]
+                while len(p := p[fresh := label[p] != label[q]]):
+                    q = q[fresh]
+                    for k in np.unique(p, return_index=True)[1].tolist():
+                        lo, hi = sorted((label[p[k]], label[q[k]]))
+                        if lo != hi:
+                            label[label == hi] = lo
+                            out.append((p[k], q[k]))
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
@@ -215,16 +218,64 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10, shingle_radius: int = 13, blocks: int = 8) -> DataFrame:
-    """(id, component_id) of documents that are near copies: of a shingle similarity of 0.8 or more, by SimHash.
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, s) of docs (id, t): the number of different shingles and their 32-bit hashes, sorted and packed."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for text in b.column(1).to_pylist():
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] * bool(words)
+                sets.append(np.unique(np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "s"])
+
+    return map_text(docs, run, f"id {kind}, n int, s binary")
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                keep.append(not either or both >= least * either)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) of ids of docs (id, t) whose shingle sets have a Jaccard similarity of `least` or more.
+
+    Only documents in a link are read; of them only packed sets are dealt out.
+    """
+    nodes = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = shingle_sets(docs.join(small(nodes, NODES), docs["id"] == F.col("node"), "left_semi").dropDuplicates(["id"]), shingle)
+    # A set holds at most 1 / least times as many shingles as one that similar.
+    left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("s").alias(f"s_{c}")) for c in "ab")
+    pairs = links.join(left, "a").join(right, "b").where((F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least))
+    return pairs.select("a", "b", "s_a", "s_b").mapInArrow(_similar(least), "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 10, shingle_radius: int = 14, blocks: int = 8) -> DataFrame:
+    """(id, component_id) of documents that are near copies: of a shingle similarity of `least` or more.
 
     A similarity of 0.8 over five-word shingles is about 10 of 64 bits, too wide for cells of halves. The grid is
     therefore laid over a fingerprint of the documents' different words, which the same edits move less: cells are any
-    two of `blocks` blocks of segments, which hold every pair within blocks - 2 bits and most beyond. A pair is a near
-    copy if its word fingerprints lie within `radius` and its shingle fingerprints within `shingle_radius` bits.
+    two of `blocks` blocks of segments, which hold every pair within blocks - 2 bits and most beyond. Pairs within
+    `radius` bits there and `shingle_radius` bits of the shingle fingerprint are candidates; of each cell those links
+    are kept that hang its points together by their nearest pairs, and they count if the shingle sets are as similar.
+    Rows with a null id are left alone.
     """
     fps = cut(fingerprints(docs, id_col, text_col, [0, shingle]))
     classes = cut(fps.groupBy("fp0", "fp1").agg(F.min("id").cast("long").alias("node")))
-    roots = components(_linked(classes.where(F.col("node").isNotNull()).select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("other")), radius, shingle_radius, blocks), "a", "b")
+    points = classes.where(F.col("node").isNotNull()).select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("other"))
+    links = cut(_linked(points, radius, shingle_radius, blocks).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    roots = components(similar_links(links, texts, shingle, least), "a", "b")
     classes = classes.join(roots, "node", "left").select("fp0", "fp1", F.coalesce("root", "node").alias("component_id"))
     return fps.join(classes, ["fp0", "fp1"]).select(F.col("id").alias(id_col), "component_id")

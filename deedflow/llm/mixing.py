@@ -172,7 +172,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def taken(mixed: Mix, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    times = mixed.slots.groupBy("no", "block").agg(F.count(F.lit(1)).alias("times"))
+    # The planner sees the few shard numbers that the slots come from and would broadcast them: they grow with the data.
+    times = mixed.slots.groupBy("no", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     words = mixed.pieces.join(times, ["no", "block"]).groupBy("no", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # Among documents that share a place all but the last are empty.
     out = mixed.sized.join(words, ["no", "at"], "left")
@@ -181,7 +182,7 @@ def taken(mixed: Mix, id_col: str = "doc_id") -> DataFrame:
 
 def mixed_texts(mixed: Mix, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, slot, text): the words of every slot's block, joined by one space. Ids must be unique."""
-    refs = mixed.slots.join(mixed.pieces, ["no", "block"]).join(mixed.sized.where("size > 0").select("no", "at", "id"), ["no", "at"])
+    refs = mixed.slots.hint("merge").join(mixed.pieces, ["no", "block"]).join(mixed.sized.where("size > 0").select("no", "at", "id"), ["no", "at"])
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
     parts = refs.join(docs.select(F.col(id_col).alias("id"), words.alias("w")), "id").select("shard", "slot", "at", F.array_join(F.slice("w", (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " ").alias("part"))
     whole = F.array_sort(F.collect_list(F.struct("at", "part")))

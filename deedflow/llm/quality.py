@@ -32,7 +32,7 @@ REPEAT = TABLE - 1
 DIM = 10
 GRAMS = (2, 3, 4)
 THRESHOLD = 0.7
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def held_out(id_col: str) -> Column:

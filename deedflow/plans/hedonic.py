@@ -7,8 +7,11 @@ categories, so the normal equations are counts and sums: Spark aggregates them p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,26 +36,63 @@ def sample(trades: DataFrame, region: str = "region_id") -> DataFrame:
     return ok.join(F.broadcast(ranks), [region, "deal_ym"]).select(region, "complex_key", "deal_ym", "m", band(F.col("floor"), FLOOR_EDGES, True).alias("f"), band(F.col("area_m2"), AREA_EDGES, False).alias("a"), F.log("ppm2").alias("y"))
 
 
-def _long(rows: DataFrame, region: str) -> DataFrame:
+def _long(rows: DataFrame) -> DataFrame:
     """Each row's active columns: months are numbered from 0, floor bands from -100, area bands from -200; the first of
     each factor is the reference and has none."""
     cols = F.array_compact(F.array(F.when(F.col("m") > 0, F.col("m")), F.when(F.col("f") > 0, -100 - F.col("f")), F.when(F.col("a") > 0, -200 - F.col("a"))))
     return rows.withColumn("cols", cols)
 
 
-def moments(rows: DataFrame, region: str = "region_id") -> DataFrame:
-    """(region, i, j, v): the normal equations after the within transform; j is 0 for the right-hand side."""
-    df = _long(rows, region)
-    pairs = df.withColumn("i", F.explode("cols")).withColumn("j", F.explode("cols")).groupBy(region, "i", "j").agg(F.count(F.lit(1)).cast("double").alias("v"))
-    right = df.withColumn("i", F.explode("cols")).groupBy(region, "i").agg(F.sum("y").alias("v")).withColumn("j", F.lit(0))
-    # Means of columns and of y inside each complex; a complex has few different columns, so pairs stay few.
-    group = df.groupBy(region, "complex_key").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("gy"))
-    parts = df.withColumn("i", F.explode("cols")).groupBy(region, "complex_key", "i").agg(F.count(F.lit(1)).cast("double").alias("gx"))
-    held = parts.groupBy(region, "complex_key").agg(F.collect_list(F.struct("i", "gx")).alias("xs")).join(group, [region, "complex_key"])
-    one = held.withColumn("x", F.explode("xs"))
-    within = one.withColumn("z", F.explode("xs")).groupBy(region, F.col("x.i").alias("i"), F.col("z.i").alias("j")).agg(F.sum(-F.col("x.gx") * F.col("z.gx") / F.col("n")).alias("v"))
-    within_y = one.groupBy(region, F.col("x.i").alias("i")).agg(F.sum(-F.col("x.gx") * F.col("gy") / F.col("n")).alias("v")).withColumn("j", F.lit(0))
-    return pairs.unionByName(within).unionByName(right).unionByName(within_y).groupBy(region, "i", "j").agg(F.sum("v").alias("v"))
+def _gram(lists: DataFrame) -> DataFrame:
+    """(region_id, i, j, v): sums of w x_i x_j, and of w x_i y as j = 0, over rows (region_id, xs, w, y).
+
+    Each task adds dense products of its batches and gives one small matrix a region, so no pair of columns of a
+    complex ever becomes a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[dict[int, int], np.ndarray]] = {}
+        for b in batches:
+            region, xs = np.array(b.column(0).to_pylist()), b.column(1)
+            off, values = xs.offsets.to_numpy(), xs.values
+            col, x = values.field(0).to_numpy(zero_copy_only=False), values.field(1).to_numpy(zero_copy_only=False)
+            w, y = b.column(2).to_numpy(), b.column(3).to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            for name in np.unique(region):
+                at, held = sums.get(name, ({0: 0}, np.zeros((1, 1))))
+                mine = region[row] == name
+                for c in np.unique(col[off[0] :][: len(row)][mine]).tolist():
+                    at.setdefault(c, len(at))
+                grown = np.zeros((len(at), len(at)))
+                grown[: len(held), : len(held)] = held
+                rows = np.flatnonzero(region == name)
+                dense = np.zeros((len(rows), len(at)))
+                dense[:, 0] = y[rows]
+                place = np.zeros(b.num_rows, np.int64)
+                place[rows] = np.arange(len(rows))
+                dense[place[row[mine]], [at[c] for c in col[off[0] :][: len(row)][mine].tolist()]] = x[off[0] :][: len(row)][mine]
+                sums[name] = at, grown + dense.T @ (dense * w[rows, None])
+        for name, (at, held) in sums.items():
+            ids = np.array(list(at), np.int32)
+            i, j = np.nonzero(held)
+            keep = i > 0  # the square of y is not needed
+            yield pa.RecordBatch.from_arrays([pa.array([name] * int(keep.sum()), pa.string()), pa.array(ids[i[keep]]), pa.array(ids[j[keep]]), pa.array(held[i, j][keep])], ["region_id", "i", "j", "v"])
+
+    parts = lists.select("region_id", "xs", F.col("w").cast("double"), F.col("y").cast("double")).mapInArrow(run, "region_id string, i int, j int, v double")
+    return parts.groupBy("region_id", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def moments(rows: DataFrame) -> DataFrame:
+    """(region_id, i, j, v): the normal equations after the within transform; j is 0 for the right-hand side."""
+    cells = _long(rows.groupBy("region_id", "m", "f", "a").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y")))
+    pairs = cells.withColumn("i", F.explode("cols")).withColumn("j", F.explode("cols")).select("region_id", "i", "j", F.col("n").alias("v"))
+    right = cells.withColumn("i", F.explode("cols")).select("region_id", "i", F.lit(0).alias("j"), F.col("y").alias("v"))
+    # Of each complex only the sums by column are needed; it has as many as it has different months and bands.
+    group = rows.groupBy("region_id", "complex_key").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    parts = _long(rows).withColumn("i", F.explode("cols")).groupBy("region_id", "complex_key", "i").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    lists = parts.groupBy("region_id", "complex_key").agg(F.collect_list(F.struct("i", "x")).alias("xs")).join(group, ["region_id", "complex_key"])
+    within = _gram(lists.select("region_id", "xs", (F.lit(-1.0) / F.col("n")).alias("w"), "y"))
+    return pairs.unionByName(right).unionByName(within).groupBy("region_id", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,18 +112,20 @@ def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fit_index(trades: DataFrame, region: str = "region_id") -> DataFrame:
     """(region_id, deal_ym, value, lo, hi, n_obs): 100 exp(beta) of each month against the first, with 95 % intervals."""
-    # Read by seven aggregates below; blocks of a lost executor are computed again.
+    # The filters read the trades several times, and seven aggregates the sample; blocks of a lost executor are computed again.
+    trades = trades.select(region, "complex_key", "deal_ym", "floor", "area_m2", "ppm2").persist(StorageLevel.MEMORY_AND_DISK)
     rows = sample(trades, region).withColumnRenamed(region, "region_id").persist(StorageLevel.MEMORY_AND_DISK)
     beta = moments(rows).groupBy("region_id").applyInPandas(_solve, "region_id string, i int, beta double, bread array<double>")
     lookup = beta.groupBy("region_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "beta"))).alias("b"))
-    df = _long(rows, "region_id").join(F.broadcast(lookup), "region_id")
+    df = _long(rows).join(F.broadcast(lookup), "region_id")
     fitted = F.aggregate("cols", F.lit(0.0), lambda s, c: s + F.coalesce(F.element_at("b", c), F.lit(0.0)))
     resid = df.withColumn("r", F.col("y") - fitted).drop("b")
     own = resid.groupBy("region_id", "complex_key").agg(F.avg("r").alias("mean"))
     e = resid.join(own, ["region_id", "complex_key"]).withColumn("e", F.col("r") - F.col("mean"))
-    scores = e.withColumn("i", F.explode("cols")).groupBy("region_id", "complex_key", "i").agg(F.sum("e").alias("s"))
-    lists = scores.groupBy("region_id", "complex_key").agg(F.collect_list(F.struct("i", "s")).alias("xs")).withColumn("x", F.explode("xs")).withColumn("z", F.explode("xs"))
-    meat = lists.groupBy("region_id", F.col("x.i").alias("i"), F.col("z.i").alias("j")).agg(F.sum(F.col("x.s") * F.col("z.s")).alias("v"))
+    scores = e.withColumn("i", F.explode("cols")).groupBy("region_id", "complex_key", "i").agg(F.sum("e").alias("x"))
+    lists = scores.groupBy("region_id", "complex_key").agg(F.collect_list(F.struct("i", "x")).alias("xs"))
+    meat = _gram(lists.select("region_id", "xs", F.lit(1.0).alias("w"), F.lit(0.0).alias("y")))
+
     sizes = rows.groupBy("region_id", "complex_key").count().groupBy("region_id").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g"))
 
     def errors(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ hash with any number of copies leaves one row a batch, so a passage in a third o
 there are batches. After it, sorted partitions are streamed: memory does not depend on how often a window repeats.
 Texts move once, dealt by id, and only if the candidates are too many to broadcast.
 
-Windows are compared by two independent 64-bit hashes. Defined results: null and empty texts have no words and are
+Windows are compared by two independent hashes of 64 and 16 bits. Defined results: null and empty texts have no words and are
 kept as the empty string; documents shorter than a window are untouched; rows with a null id are kept unchanged and
 are no one's earlier copy; rows that repeat an id must repeat its text and get the same answer.
 """
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from deedflow.llm.common import cut, map_text
 
 WINDOW = 13
+#: Documents whose repeats are settled together before a shuffle.
+BATCH = 2048
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -76,16 +78,30 @@ def _hashed(texts: list[str]) -> Iterator[np.ndarray]:
 
 
 Rows = tuple[np.ndarray, ...]
-_NAMES = ["settled", "h", "g", "known", "id", "at"]
-_KIND = "settled boolean, h long, g long, known boolean, id long, at int"
-
-
-def _batch(settled: np.ndarray, h: np.ndarray, g: np.ndarray, known: np.ndarray, ident: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    # Settled rows only pass through: the hash that deals them out is their place.
+#: x holds a place, and below it `bits` bits: of the second hash (g), or in settled rows, which only pass through, of
+#: how many places follow each other from there. Settled places are below KNOWN; KNOWN tells that a window repeats.
+_NAMES = ["h", "id", "x"]
+_KIND = "h long, id long, x long"
+KNOWN = -1
+BITS = 16
+
+
+def _batch(settled: np.ndarray, h: np.ndarray, g: np.ndarray, ident: np.ndarray, at: np.ndarray, bits: int) -> pa.RecordBatch:
+    order = np.lexsort((at[settled], ident[settled]))
+    s_ident, s_at = ident[settled][order], at[settled][order]
+    starts = np.ones(len(s_at), bool)
+    if bits and len(s_at):
+        starts[1:] = (s_ident[1:] != s_ident[:-1]) | (s_at[1:] != s_at[:-1] + 1) | (s_at[1:] % ((1 << bits) - 1) == 0)
+    first = np.flatnonzero(starts)
+    length = np.diff(np.r_[first, len(s_at)])
+    s_ident, s_at = s_ident[first], s_at[first]
+    # What deals out a settled row is its place.
     with np.errstate(over="ignore"):
-        place = _mixed(ident.astype(np.uint64) * _M2 + at.astype(np.uint64))
-    h = np.where(settled, place, h)
-    return pa.RecordBatch.from_arrays([pa.array(settled), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(known), pa.array(ident), pa.array(at.astype(np.int32))], _NAMES)
+        place = _mixed(s_ident.astype(np.uint64) * _M2 + s_at.astype(np.uint64))
+    rest = ~settled
+    low = np.r_[g[rest].astype(np.int64), length] if bits else np.int64(0)
+    x = np.r_[at[rest], KNOWN - 1 - s_at].astype(np.int64) * (1 << bits) + low
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[h[rest], place].view(np.int64)), pa.array(np.r_[ident[rest], s_ident]), pa.array(x)], _NAMES)
 
 
 def _runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -93,26 +109,27 @@ def _runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) - 1 if len(h) else np.zeros(0, np.int64)
 
 
-def _presettle(h: np.ndarray, g: np.ndarray, ident: np.ndarray, at: np.ndarray, later_only: bool) -> pa.RecordBatch | None:
+def _presettle(h: np.ndarray, g: np.ndarray, ident: np.ndarray, at: np.ndarray, later_only: bool, bits: int) -> pa.RecordBatch | None:
     """What one batch sends: rows it can settle itself, and for the rest what other batches must see."""
     if not len(h):
         return None
+    g = g & np.uint64((1 << bits) - 1)
     order = np.lexsort((ident, g, h))
     h, g, ident, at = h[order], g[order], ident[order], at[order]
     run = _runs(h, g)
     first = np.r_[True, run[1:] != run[:-1]]
     least = ident[first][run]
     if later_only:  # a row of a larger id than the least is settled; rows of the least id go on
-        return _batch(ident != least, h, g, np.zeros(len(h), bool), ident, at)
+        return _batch(ident != least, h, g, ident, at, bits)
     shared = np.bincount(run, ident != least)[run] > 0
     none = np.zeros(int((shared & first).sum()), bool)
     stand = shared & first  # one row tells the other batches that the window repeats
-    return _batch(*(np.concatenate(x) for x in ((shared, none), (h, h[stand]), (g, g[stand]), (np.zeros(len(h), bool), ~none), (ident, ident[stand]), (at, at[stand] * 0 - 1))))
+    return _batch(*(np.concatenate(x) for x in ((shared, none), (h, h[stand]), (g, g[stand]), (ident, ident[stand]), (at, at[stand] * 0 + KNOWN))), bits)
 
 
-def _decide(later_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _decide(later_only: bool, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by settled, h, g, known first, id: gives (id, at) of the rows that repeat.
+        """Rows sorted by h, g (the low bits of x), known first, id: gives (id, at, n) of the rows that repeat, n places from at on.
 
         Of the run that is open between batches only its key, its least id, whether it repeats and the rows of its
         first id are kept.
@@ -122,9 +139,12 @@ def _decide(later_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for b in batches:
             if not b.num_rows:
                 continue
-            settled, h, g, known, ident, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            out = [(ident[settled], at[settled])]
-            h, g, known, ident, at = (x[~settled] for x in (h, g, known, ident, at))
+            h, ident, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            at, g = (x >> bits).astype(np.int32), (x & ((1 << bits) - 1)).astype(np.int32)
+            settled = at < KNOWN
+            out = [(ident[settled], KNOWN - 1 - at[settled], g[settled] if bits else np.ones(int(settled.sum()), np.int32))]
+            h, g, ident, at = (x[~settled] for x in (h, g, ident, at))
+            known = at == KNOWN
             if len(h):
                 runs = _runs(h, g)
                 first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
@@ -139,25 +159,26 @@ def _decide(later_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     hit = several[runs]
                     if goes_on and several[0]:
                         out += waiting
-                out.append((ident[hit], at[hit]))
+                out.append((ident[hit], at[hit], np.ones(int(hit.sum()), np.int32)))
                 last = runs == runs[-1]
                 if not later_only:
                     open_on = goes_on and runs[-1] == 0
                     repeats = bool(several[-1])
-                    waiting = [] if repeats else (waiting if open_on else []) + [(ident[last], at[last])]
+                    waiting = [] if repeats else (waiting if open_on else []) + [(ident[last], at[last], np.ones(int(last.sum()), np.int32))]
                 key, least = (h[-1], g[-1]), lows[-1]
-            who, where = (np.concatenate(x) for x in zip(*out, strict=True))
+            who, where, length = (np.concatenate(x) for x in zip(*out, strict=True))
             real = where >= 0
             if real.any():
-                yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(where[real])], ["id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(where[real]), pa.array(length[real])], ["id", "at", "n"])
 
     return run
 
 
-def _repeating(rows: DataFrame, later_only: bool) -> DataFrame:
-    """(id, at) of the windows that repeat: in a smaller id (later_only), or in another id at all."""
-    dealt = rows.repartition("h").sortWithinPartitions("settled", "h", "g", F.col("known").desc(), "id")
-    return dealt.mapInArrow(_decide(later_only), "id long, at int")
+def _repeating(rows: DataFrame, later_only: bool, bits: int = BITS) -> DataFrame:
+    """(id, at, n) of the windows that repeat: in a smaller id (later_only), or in another id at all."""
+    low, known = F.col("x").bitwiseAND((1 << bits) - 1), F.shiftright("x", bits) == KNOWN
+    dealt = rows.repartition("h").sortWithinPartitions("h", low, known.desc(), "id")
+    return dealt.mapInArrow(_decide(later_only, bits), "id long, at int, n int")
 
 
 def _first_level(docs: DataFrame, half: int, window: int) -> DataFrame:
@@ -174,21 +195,25 @@ def _first_level(docs: DataFrame, half: int, window: int) -> DataFrame:
                 h.append(hashes[chosen])
                 at.append(chosen)
                 owner.append(np.full(len(chosen), ids[k]))
-            if h and (out := _presettle(c := np.concatenate(h), c * np.uint64(0), np.concatenate(owner), np.concatenate(at), False)) is not None:
+            if h and (out := _presettle(c := np.concatenate(h), c * np.uint64(0), np.concatenate(owner), np.concatenate(at), False, 0)) is not None:
                 yield out
 
-    return _repeating(map_text(docs, run, _KIND), later_only=False)
+    return _repeating(map_text(docs, run, _KIND, BATCH), later_only=False, bits=0)
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs (id, t) with the sorted array of each document's marks."""
-    held = marks.groupBy("id").agg(F.collect_list("at").alias("marks"))
+    """docs (id, t) with the list of each document's marks: a place in the low half, how many from there in the high."""
+    held = marks.groupBy("id").agg(F.collect_list(F.col("at") + F.shiftleft(F.col("n").cast("long"), 32)).alias("marks"))
     return docs.join(held, "id", how).select("id", "t", "marks")
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
-    off, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    """The places of each row's marks."""
+    off, packed = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    at, n = packed & 0xFFFFFFFF, packed >> 32
+    ends = np.r_[0, np.cumsum(n)]
+    places = np.repeat(at - ends[:-1], n) + np.arange(ends[-1])
+    return [places[ends[a] : ends[b]] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
 def _full_level(marked: DataFrame, half: int, window: int, later_only: bool = True) -> DataFrame:
@@ -205,10 +230,10 @@ def _full_level(marked: DataFrame, half: int, window: int, later_only: bool = Tr
                     held[marks[k]] = True
                     at = np.flatnonzero(held[chosen])
                     parts.append((window_hashes(word, window, _M1)[at], window_hashes(word, window, _M2)[at], np.full(len(at), ids[k]), at))
-            if parts and (out := _presettle(*(np.concatenate(x) for x in zip(*parts, strict=True)), later_only)) is not None:
+            if parts and (out := _presettle(*(np.concatenate(x) for x in zip(*parts, strict=True)), later_only, BITS)) is not None:
                 yield out
 
-    return _repeating(map_text(marked, run, _KIND), later_only)
+    return _repeating(map_text(marked, run, _KIND, BATCH), later_only)
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -242,26 +267,31 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    nothing = F.array().cast("array<int>")
+    nothing = F.array().cast("array<bigint>")
     marked = _marked(named, removed, "left").withColumn("marks", F.coalesce("marks", nothing))
     marked = marked.unionByName(every.where(F.col("id").isNull()).withColumn("marks", nothing))
     return map_text(marked, run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
+def _places(ranges: DataFrame) -> DataFrame:
+    """(id, at): one row a place."""
+    return ranges.select("id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct()
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, at, length): window starts that repeat in another document, at the greatest of the lengths window,
     2 x window, 4 x window ... that repeats there. The loop ends when no window survives a doubling."""
     half = (window + 1) // 2
     named = _plain(docs, id_col, text_col).where(F.col("id").isNotNull())
-    now = cut(_full_level(_marked(named, _first_level(named, half, window), "inner"), half, window, later_only=False).distinct())
+    now = cut(_full_level(_marked(named, _first_level(named, half, window), "inner"), half, window, later_only=False).transform(_places))
     length, found = window, None
     while not now.isEmpty():
         level = now.withColumn("length", F.lit(length))
         found = level if found is None else found.unionByName(level)
         # A window of twice the length can repeat only where both its halves do.
         ahead = now.select("id", (F.col("at") - length).cast("int").alias("at"))
-        starts = now.join(ahead, ["id", "at"], "left_semi")
-        now = cut(_exact_level(_marked(named, starts, "inner"), 2 * length).distinct())
+        starts = now.join(ahead, ["id", "at"], "left_semi").withColumn("n", F.lit(1))
+        now = cut(_exact_level(_marked(named, starts, "inner"), 2 * length).transform(_places))
         length *= 2
     if found is None:
         found = now.withColumn("length", F.lit(length))
@@ -276,7 +306,7 @@ def _exact_level(marked: DataFrame, length: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     at = np.unique(marks[marks + length <= len(word)])
                     parts.append((window_hashes(word, length, _M1)[at], window_hashes(word, length, _M2)[at], np.full(len(at), ids[k]), at.astype(np.int64)))
-            if parts and (out := _presettle(*(np.concatenate(x) for x in zip(*parts, strict=True)), False)) is not None:
+            if parts and (out := _presettle(*(np.concatenate(x) for x in zip(*parts, strict=True)), False, BITS)) is not None:
                 yield out
 
     return _repeating(map_text(marked, run, _KIND), later_only=False)

@@ -202,15 +202,15 @@ def _first_level(docs: DataFrame, half: int, window: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs (id, t) with the list of each document's marks: a place in the low half, how many from there in the high."""
-    held = marks.groupBy("id").agg(F.collect_list(F.col("at") + F.shiftleft(F.col("n").cast("long"), 32)).alias("marks"))
+    """docs (id, t) with the list of each document's marks: a place, and in the low BITS bits how many follow from there."""
+    held = marks.groupBy("id").agg(F.collect_list(F.col("at") * F.lit(1 << BITS).cast("long") + F.col("n")).alias("marks"))
     return docs.join(held, "id", how).select("id", "t", "marks")
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
     """The places of each row's marks."""
     off, packed = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    at, n = packed & 0xFFFFFFFF, packed >> 32
+    at, n = packed >> BITS, packed & ((1 << BITS) - 1)
     ends = np.r_[0, np.cumsum(n)]
     places = np.repeat(at - ends[:-1], n) + np.arange(ends[-1])
     return [places[ends[a] : ends[b]] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

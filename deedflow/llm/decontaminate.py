@@ -90,9 +90,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     # Only candidate documents go on with their texts.
     likely = small(found.select(F.col("id").alias("i")), ids)
     texts = named.join(likely, F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    texts = texts.join(found.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i"))).select("id", words(F.col("t")).alias("d"), "found")
-    same = lambda c: lambda s: F.slice("d", c["shift"] + s + 1, c["len"]) == F.slice(c["w"], s + 1, c["len"])
-    true = F.flatten(F.transform("found", lambda c: F.transform(F.filter(c["starts"], same(c)), lambda s: F.struct(c["item"].alias("item"), (c["shift"] + s).alias("a"), (c["shift"] + s + c["len"] - 1).alias("z")))))
+    texts = texts.join(found.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i"))).select("id", "t", "found")
+    same = lambda d, c: lambda s: F.slice(d, c["shift"] + s + 1, c["len"]) == F.slice(c["w"], s + 1, c["len"])
+    spans = lambda d: lambda c: F.transform(F.filter(c["starts"], same(d, c)), lambda s: F.struct(c["item"].alias("item"), (c["shift"] + s).alias("a"), (c["shift"] + s + c["len"] - 1).alias("z")))
+    # The words are bound by an outer function, so that they are split once a document and not once a window.
+    true = F.transform(F.array(words(F.col("t"))), lambda d: F.flatten(F.transform("found", spans(d))))[0]
     hits = texts.select("id", true.alias("hits")).where(F.size("hits") > 0)
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["a"], h["z"])))))
     names = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["item"])), lambda x: x.cast("string")))

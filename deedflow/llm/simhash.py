@@ -28,6 +28,8 @@ from deedflow.llm.common import cut, map_text, small
 from deedflow.llm.components import components
 
 RADIUS = 3
+#: Cells of near copies: BANDS of them a document, each of ROWS least hashes.
+BANDS, ROWS = 32, 4
 BLOCK = 1024
 #: Up to this many ids are broadcast, eight bytes each.
 NODES = 1_000_000
@@ -218,22 +220,90 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
+def _parts(text: str, shingle: int) -> Iterator[bytes]:
+    """Shingles of a text; texts of fewer words are one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)] * bool(words))
+
+
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(id, n, s) of docs (id, t): the number of different shingles and their 32-bit hashes, sorted and packed."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] * bool(words)
-                sets.append(np.unique(np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32)))
+            sets = [np.unique(np.fromiter(map(xxhash.xxh32_intdigest, _parts(text, shingle)), np.uint32)) for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "s"])
 
     return map_text(docs, run, f"id {kind}, n int, s binary")
 
 
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS least hashes of a set; two sets agree in each with the probability of their Jaccard similarity."""
+    by = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 1024):
+            out = np.minimum(out, (by[:, None] * hashes[None, at : at + 1024]).min(1))
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, whole, cells) of docs (id, t): a hash of the set of shingles, and its cells; an empty set has none."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, cells = np.zeros(b.num_rows, np.int64), []
+            for row, text in enumerate(b.column(1).to_pylist()):
+                hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _parts(text, shingle)), np.uint64))
+                whole[row] = np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
+                bands = least_hashes(hashes).reshape(BANDS, ROWS) if len(hashes) else []
+                cells.append([xxhash.xxh64_intdigest(x.tobytes(), no) - (1 << 63) for no, x in enumerate(bands)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole), pa.array(cells, pa.list_(pa.int64()))], ["id", "whole", "cells"])
+
+    return map_text(docs, run, f"id {kind}, whole long, cells array<long>")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns and starts of whole groups, from rows sorted by the first `keys` columns; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(b) -> np.ndarray:
+        new = np.zeros(max(0, b.num_rows - 1), bool)
+        for c in range(keys):
+            v = b.column(c).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        return np.flatnonzero(np.r_[True, new])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = int(starts(b)[-1])
+        if held and (last or any(held[-1].column(c)[0] != b.column(c)[0] for c in range(keys))):
+            t = pa.Table.from_batches([*held, b.slice(0, last)])
+            yield t, starts(t)
+            held = []
+        elif last:
+            t = pa.Table.from_batches([b.slice(0, last)])
+            yield t, starts(t)
+        held.append(b.slice(last))
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, node, hub) of cells of two or more nodes: cells of the same nodes are one group, its hub is the least."""
+    for t, start in _whole(batches, 1):
+        node = t.column(1).to_numpy()
+        size = np.diff(np.r_[start, len(node)])
+        some = size > 1
+        if some.any():
+            grp = [xxhash.xxh64_intdigest(node[s : s + n].tobytes()) - (1 << 63) for s, n in zip(start[some].tolist(), size[some].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(grp, np.int64), size[some])), pa.array(node[np.repeat(some, size)]), pa.array(np.repeat(node[start[some]], size[some]))], ["grp", "node", "hub"])
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,34 +318,33 @@ def _similar(least: float):
     return run
 
 
-def similar_links(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) of ids of docs (id, t) whose shingle sets have a Jaccard similarity of `least` or more.
-
-    Only documents in a link are read; of them only packed sets are dealt out.
-    """
-    nodes = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = shingle_sets(docs.join(small(nodes, NODES), docs["id"] == F.col("node"), "left_semi").dropDuplicates(["id"]), shingle)
+def similar_links(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of ids of sets (id, n, s) whose Jaccard similarity is `least` or more."""
     # A set holds at most 1 / least times as many shingles as one that similar.
     left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("s").alias(f"s_{c}")) for c in "ab")
     pairs = links.join(left, "a").join(right, "b").where((F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least))
     return pairs.select("a", "b", "s_a", "s_b").mapInArrow(_similar(least), "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 10, shingle_radius: int = 14, blocks: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, component_id) of documents that are near copies: of a shingle similarity of `least` or more.
 
-    A similarity of 0.8 over five-word shingles is about 10 of 64 bits, too wide for cells of halves. The grid is
-    therefore laid over a fingerprint of the documents' different words, which the same edits move less: cells are any
-    two of `blocks` blocks of segments, which hold every pair within blocks - 2 bits and most beyond. Pairs within
-    `radius` bits there and `shingle_radius` bits of the shingle fingerprint are candidates; of each cell those links
-    are kept that hang its points together by their nearest pairs, and they count if the shingle sets are as similar.
-    Rows with a null id are left alone.
+    Candidates are documents that share a cell: all ROWS least hashes of one of BANDS bands. A pair shares a band with
+    the fourth power of its similarity, whatever the edit, so a pair at 0.8 is passed over with a chance of
+    (1 - 0.8 ** 4) ** 32, or 5 in 10^8, and a closer one with less. The links of each
+    group to its least member count if the shingle sets are as similar. Documents of equal
+    sets of shingles are one point. Rows with a null id are left alone.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, [0, shingle]))
-    classes = cut(fps.groupBy("fp0", "fp1").agg(F.min("id").cast("long").alias("node")))
-    points = classes.where(F.col("node").isNotNull()).select("node", F.col("fp0").alias("fp"), F.col("fp1").alias("other"))
-    links = cut(_linked(points, radius, shingle_radius, blocks).distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    roots = components(similar_links(links, texts, shingle, least), "a", "b")
-    classes = classes.join(roots, "node", "left").select("fp0", "fp1", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, ["fp0", "fp1"]).select(F.col("id").alias(id_col), "component_id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    marks = cut(sketches(texts, shingle))
+    classes = cut(marks.groupBy("whole").agg(F.min("id").cast("long").alias("node"), F.first("cells").alias("cells")))
+    cells = classes.where(F.col("node").isNotNull()).select(F.explode("cells").alias("cell"), "node")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "node")
+    groups = cut(dealt.mapInArrow(_members, "grp long, node long, hub long").distinct())
+    nodes = cut(groups.select("node").distinct())
+    longs = texts.withColumn("id", F.col("id").cast("long"))
+    sets = cut(shingle_sets(longs.join(small(nodes, NODES), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]), shingle))
+    links = cut(similar_links(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least))
+    roots = components(links, "a", "b")
+    named = classes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
+    return marks.join(named, "whole").select(F.col("id").alias(id_col), "component_id")

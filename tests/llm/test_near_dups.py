@@ -138,3 +138,38 @@ def test_repeated_spans_double_until_none_is_left(spark):
     got = {(r["doc_id"], r["at"]): r["length"] for r in repeated_spans(frame(spark, rows)).collect()}
     assert got[(1, 1)] == 52 and got[(2, 2)] == 52 and got[(1, 48)] == 13 and (1, 0) not in got
     assert max(got.values()) == 52 and hashlib.sha256(b"").hexdigest()
+
+
+def edited(rng, words, kind):
+    """A copy with one edit that leaves a five-word similarity of 0.8 to 0.9."""
+    new = lambda k: [f"n{rng.randrange(10**6)}" for _ in range(k)]
+    n = len(words)
+    if kind == "append":
+        return words + new(n // 6)
+    if kind == "cut":
+        a = rng.randrange(n // 2)
+        return words[:a] + words[a + n // 9 :]
+    out = list(words)
+    for k in range(10, n, max(11, n // (n // 60 or 1))):
+        out[k] = new(1)[0]
+    return out
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_reach_every_kind_of_edit(spark):
+    """No pair at 0.8 or more keeps both documents, also when a passage is added or cut."""
+    from deedflow.llm.simhash import near_copies
+
+    rng = random.Random(3)
+    rows, want = [], []
+    for k in range(240):
+        words = rng.choices([f"w{x}" for x in range(3000)], k=rng.randrange(120, 500))
+        copy = edited(rng, words, ["append", "cut", "change"][k % 3])
+        assert 0.8 <= jaccard(words, copy) < 0.95
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
+    assert sorted(map(tuple, near_copies(frame(spark, rows)).collect())) == want

@@ -326,13 +326,70 @@ def similar_links(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "s_a", "s_b").mapInArrow(_similar(least), "a long, b long")
 
 
+def tied(label: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that join the labels; every pair left out is unlike or joined by verified links."""
+    # Rare labels first, so that the members of a common one are seldom compared with what follows.
+    _, no, held = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((no, held[no]))
+    label, n = no[order], np.array([len(sets[k]) for k in order])
+    code = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    start, seen, out = np.r_[0, np.cumsum(n)], np.zeros(len(code), bool), []
+    for i in range(len(n) - 1):
+        later = slice(i + 1, None)
+        maybe = (label[later] != label[i]) & (n[later] >= least * n[i]) & (n[i] >= least * n[later])
+        if not maybe.any():
+            continue
+        own, rest = code[start[i] : start[i + 1]], code[start[i + 1] :]
+        seen[own] = True
+        both = np.add.reduceat(seen[rest], start[i + 1 : -1] - start[i + 1], dtype=np.int64)
+        seen[own] = False
+        for j in (np.flatnonzero(maybe & (both >= least * (n[i] + n[later] - both))) + i + 1).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _tied(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) of rows (grp, i, j, node, label, s), sorted by the first three."""
+        for t, start in _whole(batches, 3):
+            node, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+            pairs = []
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(node)], strict=True):
+                if (label[s:e] != label[s]).any():
+                    sets = [np.frombuffer(x, np.uint32) for x in t.column("s").slice(s, e - s).to_pylist()]
+                    pairs += [(s + a, s + b) for a, b in tied(label[s:e], sets, least)]
+            if pairs:
+                a, b = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return run
+
+
+def open_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join what roots keeps apart, from every group that has members of different components.
+
+    All pairs of such a group are compared but those already joined. A group of two has been tried by its hub; groups
+    of over BLOCK members are dealt out as pairs of blocks.
+    """
+    named = cut(groups.join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("label")))
+    apart = named.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi and size > 2")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = named.join(small(cut(apart.select("grp", "size"))), "grp").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = rows.select("grp", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "node", "label").join(sets.select(F.col("id").alias("node"), "s"), "node")
+    sorted_ = dealt.select("grp", "i", "j", "node", "label", "s").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return sorted_.mapInArrow(_tied(least), "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, component_id) of documents that are near copies: of a shingle similarity of `least` or more.
 
     Candidates are documents that share a cell: all ROWS least hashes of one of BANDS bands. A pair shares a band with
     the fourth power of its similarity, whatever the edit, so a pair at 0.8 is passed over with a chance of
-    (1 - 0.8 ** 4) ** 32, or 5 in 10^8, and a closer one with less. The links of each
-    group to its least member count if the shingle sets are as similar. Documents of equal
+    (1 - 0.8 ** 4) ** 32, or 5 in 10^8, and a closer one with less. The members of a
+    cell are verified by their shingle sets: first against the least of them, then, where that leaves a cell in more
+    than one component, every pair that is not yet joined. So only redundant links are left out. Documents of equal
     sets of shingles are one point. Rows with a null id are left alone.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -346,5 +403,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = cut(shingle_sets(longs.join(small(nodes, NODES), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]), shingle))
     links = cut(similar_links(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least))
     roots = components(links, "a", "b")
+    links = links.unionByName(open_links(groups, roots, sets, least))
+    roots = components(links, "a", "b")
     named = classes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
     return marks.join(named, "whole").select(F.col("id").alias(id_col), "component_id")

@@ -173,3 +173,26 @@ def test_near_copies_reach_every_kind_of_edit(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
         want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
     assert sorted(map(tuple, near_copies(frame(spark, rows)).collect())) == want
+
+
+def test_near_copies_of_a_template_family_match_brute_force(spark):
+    """Variants of one text at about 0.69 are no copies of each other; those given a copy keep it however dense they lie."""
+    from deedflow.llm.simhash import near_copies
+
+    rng = random.Random(8)
+    base = rng.choices([f"w{x}" for x in range(3000)], k=300)
+    change = lambda words, k: [f"n{rng.randrange(10**6)}" if j in at else w for at in [set(rng.sample(range(len(words)), k))] for j, w in enumerate(words)]
+    docs = [change(base, 6) for _ in range(300)]
+    docs += [change(docs[k], 4) for k in range(0, 300, 5)]
+    rng.shuffle(docs)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 100 < len(set(root)) < len(docs) - 40
+    got = near_copies(frame(spark, [(k, " ".join(w)) for k, w in enumerate(docs)]))
+    assert sorted(map(tuple, got.collect())) == list(enumerate(root))

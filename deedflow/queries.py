@@ -678,7 +678,7 @@ def complex_merge(spark, d):
 SELECT n.sgg_cd, o.umd_nm AS old_nm, n.umd_nm AS new_nm, count(*) AS n FROM n JOIN o USING (sgg_cd, deal_ym, price_manwon, complex_no) WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.sgg_cd = n.sgg_cd AND x.deal_ym = n.deal_ym AND x.price_manwon = n.price_manwon AND x.complex_no = n.complex_no AND x.umd_nm = n.umd_nm) GROUP BY ALL""", "trade")
 def renamed_places(spark, d):
     """V8"""
-    old = view(spark, d, "trade").where("complex_no % 10 = 0").select("sgg_cd", "deal_ym", "price_manwon", "complex_no", "umd_nm")
+    old = view(spark, d, "trade").select("sgg_cd", "deal_ym", "price_manwon", "complex_no", "umd_nm")
     new = old.withColumn("umd_nm", F.concat("umd_nm", F.when(F.col("complex_no") % 20 == 0, "-new").otherwise("")))
     return checks.renamed(new, old, ["sgg_cd", "deal_ym", "price_manwon", "complex_no"])
 

@@ -37,3 +37,14 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql_but_the_index():
     assert set(QUERIES) - set(ORACLE) == {"hedonic_index"} and set(ORACLE) <= set(QUERIES)
+
+
+def test_renamed_places_compares_the_whole_table(spark, duck, monkeypatch):
+    from deedflow import queries
+
+    seen, plain_renamed = [], queries.checks.renamed
+    monkeypatch.setattr(queries.checks, "renamed", lambda new, old, *a: seen.extend([new.count(), old.count()]) or plain_renamed(new, old, *a))
+    df = QUERIES["renamed_places"](spark, SF)
+    assert seen == [queries.view(spark, SF, "trade").count()] * 2
+    cols = sorted(df.columns)
+    assert plain(map(tuple, df.select(*cols).collect())) == plain(duck.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE['renamed_places']})").fetchall())

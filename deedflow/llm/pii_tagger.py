@@ -14,8 +14,8 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WIDTH, STEP = 64, 32
-#: Every kind holds a digit or an "@"; windows that reach neither hold no span.
-_TELLING = re.compile(r"[0-9@]")
+#: Every kind holds a digit, an "@" or its bracketed form; windows that reach none of them hold no span.
+_TELLING = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _SYMBOLS = " \n.,:;!?@+-_()[]{}<>/\\'\"#$%&*=|~^`"
 CLASSES = 4 + len(_SYMBOLS)
 
@@ -40,7 +40,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     def entity(kind: str) -> str:
         if kind == "email":
             user, host = letters(2, 9) + one("", "." + digits(2), "_" + letters(2, 5)), letters(3, 8) + one("", digits(1))
-            return one(f"{user}@{host}.example.com", f"{user}@{host}.org", f"{user}(at){host}{digits(1)}.com", f"{user}[at]{host}{digits(1)}[dot]com")
+            return one(f"{user}@{host}.example.com", f"{user}@{host}.org", f"{user}(at){host}.com", f"{user}[at]{host}[dot]com")
         if kind == "ip":
             return ".".join(str(x) for x in rng.integers(0, 256, 4))
         if kind == "card":

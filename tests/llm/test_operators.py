@@ -337,3 +337,14 @@ def test_small_is_measured(spark):
     df = cut(spark.range(10))
     plan = lambda d: d._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in plan(small(df, 10)) and "ResolvedHint" not in plan(small(df, 9))
+
+
+def test_bracketed_addresses_need_no_digit(spark):
+    names = "john.smith mary anna_lee paul.k susan robert helen.fox mark_t julia peter".split()
+    hosts = "acme rivers northwind globex initech umbra stark wayne hooli vandelay".split()
+    shown = [f"{a}{at}{h}{dot}com" for a, h in zip(names, hosts, strict=True) for at, dot in (("(at)", "."), ("[at]", "[dot]"))]
+    lead = "please write to our office in the old town whenever there is a question about the delivery "
+    rows = [(k, lead + x + " and we will answer as soon as the post allows", "s") for k, x in enumerate(shown)]
+    got = {r["doc_id"]: r["spans"] for r in find_personal(frame(spark, rows)).collect()}
+    missed = [x for k, x in enumerate(shown) if got[k] != f"email:{len(lead)}:{len(lead) + len(x)}"]
+    assert not missed

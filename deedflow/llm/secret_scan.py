@@ -33,8 +33,8 @@ _RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 _LEET = str.maketrans("@4301$57!", "aaeoissti")
 _NEXT = {r[k : k + 2] for row in ROWS for r in (row, row[::-1]) for k in range(len(r) - 1)}
 _DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/.]?[0-9]{2}(?:[-/.]?[0-9]{2})?)?")
-# A credential word, up to three short link words or signs, then a value.
-_CONTEXT = re.compile(r"""(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|bearer|auth(?:orization)?))["']?(?:\x20?[:=]+>?\x20?|\x20(?:is|was|as|to|of)\x20|\x20)["'`]?([^\s"'`<>|,;]{8,})""", re.ASCII)
+# A credential word, also after an underscore; a sign or a link word; then a value.
+_CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|bearer|auth(?:orization)?))["']?(?:(?P<sign>\x20?[:=]+>?\x20?)|\x20(?:is|was|as|to|of)\x20|\x20)["'`]?(?P<value>[^\s"'`<>|,;]{8,})""", re.ASCII)
 #: One of these is in every text where _CONTEXT matches.
 _CUES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 
@@ -75,9 +75,12 @@ def guess_cost(value: str) -> float:
     return cost[n]
 
 
-def mixed(value: str) -> bool:
-    """A digit and a letter, or letters of both cases inside: prose after "password is" rarely has either."""
-    return (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or (value[1:] != value[1:].lower() and value[1:] != value[1:].upper())
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}", re.IGNORECASE)
+
+
+def unlike_prose(value: str) -> bool:
+    """A digit and a letter, letters of both cases inside, or six consonants on end: prose after "password is" rarely has any."""
+    return _CONSONANTS.search(value) is not None or (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or (value[1:] != value[1:].lower() and value[1:] != value[1:].upper())
 
 
 def guessed(text: str, base: list[Span]) -> Iterator[Span]:
@@ -86,10 +89,10 @@ def guessed(text: str, base: list[Span]) -> Iterator[Span]:
         return
     taken = [(a, b) for _, a, b in base]
     for m in _CONTEXT.finditer(text):
-        a = m.start(1)
-        value = m[1].rstrip(".!?*$%&#)]}")
+        a = m.start("value")
+        value = m["value"].rstrip(".!?*$%&#)]}")
         b = a + len(value)
-        if len(value) >= 8 and mixed(value) and not any(x < b and a < y for x, y in taken) and guess_cost(value) >= COSTLY:
+        if len(value) >= 8 and (m["sign"] or unlike_prose(value)) and not any(x < b and a < y for x, y in taken) and guess_cost(value) >= COSTLY:
             yield "guess", a, b
 
 

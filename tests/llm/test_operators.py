@@ -348,3 +348,14 @@ def test_bracketed_addresses_need_no_digit(spark):
     got = {r["doc_id"]: r["spans"] for r in find_personal(frame(spark, rows)).collect()}
     missed = [x for k, x in enumerate(shown) if got[k] != f"email:{len(lead)}:{len(lead) + len(x)}"]
     assert not missed
+
+
+def test_guess_cost_decides_in_assignments(spark):
+    values = {
+        "pwd=zqxwvkjhplmnbtrd": "zqxwvkjhplmnbtrd", "the passphrase is zqxwvkjhplmnbtrdkfw": "zqxwvkjhplmnbtrdkfw", 'DB_PASSWORD="p@$$w0rd!x9K#72z"': "p@$$w0rd!x9K#72z",
+        "db_pwd=K8#vq!2LmZ$9": "K8#vq!2LmZ$9", "pwd: passwordpassword": None, "the password is everywhere here": None, "bypass=zqxwvkjhplmnbtrd": None,
+    }
+    rows = [(k, t, "s") for k, t in enumerate(values)]
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(frame(spark, rows)).collect()}
+    for k, (t, v) in enumerate(values.items()):
+        assert got[k] == (f"guess:{t.index(v)}:{t.index(v) + len(v)}" if v else ""), t

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it is measured to be no larger than this many rows.
 BROADCAST_ROWS = 200_000
-#: Rows of a text column held at once by a Python worker.
+#: Rows and bytes of a text column that a Python worker handles at once; one longer text is handled alone. The whole batch
+#: that comes over from the JVM is bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set).
 TEXT_ROWS = 512
+TEXT_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,15 +46,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(b: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """b in slices of at most `rows` rows and, unless a single row is larger, TEXT_BYTES bytes."""
+    if b.num_rows and b.nbytes <= TEXT_BYTES:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+        return
+    at = 0
+    while at < b.num_rows:
+        n = min(rows, b.num_rows - at)
+        while n > 1 and b.slice(at, n).nbytes > TEXT_BYTES:
+            n = (n + 1) // 2
+        yield b.slice(at, n)
+        at += n
+
+
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = TEXT_ROWS) -> DataFrame:
-    """mapInArrow; fn sees slices of at most `rows` rows, so long texts never meet in one large batch."""
+    """mapInArrow; fn sees slices of at most `rows` rows and about TEXT_BYTES bytes, so long texts never meet in one large batch."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cuts():
-            for b in batches:
-                for at in range(0, b.num_rows, rows):
-                    yield b.slice(at, rows)
-
-        yield from fn(cuts())
+        yield from fn(part for b in batches for part in slices(b, rows))
 
     return df.mapInArrow(sliced, schema)

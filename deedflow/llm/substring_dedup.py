@@ -2,311 +2,533 @@
 
 Level one takes windows of half the target length. Only their minimizers are looked up: of the half-length windows in
 each full-length window the one with the least hash, so two equal full windows always pick the same one, and a quarter
-of the windows stands for all. Level two extends what repeats at level one alone to the full length, and decides
-which windows also start in a document with a smaller id. repeated_spans() goes on doubling until nothing repeats.
+of the windows stands for all. The next level extends what repeats at level one alone to twice that length, here the
+target, and finds which windows also start in a document with a smaller id. repeated_spans() goes on doubling until
+nothing repeats.
 
-Each level is one shuffle of fixed-size rows. Before it, a batch of documents settles what repeats inside the batch: a
-hash with any number of copies leaves one row a batch, so a passage in a third of all documents meets as many rows as
-there are batches. After it, sorted partitions are streamed: memory does not depend on how often a window repeats.
-Texts move once, dealt by id, and only if the candidates are too many to broadcast.
+Each level is one shuffle of fixed-size rows dealt by a 64-bit hash. Before it, a batch of documents settles what
+repeats inside the batch: a window with any number of copies leaves one row a batch, and one row a document however
+often it stands there, so a passage in a third of all documents meets as many rows as there are batches. After it,
+sorted partitions are streamed: memory does not depend on how often a window repeats.
 
-Windows are compared by two independent hashes of 64 and 16 bits. Defined results: null and empty texts have no words and are
-kept as the empty string; documents shorter than a window are untouched; rows with a null id are kept unchanged and
-are no one's earlier copy; rows that repeat an id must repeat its text and get the same answer.
+Hashes only propose. A batch compares the words of what it settles; a window that is met in another batch is claimed
+against its earliest holder, claims on consecutive windows are joined into one, and the claimed words are compared with
+the holder's. Windows whose hash met another window's are grouped by their words. So words decide, always.
+
+Texts move compressed, dealt by id, and every later step reads that one exchange.
+
+Defined results: null and empty texts have no words and are kept as the empty string; documents shorter than a window
+are untouched; texts of any length are read whole; rows with a null id are kept unchanged and are no one's earlier copy;
+rows that repeat an id, with whatever texts, are no earlier copies of each other; ids that are no integers are ordered as
+Spark sorts them; an empty table gives no rows. Columns that are neither id nor text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deedflow.llm.common import cut, map_text
 
 WINDOW = 13
 #: Documents whose repeats are settled together before a shuffle.
 BATCH = 2048
+#: Different words that a worker remembers between batches.
+REMEMBERED = 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_EVERY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+class Words:
+    """Words of a batch of texts as numbers: equal numbers are equal words, until the next batch is read."""
+
+    def __init__(self):
+        self.no: dict[bytes, int] = {}
+        self.hash = np.zeros(0, np.uint64)
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of all texts one after another, where each text starts and the last ends)."""
+        split = [t.split() for t in texts]
+        if len(self.no) > REMEMBERED:
+            self.no.clear()
+            self.hash = self.hash[:0]
+        if new := list(set().union(*split).difference(self.no)):
+            self.no.update(zip(new, range(len(self.no), len(self.no) + len(new)), strict=True))
+            self.hash = np.r_[self.hash, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))]
+        start = np.r_[0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        return np.fromiter(map(self.no.__getitem__, chain.from_iterable(split)), np.int64, int(start[-1])), start
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(word: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
+def window_hashes(word: np.ndarray, n: int, factor: np.uint64 = _M1) -> np.ndarray:
     """Hash of each window of n words, from the words' hashes; by doubling, as a sum of powers."""
     if len(word) < n:
         return word[:0]
-    out, done, power = word[: len(word) - n + 1] * np.uint64(0), 0, np.uint64(1)
-    part, size, step = word, 1, factor
-    while True:
-        if n & size:
-            out = out + part[done : done + len(out)] * power
-            done, power = done + size, power * step
-        if size * 2 > n:
-            return _mixed(out)
-        part = part[: len(part) - size] + part[size:] * step
-        size, step = size * 2, step * step
-
-
-def minimizers(word: np.ndarray, half: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start of the chosen half-length window of each full window, hash of every half-length window)."""
-    h = window_hashes(word, half, _M1)
-    if len(word) < n:
-        return np.zeros(0, np.int64), h
-    many = n - half + 1
-    view = np.lib.stride_tricks.sliding_window_view(h, many)
-    return view.argmin(1) + np.arange(len(view)), h
-
-
-def _hashed(texts: list[str]) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
-        for text in texts:
-            words = words_of(text)
-            yield np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-Rows = tuple[np.ndarray, ...]
-#: x holds a place, and below it `bits` bits: of the second hash (g), or in settled rows, which only pass through, of
-#: how many places follow each other from there. Settled places are below KNOWN; KNOWN tells that a window repeats.
-_NAMES = ["h", "id", "x"]
-_KIND = "h long, id long, x long"
+        out, done, power = word[: len(word) - n + 1] * np.uint64(0), 0, np.uint64(1)
+        part, size, step = word, 1, factor
+        while True:
+            if n & size:
+                out = out + part[done : done + len(out)] * power
+                done, power = done + size, power * step
+            if size * 2 > n:
+                return _mixed(out)
+            part = part[: len(part) - size] + part[size:] * step
+            size, step = size * 2, step * step
+
+
+def _inside(start: np.ndarray, n: int) -> np.ndarray:
+    """Places where a window of n words starts that ends in the same text."""
+    total = int(start[-1])
+    return np.flatnonzero(np.arange(total) + n <= np.repeat(start[1:], np.diff(start)))
+
+
+def minimizers(h: np.ndarray, at: np.ndarray, half: int, n: int) -> np.ndarray:
+    """The place of the least of the half-length hashes in each full window that starts at `at`."""
+    if not len(at):
+        return at
+    view = np.lib.stride_tricks.sliding_window_view(h, n - half + 1)
+    return at + view.argmin(1)[at]
+
+
+def _same(ids: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words from a on are those from b on."""
+    out = np.ones(len(a), bool)
+    for k in range(n):
+        out &= ids[a + k] == ids[b + k]
+    return out
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Number of the first row of the run of equal keys that each row of sorted arrays is in."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+#: x holds a place and below it BITS bits: how many places follow each other from there in settled rows, which only pass
+#: through. Settled places are below KNOWN; KNOWN tells that a window repeats.
+_NAMES = ["h", "id", "sub", "x"]
+_KIND = "h long, id long, sub long, x long"
 KNOWN = -1
 BITS = 16
+_MANY = (1 << BITS) - 1
 
 
-def _batch(settled: np.ndarray, h: np.ndarray, g: np.ndarray, ident: np.ndarray, at: np.ndarray, bits: int) -> pa.RecordBatch:
-    order = np.lexsort((at[settled], ident[settled]))
-    s_ident, s_at = ident[settled][order], at[settled][order]
-    starts = np.ones(len(s_at), bool)
-    if bits and len(s_at):
-        starts[1:] = (s_ident[1:] != s_ident[:-1]) | (s_at[1:] != s_at[:-1] + 1) | (s_at[1:] % ((1 << bits) - 1) == 0)
+def _sent(settled: tuple[np.ndarray, ...], rest: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Rows (id, sub, at) that are settled, as ranges, and rows (h, id, sub, at) that go on."""
+    ident, sub, at = settled
+    order = np.lexsort((at, sub, ident))
+    ident, sub, at = ident[order], sub[order], at[order]
+    starts = np.ones(len(at), bool)
+    starts[1:] = (ident[1:] != ident[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1] + 1) | (at[1:] % _MANY == 0)
     first = np.flatnonzero(starts)
-    length = np.diff(np.r_[first, len(s_at)])
-    s_ident, s_at = s_ident[first], s_at[first]
-    # What deals out a settled row is its place.
-    with np.errstate(over="ignore"):
-        place = _mixed(s_ident.astype(np.uint64) * _M2 + s_at.astype(np.uint64))
-    rest = ~settled
-    low = np.r_[g[rest].astype(np.int64), length] if bits else np.int64(0)
-    x = np.r_[at[rest], KNOWN - 1 - s_at].astype(np.int64) * (1 << bits) + low
-    return pa.RecordBatch.from_arrays([pa.array(np.r_[h[rest], place].view(np.int64)), pa.array(np.r_[ident[rest], s_ident]), pa.array(x)], _NAMES)
-
-
-def _runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Number of the run of equal (h, g) that each row of sorted arrays is in."""
-    return np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) - 1 if len(h) else np.zeros(0, np.int64)
-
-
-def _presettle(h: np.ndarray, g: np.ndarray, ident: np.ndarray, at: np.ndarray, later_only: bool, bits: int) -> pa.RecordBatch | None:
-    """What one batch sends: rows it can settle itself, and for the rest what other batches must see."""
-    if not len(h):
-        return None
-    g = g & np.uint64((1 << bits) - 1)
-    order = np.lexsort((ident, g, h))
-    h, g, ident, at = h[order], g[order], ident[order], at[order]
-    run = _runs(h, g)
-    first = np.r_[True, run[1:] != run[:-1]]
-    least = ident[first][run]
-    if later_only:  # a row of a larger id than the least is settled; rows of the least id go on
-        return _batch(ident != least, h, g, ident, at, bits)
-    shared = np.bincount(run, ident != least)[run] > 0
-    none = np.zeros(int((shared & first).sum()), bool)
-    stand = shared & first  # one row tells the other batches that the window repeats
-    return _batch(*(np.concatenate(x) for x in ((shared, none), (h, h[stand]), (g, g[stand]), (ident, ident[stand]), (at, at[stand] * 0 + KNOWN))), bits)
-
-
-def _decide(later_only: bool, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by h, g (the low bits of x), known first, id: gives (id, at, n) of the rows that repeat, n places from at on.
-
-        Of the run that is open between batches only its key, its least id, whether it repeats and the rows of its
-        first id are kept.
-        """
-        key = least = None
-        repeats, waiting = False, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, ident, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            at, g = (x >> bits).astype(np.int32), (x & ((1 << bits) - 1)).astype(np.int32)
-            settled = at < KNOWN
-            out = [(ident[settled], KNOWN - 1 - at[settled], g[settled] if bits else np.ones(int(settled.sum()), np.int32))]
-            h, g, ident, at = (x[~settled] for x in (h, g, ident, at))
-            known = at == KNOWN
-            if len(h):
-                runs = _runs(h, g)
-                first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
-                lows, told = ident[first].copy(), known[first].copy()
-                goes_on = key == (h[0], g[0])
-                if goes_on:
-                    lows[0], told[0] = least, told[0] or repeats
-                if later_only:
-                    hit = ident != lows[runs]
-                else:
-                    several = (np.bincount(runs, ident != lows[runs]) > 0) | told
-                    hit = several[runs]
-                    if goes_on and several[0]:
-                        out += waiting
-                out.append((ident[hit], at[hit], np.ones(int(hit.sum()), np.int32)))
-                last = runs == runs[-1]
-                if not later_only:
-                    open_on = goes_on and runs[-1] == 0
-                    repeats = bool(several[-1])
-                    waiting = [] if repeats else (waiting if open_on else []) + [(ident[last], at[last], np.ones(int(last.sum()), np.int32))]
-                key, least = (h[-1], g[-1]), lows[-1]
-            who, where, length = (np.concatenate(x) for x in zip(*out, strict=True))
-            real = where >= 0
-            if real.any():
-                yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(where[real]), pa.array(length[real])], ["id", "at", "n"])
-
-    return run
-
-
-def _repeating(rows: DataFrame, later_only: bool, bits: int = BITS) -> DataFrame:
-    """(id, at, n) of the windows that repeat: in a smaller id (later_only), or in another id at all."""
-    low, known = F.col("x").bitwiseAND((1 << bits) - 1), F.shiftright("x", bits) == KNOWN
-    dealt = rows.repartition("h").sortWithinPartitions("h", low, known.desc(), "id")
-    return dealt.mapInArrow(_decide(later_only, bits), "id long, at int, n int")
+    n = np.diff(np.r_[first, len(at)])
+    ident, sub, at = ident[first], sub[first], at[first]
+    with np.errstate(over="ignore"):  # what deals out a settled row is its place
+        place = _mixed(ident.astype(np.uint64) * _M2 + at.astype(np.uint64))
+    h, r_ident, r_sub, r_at = rest
+    x = np.r_[r_at * (1 << BITS), (KNOWN - 1 - at) * (1 << BITS) + n]
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[h, place].view(np.int64)), pa.array(np.r_[r_ident, ident]), pa.array(np.r_[r_sub, sub]), pa.array(x)], _NAMES)
+
+
+def _settle_some(h: np.ndarray, ident: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """One row a document and hash. Of hashes that two ids of the batch hold all rows are settled, and one row tells the
+    other batches that the hash repeats."""
+    order = np.lexsort((at, doc, ident, h))
+    h, ident, sub, doc, at = (c[order] for c in (h, ident, sub, doc, at))
+    one = _firsts(h, doc) == np.arange(len(h))
+    h, ident, sub, at = (c[one] for c in (h, ident, sub, at))
+    first = _firsts(h)
+    shared = np.zeros(len(h), bool)
+    np.logical_or.at(shared, first, ident != ident[first])
+    shared = shared[first]
+    tells, open_ = shared & (first == np.arange(len(h))), ~shared
+    rest = [np.r_[c[open_], c[tells]] for c in (h, ident, sub, at)]
+    rest[3][int(open_.sum()) :] = KNOWN
+    return _sent((ident[shared], sub[shared], at[shared]), tuple(rest))
+
+
+def _settle_later(ids: np.ndarray, n: int, h: np.ndarray, ident: np.ndarray, sub: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows that a smaller id of the batch also holds, by their words, are settled; of the rest one row a document,
+    hash and words goes on."""
+    order = np.lexsort((at, doc, ident, h))
+    h, ident, sub, doc, place, at = (c[order] for c in (h, ident, sub, doc, place, at))
+    lead, own = _firsts(h), _firsts(h, doc)
+    settled = (ident != ident[lead]) & _same(ids, place, place[lead], n)
+    again = ~settled & (own != np.arange(len(h))) & ~settled[own] & _same(ids, place, place[own], n)
+    go = ~settled & ~again
+    return _sent((ident[settled], sub[settled], at[settled]), (h[go], ident[go], sub[go], at[go]))
+
+
+def _decide_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h, known first, id: gives (id, sub, at, n) of the rows whose hash two ids hold.
+
+    Of the run that is open between batches only its hash, its first id, whether it repeats and its rows so far are
+    kept; these are rows of one id, of which a document has one.
+    """
+    key = least = None
+    repeats, waiting = False, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, ident, sub, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        at = x >> BITS
+        settled = at < KNOWN
+        out = [(ident[settled], sub[settled], KNOWN - 1 - at[settled], x[settled] & _MANY)]
+        h, ident, sub, at = (c[~settled] for c in (h, ident, sub, at))
+        if len(h):
+            first = _firsts(h)
+            goes_on = key == h[0]
+            lows = ident[first]
+            if goes_on:
+                lows[first == 0] = least
+            told = np.zeros(len(h), bool)
+            np.logical_or.at(told, first, (ident != lows) | (at == KNOWN))
+            if goes_on:
+                told[0] |= repeats
+                if told[0]:
+                    out += waiting
+            hit = told[first] & (at != KNOWN)
+            one = np.ones(len(h), np.int64)
+            out.append((ident[hit], sub[hit], at[hit], one[hit]))
+            last = first == first[-1]
+            repeats = bool(told[first[-1]])
+            held = waiting if goes_on and first[-1] == 0 else []
+            waiting = [] if repeats else [*held, (ident[last], sub[last], at[last], one[last])]
+            key, least = h[-1], lows[-1]
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        if len(cols[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.int32()) for c in cols[2:]], ["id", "sub", "at", "n"])
+
+
+def _decide_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h, id: gives (id, sub, at, n, wid, wsub, wat) of settled rows (wat -1), and of all rows but the
+    first of each hash, which is their witness."""
+    key = None
+    witness: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, ident, sub, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        at = x >> BITS
+        s = at < KNOWN
+        out = [(ident[s], sub[s], KNOWN - 1 - at[s], x[s] & _MANY, ident[s], sub[s], np.full(int(s.sum()), -1))]
+        h, ident, sub, at = (c[~s] for c in (h, ident, sub, at))
+        if len(h):
+            first = _firsts(h)
+            w = [c[first] for c in (ident, sub, at)]
+            hit = first != np.arange(len(h))
+            if key == h[0]:
+                for c, v in zip(w, witness, strict=True):
+                    c[first == 0] = v
+                hit[0] = True
+            key, witness = h[-1], tuple(c[-1] for c in w)
+            out.append((ident[hit], sub[hit], at[hit], np.ones(int(hit.sum()), np.int64), *(c[hit] for c in w)))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        if len(cols[0]):
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "sub", "at", "n", "wid", "wsub", "wat"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    known = F.shiftright("x", BITS) == KNOWN
+    return rows.repartition("h").sortWithinPartitions("h", known.desc(), "id", "sub", "x")
 
 
 def _first_level(docs: DataFrame, half: int, window: int) -> DataFrame:
-    """(id, at) of the minimizers that occur in two documents or more."""
+    """(id, sub, at, n): the first place in a document of each minimizer that two ids hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for b in batches:
-            ids = b.column(0).to_numpy()
-            h, owner, at = [], [], []
-            for k, word in enumerate(_hashed(b.column(1).to_pylist())):
-                with np.errstate(over="ignore"):
-                    chosen, hashes = minimizers(word, half, window)
-                chosen = chosen[np.r_[True, chosen[1:] != chosen[:-1]]] if len(chosen) else chosen
-                h.append(hashes[chosen])
-                at.append(chosen)
-                owner.append(np.full(len(chosen), ids[k]))
-            if h and (out := _presettle(c := np.concatenate(h), c * np.uint64(0), np.concatenate(owner), np.concatenate(at), False, 0)) is not None:
-                yield out
+            ids, start = words.read([t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()])
+            h = window_hashes(words.hash[ids], half)
+            chosen = np.unique(minimizers(h, _inside(start, window), half, window))
+            if len(chosen):
+                doc = np.searchsorted(start, chosen, "right") - 1
+                yield _settle_some(h[chosen], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, chosen - start[doc])
+
+    return _dealt(map_text(docs, run, _KIND, BATCH)).mapInArrow(_decide_some, "id long, sub long, at int, n int")
+
 
-    return _repeating(map_text(docs, run, _KIND, BATCH), later_only=False, bits=0)
+def _marked(texts: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
+    """texts (id, sub, z) with the different marks of each, a list of structs."""
+    rest = [c for c in marks.columns if c not in ("id", "sub")]
+    return texts.join(marks.groupBy("id", "sub").agg(F.collect_set(F.struct(*rest)).alias("marks")), ["id", "sub"], how).select("id", "sub", "z", "marks")
 
 
-def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs (id, t) with the list of each document's marks: a place, and in the low BITS bits how many follow from there."""
-    held = marks.groupBy("id").agg(F.collect_list(F.col("at") * F.lit(1 << BITS).cast("long") + F.col("n")).alias("marks"))
-    return docs.join(held, "id", how).select("id", "t", "marks")
+def _fields(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a list column of structs: the row of each element, and the fields."""
+    off = column.offsets.to_numpy()
+    values = column.values.slice(off[0], off[-1] - off[0])
+    row = np.repeat(np.arange(len(column)), np.diff(off))
+    return row, [values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)]
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The places of each row's marks."""
-    off, packed = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    at, n = packed >> BITS, packed & ((1 << BITS) - 1)
-    ends = np.r_[0, np.cumsum(n)]
-    places = np.repeat(at - ends[:-1], n) + np.arange(ends[-1])
-    return [places[ends[a] : ends[b]] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+def _places(start: np.ndarray, column: pa.Array, reach: int) -> np.ndarray:
+    """The places, among all words of a batch, of the marks (at, n) that leave room for a window of `reach` words."""
+    row, (at, n, *_) = _fields(column)
+    places = np.repeat(start[row] + at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(places[places + reach <= np.repeat(start[row + 1], n)])
 
 
-def _full_level(marked: DataFrame, half: int, window: int, later_only: bool = True) -> DataFrame:
-    """(id, at) of the full windows over repeated minimizers that repeat themselves."""
+def _plain_texts(column: pa.Array) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(z) for z in column.to_pylist()]
+
+
+def _full_windows(marked: DataFrame, half: int, window: int, settle: Callable) -> DataFrame:
+    """Rows to deal: full windows over the marked minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for b in batches:
-            ids, marks = b.column(0).to_numpy(), _lists(b.column(2))
-            parts: list[Rows] = []
-            for k, word in enumerate(_hashed(b.column(1).to_pylist())):
-                with np.errstate(over="ignore"):
-                    chosen, _ = minimizers(word, half, window)
-                    held = np.zeros(len(word) + 1, bool)
-                    held[marks[k]] = True
-                    at = np.flatnonzero(held[chosen])
-                    parts.append((window_hashes(word, window, _M1)[at], window_hashes(word, window, _M2)[at], np.full(len(at), ids[k]), at))
-            if parts and (out := _presettle(*(np.concatenate(x) for x in zip(*parts, strict=True)), later_only, BITS)) is not None:
-                yield out
+            ids, start = words.read(_plain_texts(b.column(2)))
+            h = window_hashes(words.hash[ids], half)
+            at = _inside(start, window)
+            # A hash repeats or does not, so what one document's mark tells holds for the batch.
+            at = at[np.isin(h[minimizers(h, at, half, window)], h[_places(start, b.column(3), half)])]
+            if len(at):
+                doc = np.searchsorted(start, at, "right") - 1
+                yield settle(ids, window, window_hashes(words.hash[ids], window, _M2)[at], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, at, at - start[doc])
 
-    return _repeating(map_text(marked, run, _KIND, BATCH), later_only)
+    return map_text(marked, run, _KIND, BATCH)
 
 
-def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def _claims(marked: DataFrame, window: int) -> DataFrame:
+    """(wid, wsub, wat, id, sub, at, n, words): n consecutive windows that a witness is said to hold from wat on, and
+    their words; settled ones stand under their own id, without words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            row, (at, n, wid, wsub, wat) = _fields(b.column(3))
+            order = np.lexsort((at, wat - at, wsub, wid, row))
+            row, at, n, wid, wsub, wat = (c[order] for c in (row, at, n, wid, wsub, wat))
+            new = np.ones(len(at), bool)
+            new[1:] = (wat[1:] < 0) | (row[1:] != row[:-1]) | (wid[1:] != wid[:-1]) | (wsub[1:] != wsub[:-1]) | (wat[1:] != wat[:-1] + 1) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            n = np.where(wat[first] < 0, n[first], np.diff(np.r_[first, len(at)]))
+            row, at, wid, wsub, wat = (c[first] for c in (row, at, wid, wsub, wat))
+            split: dict[int, list[bytes]] = {}
+            shown = []
+            texts = b.column(2)
+            for r, a, k, w in zip(row.tolist(), at.tolist(), n.tolist(), wat.tolist(), strict=True):
+                if w >= 0 and r not in split:
+                    split = {r: _plain_texts(texts.slice(r, 1))[0].split()}
+                shown.append(pack(b" ".join(split[r][a : a + k + window - 1])) if w >= 0 else None)
+            ident, sub = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+            cols = [pa.array(c, k) for c, k in ((wid, pa.int64()), (wsub, pa.int64()), (wat, pa.int32()), (ident, pa.int64()), (sub, pa.int64()), (at, pa.int32()), (n, pa.int32()), (shown, pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, ["wid", "wsub", "wat", "id", "sub", "at", "n", "words"])
+
+    return map_text(marked, run, "wid long, wsub long, wat int, id long, sub long, at int, n int, words binary", BATCH)
+
+
+def _verified(claims: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """(id, sub, at, n, words): windows that an earlier id holds; with words, those for which the witness was wrong."""
+    held = texts.select(F.col("id").alias("wid"), F.col("sub").alias("wsub"), F.col("z"))
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        seen, theirs = None, []
+        for b in batches:
+            out = []
+            for wid, wsub, wat, ident, sub, at, n, shown, z in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+                if shown is None:
+                    out.append((ident, sub, at, n, None))
+                    continue
+                if seen != (wid, wsub):
+                    seen, theirs = (wid, wsub), open_(z).split()
+                mine = open_(shown).split(b" ")
+                if mine == theirs[wat : wat + len(mine)]:
+                    if ident != wid:  # places of one id are no copies of each other
+                        out.append((ident, sub, at, n, None))
+                    continue
+                same = [x == y for x, y in zip(mine, theirs[wat : wat + len(mine)], strict=True)]
+                for k in range(n):
+                    if not all(same[k : k + window]):
+                        out.append((ident, sub, at + k, 1, b" ".join(mine[k : k + window])))
+                    elif ident != wid:
+                        out.append((ident, sub, at + k, 1, None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["id", "sub", "at", "n", "words"])
+
+    both = claims.join(held.hint("merge"), ["wid", "wsub"]).select("wid", "wsub", "wat", "id", "sub", "at", "n", "words", "z")
+    return map_text(both, run, "id long, sub long, at int, n int, words binary", BATCH)
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (id, sub, t) of docs, ids being integers in the order of the given ids; of them one of each (id, sub), without
+    null ids; and (id, name) if the ids were no integers.
+
+    sub tells the texts of an id apart: 0 where the id has one row, else a hash of the text.
+    """
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    rows = docs.select(F.col(id_col).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    names = None
+    if whole:
+        rows = rows.select(F.col("name").cast("long").alias("id"), "t")
+    else:
+        names = cut(rows.where("name is not null").select("name").distinct().sort("name").withColumn("id", F.monotonically_increasing_id()))
+        rows = rows.join(names, "name", "left").select("id", "t")
+    again = cut(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit(True).alias("again")))
+    if again.isEmpty():
+        rows = rows.select("id", F.lit(0).cast("long").alias("sub"), "t")
+        return rows, rows.where("id is not null"), names
+    rows = rows.join(again, "id", "left").select("id", F.when(F.col("again"), F.xxhash64("t")).otherwise(F.lit(0)).cast("long").alias("sub"), "t")
+    return rows, rows.where("id is not null").dropDuplicates(["id", "sub"]), names
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(id, sub, z) of rows (id, sub, t): the text compressed, as it is dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())], ["id", "sub", "z"])
+
+    return map_text(rows, run, "id long, sub long, z binary")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, trusted: int = int(_EVERY)) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept (the words left, joined by one space).
 
-    A word goes if a window of `window` words that covers it also starts in a document with a smaller id.
+    A word goes if a window of `window` words that covers it also starts in a document with a smaller id. trusted masks
+    the hash that proposes equal windows: fewer bits change no result, only the number of claims that fail.
     """
     half = (window + 1) // 2
-    every = _plain(docs, id_col, text_col)
-    named = every.where(F.col("id").isNotNull())
-    repeated = _first_level(named, half, window)
-    removed = _full_level(_marked(named, repeated, "inner"), half, window)
+    # A row that repeats another one whole has its answer. Where no id repeats, all steps read one exchange of the texts.
+    rows, once, names = _numbered(docs, id_col, text_col)
+    texts = _packed(once)
+    settle = lambda ids, n, h, *rest: _settle_later(ids, n, h & np.uint64(trusted), *rest)
+    met = _dealt(_full_windows(_marked(texts, _first_level(once, half, window)), half, window, settle))
+    met = met.mapInArrow(_decide_later, "id long, sub long, at int, n int, wid long, wsub long, wat int")
+    found = cut(_verified(_claims(_marked(texts, met), window), texts, window))
+    marks = found.where("words is null").select("id", "sub", "at", "n")
+    wrong = found.where("words is not null")
+    if not wrong.isEmpty():
+        first = wrong.groupBy("words").agg(F.min("id").alias("first"))
+        marks = marks.unionByName(wrong.join(first, "words").where("id > first").select("id", "sub", "at", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for b in batches:
-            rows = []
-            for text, marks in zip(b.column(1).to_pylist(), _lists(b.column(2)), strict=True):
-                words = words_of(text)
-                n = len(words)
-                if len(marks):
-                    edge = np.zeros(n + 1, np.int64)
-                    marks = np.unique(marks)
-                    edge[marks] += 1
-                    edge[np.minimum(marks + window, n)] -= 1
-                    words = list(compress(words, (np.cumsum(edge[:n]) == 0).tolist()))
-                rows.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["id", "n_words", "n_removed", "kept"])
-
-    nothing = F.array().cast("array<bigint>")
-    marked = _marked(named, removed, "left").withColumn("marks", F.coalesce("marks", nothing))
-    marked = marked.unionByName(every.where(F.col("id").isNull()).withColumn("marks", nothing))
-    return map_text(marked, run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
-
-
-def _places(ranges: DataFrame) -> DataFrame:
-    """(id, at): one row a place."""
-    return ranges.select("id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct()
+            texts = _plain_texts(b.column(2))
+            shown, gone = [], []
+            some = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            kept = [None] * len(texts)
+            if some.any():
+                at = np.flatnonzero(some)
+                ids, start = words.read([texts[k] for k in at.tolist()])
+                places = _spread(ids, start, window_hashes(words.hash[ids], window), _places(start, b.column(3).filter(pa.array(some)), window), window)
+                edge = np.zeros(len(ids) + 1, np.int64)
+                edge[places] += 1
+                np.subtract.at(edge, places + window, 1)
+                stays = np.cumsum(edge[:-1]) == 0
+                for k, lo, hi in zip(at.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
+                    kept[k] = stays[lo:hi].tolist()
+            for text, keep in zip(texts, kept, strict=True):
+                all_ = text.split()
+                left = all_ if keep is None else list(compress(all_, keep))
+                shown.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+                gone.append((len(all_), len(all_) - len(left)))
+            n, dropped = zip(*gone, strict=True) if gone else ([], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shown, pa.string())], ["id", "n_words", "n_removed", "kept"])
+
+    marked = _marked(_packed(rows.where("id is not null")), marks, "left")
+    nothing = F.lit(None).cast(marked.schema["marks"].dataType)
+    marked = marked.unionByName(_packed(rows.where(F.col("id").isNull())).withColumn("marks", nothing))
+    out = map_text(marked, run, "id long, n_words long, n_removed long, kept string", BATCH)
+    if names is not None:
+        out = out.join(names, "id", "left").withColumn("id", F.col("name"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept")
+
+
+def _spread(ids: np.ndarray, start: np.ndarray, h: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """The marked places and all places of the same documents whose window has the words of a marked one."""
+    at = _inside(start, n)
+    doc = np.searchsorted(start, at, "right") - 1
+    marked = np.zeros(int(start[-1]) + 1, bool)
+    marked[places] = True
+    order = np.lexsort((at, ~marked[at], h[at], doc))
+    at, doc = at[order], doc[order]
+    lead = _firsts(doc, h[at])  # a marked one where the document has one
+    more = marked[at[lead]] & ~marked[at]
+    more[more] = _same(ids, at[more], at[lead[more]], n)
+    marked[at[more]] = True
+    return np.flatnonzero(marked[:-1])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, at, length): window starts that repeat in another document, at the greatest of the lengths window,
-    2 x window, 4 x window ... that repeats there. The loop ends when no window survives a doubling."""
+    2 x window, 4 x window ... that repeats there. The loop ends when no window survives a doubling. Windows are told
+    apart by a 64-bit hash of the words."""
     half = (window + 1) // 2
-    named = _plain(docs, id_col, text_col).where(F.col("id").isNotNull())
-    now = cut(_full_level(_marked(named, _first_level(named, half, window), "inner"), half, window, later_only=False).transform(_places))
+    _, named, names = _numbered(docs, id_col, text_col)
+    texts = _packed(named)
+    some = lambda ids, n, h, ident, sub, doc, place, at: _settle_some(h, ident, sub, doc, at)
+
+    def level(marked: DataFrame, length: int) -> DataFrame:
+        return _dealt(marked).mapInArrow(_decide_some, "id long, sub long, at int, n int")
+
+    def every_place(found: DataFrame, length: int) -> DataFrame:
+        """(id, sub, at): all places of the repeated windows, of which a document names the first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Words()
+            for b in batches:
+                ids, start = words.read(_plain_texts(b.column(2)))
+                at = _spread(ids, start, window_hashes(words.hash[ids], length), _places(start, b.column(3), length), length)
+                doc = np.searchsorted(start, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[doc]), pa.array(b.column(1).to_numpy()[doc]), pa.array((at - start[doc]).astype(np.int32))], ["id", "sub", "at"])
+
+        return map_text(_marked(texts, found), run, "id long, sub long, at int", BATCH)
+
+    def longer(marked: DataFrame, length: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Words()
+            for b in batches:
+                ids, start = words.read(_plain_texts(b.column(2)))
+                at = _places(start, b.column(3), length)
+                if len(at):
+                    doc = np.searchsorted(start, at, "right") - 1
+                    yield _settle_some(window_hashes(words.hash[ids], length, _M2)[at], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, at - start[doc])
+
+        return map_text(marked, run, _KIND, BATCH)
+
+    now = cut(every_place(level(_full_windows(_marked(texts, _first_level(named, half, window)), half, window, some), window), window))
     length, found = window, None
     while not now.isEmpty():
-        level = now.withColumn("length", F.lit(length))
-        found = level if found is None else found.unionByName(level)
+        tier = now.withColumn("length", F.lit(length))
+        found = tier if found is None else found.unionByName(tier)
         # A window of twice the length can repeat only where both its halves do.
-        ahead = now.select("id", (F.col("at") - length).cast("int").alias("at"))
-        starts = now.join(ahead, ["id", "at"], "left_semi").withColumn("n", F.lit(1))
-        now = cut(_exact_level(_marked(named, starts, "inner"), 2 * length).transform(_places))
+        ahead = now.select("id", "sub", (F.col("at") - length).cast("int").alias("at"))
+        starts = now.join(ahead, ["id", "sub", "at"], "left_semi").withColumn("n", F.lit(1))
+        now = cut(every_place(level(longer(_marked(texts, starts), 2 * length), 2 * length), 2 * length))
         length *= 2
     if found is None:
         found = now.withColumn("length", F.lit(length))
-    return found.groupBy("id", "at").agg(F.max("length").alias("length")).withColumnRenamed("id", id_col)
-
-
-def _exact_level(marked: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, parts = b.column(0).to_numpy(), []
-            for k, (word, marks) in enumerate(zip(_hashed(b.column(1).to_pylist()), _lists(b.column(2)), strict=True)):
-                with np.errstate(over="ignore"):
-                    at = np.unique(marks[marks + length <= len(word)])
-                    parts.append((window_hashes(word, length, _M1)[at], window_hashes(word, length, _M2)[at], np.full(len(at), ids[k]), at.astype(np.int64)))
-            if parts and (out := _presettle(*(np.concatenate(x) for x in zip(*parts, strict=True)), False, BITS)) is not None:
-                yield out
-
-    return _repeating(map_text(marked, run, _KIND), later_only=False)
+    out = found.groupBy("id", "sub", "at").agg(F.max("length").alias("length"))
+    if names is not None:
+        out = out.join(names, "id").withColumn("id", F.col("name"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "at", "length")

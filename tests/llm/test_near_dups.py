@@ -132,6 +132,26 @@ def test_substring_dedup_null_id_and_empty_table(spark):
     assert simhash_groups(frame(spark, [(1, "a")]).where("false")).count() == 0
 
 
+def test_substring_dedup_decides_by_words_when_hashes_collide(spark):
+    """With six bits of hash left nearly every window meets another one's hash."""
+    rows = corpus(7, 90, 60) + [(10_002, "a " * 40), (10_003, "a " * 15), (10_004, "b a " * 12)]
+    got = substring_dedup(frame(spark, rows), trusted=0xFC00000000000000)
+    assert sorted(map(tuple, got.collect())) == brute_removed(rows)
+
+
+def test_substring_dedup_of_repeated_and_textual_ids(spark):
+    """Rows that share an id, with equal or other texts, are no copies of each other; textual ids are ordered as text."""
+    rng = random.Random(12)
+    base = corpus(4, 60, 50)
+    rows = base + [(d, rng.choice(base)[1]) for d, _ in rng.choices(base, k=40)] + base[:3] * 3 + [(3, "z " * 3000 + base[5][1])]
+    got = substring_dedup(frame(spark, rows))
+    assert sorted(map(tuple, got.collect())) == brute_removed(rows)
+    named = [(f"d{d}", t) for d, t in rows]
+    df = spark.createDataFrame([(d, t, "x") for d, t in named] + [(None, "n " * 20, "x")], "doc_id string, text string, id string").repartition(3)
+    got = sorted((tuple(r) for r in substring_dedup(df).collect() if r[0] is not None))
+    assert got == brute_removed(named)
+
+
 def test_repeated_spans_double_until_none_is_left(spark):
     shared = " ".join(f"s{k}" for k in range(60))
     rows = [(1, "x " + shared), (2, "y z " + shared), (3, "alone " * 3)]

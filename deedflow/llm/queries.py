@@ -51,9 +51,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-OP4_SQL = f"""
+OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-held AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct([x FOR x IN ls IF trim(x) <> ''])) AS line FROM d) GROUP BY ALL),
+held AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct([x FOR x IN ls IF regexp_matches(x, '[^\x20\x09-\x0D]')])) AS line FROM d) GROUP BY ALL),
 total AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 bad AS (SELECT h.source, list(line) AS lines FROM held h JOIN total t ON h.source IS NOT DISTINCT FROM t.source WHERE c >= {LEAST} AND c > n * {RATIO}::DOUBLE GROUP BY h.source),
 k AS (SELECT doc_id, ls, [x FOR x IN ls IF NOT list_contains(coalesce(lines, []), x)] AS kept FROM d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)

@@ -1,12 +1,14 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash (DataFrame functions only).
 
-Two cheap aggregates rule out almost every row before the full hash decides. Only (length, prefix) pairs held by
-two rows or more stay in play; the grouping by full hash reads those rows alone. Groups are never gathered: counts
-and the row to keep are partial aggregates, and the join back is an ordinary equi-join that AQE splits when one
-group of copies holds a large share of the rows.
-
-Defined results: null text counts as empty, all empty texts are equal. Rows that repeat an id repeat its answer.
-An empty table gives no rows. Columns other than id and text are ignored, whatever their names.
+Level one counts rows by length, a partial aggregate of one row a different length. Level two hashes the prefix of
+rows of a length that is held twice or more, and of no others. Level three groups by full hash those rows alone whose
+length and prefix are both held twice or more. Groups are never gathered: counts and the row to keep are partial
+aggregates, and the join back is an ordinary equi-join that AQE splits when one group of copies holds a large share
+of the rows.
+
+Defined results: null text counts as empty, all empty texts are equal; of rows that tie in length and id any stands for
+all; rows that repeat an id repeat its answer if their texts are equal, and are documents of their own if not; texts of
+any length are read whole; an empty table gives no rows. Columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut
+from deedflow.llm.common import cut, small
 
 PREFIX = 64
 
@@ -31,16 +33,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone prove unique, whose full content is then never hashed.
     """
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).select("id", F.char_length("t").alias("n"), normalised(F.col("t")).alias("u"))
-    sized = raw.select("id", "n", "u", F.char_length("u").alias("len"), F.xxhash64(F.substring("u", 1, prefix)).alias("head"))
-    counts = sized.groupBy("len", "head").agg(F.count(F.lit(1)).alias("c"))
-    lengths = counts.groupBy("len").agg(F.sum("c").alias("c")).where("c > 1").select("len")
-    heads = counts.where("c > 1").join(lengths, "len", "left_semi").select("len", "head", F.lit(True).alias("live"))
+    # Level one: a text's length in code points, of which there are no more than the longest text has.
+    sized = raw.select("id", "n", "u", F.char_length("u").alias("len"))
+    lengths = small(cut(sized.groupBy("len").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("len", F.lit(True).alias("again"))))
+    # Level two: prefix hashes of the rows that level one leaves.
+    headed = sized.join(lengths, "len", "left").withColumn("head", F.when(F.col("again"), F.xxhash64(F.substring("u", 1, prefix))))
+    heads = headed.where("again").groupBy("len", "head").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("len", "head", F.lit(True).alias("live"))
     digest = F.sha2(F.encode("u", "UTF-8"), 256)
     if digest_all:
-        rows = sized.select("id", "n", "len", "head", digest.alias("sha")).join(heads, ["len", "head"], "left")
+        rows = headed.select("id", "n", "len", "head", digest.alias("sha")).join(heads, ["len", "head"], "left")
     else:
-        rows = sized.join(heads, ["len", "head"], "left").withColumn("sha", F.when(F.col("live"), digest))
+        rows = headed.join(heads, ["len", "head"], "left").withColumn("sha", F.when(F.col("live"), digest))
     rows = cut(rows.select("id", "n", "sha", F.coalesce("live", F.lit(False)).alias("live")))
+    # Level three: full hashes of the rows that level two leaves.
     first = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").alias("id")))
     groups = rows.where("live").groupBy("sha").agg(F.count(F.lit(1)).alias("size"), first["id"].alias("keep")).where("size > 1")
     out = rows.join(groups, "sha", "left")

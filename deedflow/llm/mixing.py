@@ -3,15 +3,18 @@
 The words of each source form one stream, cut into blocks of BLOCK words. Every output shard has a fixed number of
 slots; how many of them a source gets is a multinomial draw, conditioned on the source's total (a multivariate
 hypergeometric draw, made by splitting the shards in halves), so that over all shards a source is taken exactly as
-often as its target says. A source's slots run through its blocks in pseudorandom order, a new permutation for every
+often as its target says. A half is drawn by binomials and then corrected to its size by a uniform draw of the
+difference, which is exact for populations of any size. A source's slots run through its blocks in pseudorandom order, a new permutation for every
 round, and blocks are joined to the slots by index. A block is thus taken at most ceil(slots / blocks) times.
 
 Draws and permutations depend on the seed and the numbers of blocks alone: reruns agree, and a lost task is redrawn
-alike. Word offsets come from sums over chunks of a source and inside a chunk, so a source that holds a third of all
-rows is no single task. What is collected is the recipe: one row a source.
+alike. Word offsets come from sums over chunks of a source, over groups of chunks, and inside a chunk, so a source that
+holds a third of all rows is no single task. What is collected is the recipe: one row of five numbers a source, for
+which SOURCES is the bound; a table of more sources is refused before anything is collected.
 
 Defined results: null and empty texts have size 0 and nothing is taken from them; null is a source like any other,
-last in order; rows that repeat an id are documents of their own; an empty table gives no rows.
+last in order; texts of any length are counted whole; rows that repeat an id are documents of their own, equal rows take the
+same words or an equal number; an empty table gives no rows. Columns other than id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut
+from deedflow.llm.common import cut, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 64
 SLOTS = 4096
-CHUNK_ROWS = 5000
-#: Beyond this population numpy's exact draw is undefined; such large halves are split in proportion.
-DRAWN = 10**9 - 1
+CHUNK_ROWS = 512
+#: Chunks whose sums are added up together.
+CHUNKS = 1024
+#: Sources that a recipe may name.
+SOURCES = 1_000_000
+#: Draws of at most so many items are made one by one.
+FEW = 64
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -75,6 +82,31 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def drawn(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among `take` items drawn without replacement: a uniform subset of that size, exactly.
+
+    Items that enter by independent coins of one probability are, given their number, a uniform subset of that number.
+    What the coins bring too many is drawn out of it again, what they bring too few out of the rest; that difference is
+    about the square root of the draw, so a few turns lead to a draw of a handful.
+    """
+    total = int(counts.sum())
+    if 2 * take > total:
+        return counts - drawn(counts, total - take, rng)
+    if take <= FEW:
+        ends, out = np.cumsum(counts), np.zeros_like(counts)
+        # Different places among all items, drawn again on a repeat.
+        places: set[int] = set()
+        while len(places) < take:
+            places.add(int(rng.integers(total)))
+        np.add.at(out, np.searchsorted(ends, np.array(sorted(places), np.int64), side="right"), 1)
+        return out
+    got = rng.binomial(counts, take / total)
+    over = int(got.sum()) - take
+    if over > 0:
+        return got - drawn(got, over, rng)
+    return got + drawn(counts - got, -over, rng) if over else got
+
+
 @dataclass(frozen=True)
 class Recipe:
     """Blocks and slots of each source, by number."""
@@ -87,16 +119,6 @@ class Recipe:
     def shards(self) -> int:
         return -(-sum(self.slots) // SLOTS)
 
-    def _left(self, counts: np.ndarray, take: int, lo: int, hi: int) -> np.ndarray:
-        total = int(counts.sum())
-        if total > DRAWN:
-            exact = counts * (take / total)
-            out = np.floor(exact).astype(np.int64)
-            more = np.argsort(out - exact, kind="stable")[: take - int(out.sum())]
-            out[more] += 1
-            return out
-        return np.random.default_rng([self.seed, lo, hi]).multivariate_hypergeometric(counts, take, method="marginals")
-
     def draw(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         """(source counts of a shard, slots that each source has in the shards before it)."""
         lo, hi = 0, self.shards
@@ -104,7 +126,7 @@ class Recipe:
         before = np.zeros_like(counts)
         while hi - lo > 1:
             mid = (lo + hi) // 2
-            left = self._left(counts, (mid - lo) * SLOTS, lo, hi)
+            left = drawn(counts, (mid - lo) * SLOTS, np.random.default_rng([self.seed, lo, hi]))
             if shard < mid:
                 counts, hi = left, mid
             else:
@@ -140,6 +162,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    if (many := sized.select("source").distinct().limit(SOURCES + 1).count()) > SOURCES:
+        raise ValueError(f"a recipe names at most {SOURCES} sources, here are {many} or more")
     plan = cut(targets(sized, weights, most))
     rows = plan.orderBy("no").collect()
     blocks = tuple(-(-r["source_size"] // block) for r in rows)
@@ -148,9 +172,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     recipe = Recipe(blocks, slots, seed)
 
     chunks = max(1, -(-sized.count() // CHUNK_ROWS))
-    named = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select("id", "no", "size", "source_size", "target", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
-    ahead = W.partitionBy("no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    sums = named.groupBy("no", "chunk").agg(F.sum("size").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(ahead), F.lit(0))).select("no", "chunk", "base")
+    named = sized.join(small(plan), sized["source"].eqNullSafe(plan["source"])).select("id", "no", "size", "source_size", "target", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)).alias("chunk"))
+    # Offsets of chunks: of their group in the source, and in their group.
+    ahead = lambda by, at: W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    own = cut(named.groupBy("no", "chunk").agg(F.sum("size").alias("own")).withColumn("group", F.floor(F.col("chunk") / CHUNKS)))
+    groups = own.groupBy("no", "group").agg(F.sum("own").alias("own")).select("no", "group", F.coalesce(F.sum("own").over(ahead(["no"], "group")), F.lit(0)).alias("far"))
+    sums = own.withColumn("near", F.coalesce(F.sum("own").over(ahead(["no", "group"], "chunk")), F.lit(0))).join(groups, ["no", "group"]).select("no", "chunk", (F.col("far") + F.col("near")).alias("base"))
     inside = W.partitionBy("no", "chunk").orderBy("id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = named.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["no", "chunk"])
     placed = cut(placed.select("id", "no", "size", (F.col("base") + F.col("inner")).alias("at"), "source_size", "target"))

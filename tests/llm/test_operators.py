@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deedflow.llm import decontaminate as D
 from deedflow.llm import mixing as M
@@ -13,7 +14,7 @@ from deedflow.llm import quality as Q
 from deedflow.llm.common import cut, small
 from deedflow.llm.components import components
 from deedflow.llm.exact_dedup import exact_dedup
-from deedflow.llm.line_dedup import line_dedup
+from deedflow.llm.line_dedup import host_of, html_lines, line_dedup
 from deedflow.llm.pii import find_personal
 from deedflow.llm.pii_tagger import labelled, spans_of, trained
 from deedflow.llm.secret_scan import find_secrets, guess_cost
@@ -87,13 +88,28 @@ def test_line_dedup_broadcast_and_shuffle(spark, limit):
         ls = (t or "").split("\n")
         left = [x for x in ls if (h, x) not in bad]
         want.append((d, len(ls), len(ls) - len(left), "\n".join(left)))
-    got = as_set(line_dedup(frame(spark, rows), ratio=ratio, least=least, broadcast_rows=limit))
+    got = as_set(line_dedup(frame(spark, rows), ratio=ratio, least=least, listed_chars=limit))
     assert got == sorted(want, key=str) and any(w[2] for w in want)
     carried = line_dedup(frame(spark, rows), ratio=ratio, least=least, carry=True).select("row.*")
     assert carried.columns == frame(spark, rows).columns and carried.count() == len(rows)
     assert line_dedup(frame(spark, rows).where("false")).count() == 0
 
 
+def test_blank_lines_of_any_white_space_stay(spark):
+    rows = [(k, f"own {k}\r\n\r\n\t \nbanner\r", "h") for k in range(10)]
+    got = as_set(line_dedup(frame(spark, rows)))
+    assert got == sorted(((k, 4, 1, f"own {k}\r\n\r\n\t ") for k in range(10)), key=str)
+
+
+def test_hosts_of_urls_and_lines_of_markup(spark):
+    urls = {"https://www.Example.com/a?b": "example.com", "http://user:pw@m.site.org:8080/x": "m.site.org", "ftp://h": "h", "no url": None, "": None}
+    df = spark.createDataFrame([(u, w) for u, w in urls.items()], "u string, w string")
+    assert all(r[0] == r[1] for r in df.select(host_of(df["u"]), "w").collect())
+    html = "<html><body><nav><ul><li>Home</li><li><b>All</b> news</li></ul></nav><p>own text</p><script>var a='<p>';</script><footer>© site</footer></body></html>"
+    lines = [x for x in spark.createDataFrame([(html,)], "h string").select(html_lines(F.col("h"))).first()[0].split("\n") if x]
+    assert lines == ["Home", "All news", "own text", "© site"]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -292,6 +308,24 @@ def test_mix_slots_and_texts(spark):
     assert words == M.taken(mixed).agg({"taken": "sum"}).first()[0]
 
 
+def test_draws_are_uniform_subsets_at_any_size():
+    rng = np.random.default_rng(5)
+    counts, take = np.array([400, 100, 0, 700]), 300
+    got = np.array([M.drawn(counts, take, rng) for _ in range(4000)])
+    assert (got.sum(1) == take).all() and (got <= counts).all() and (got >= 0).all()
+    share, left = counts / counts.sum(), (counts.sum() - take) / (counts.sum() - 1)
+    assert np.allclose(got.mean(0), take * share, atol=0.6) and np.allclose(got.var(0), take * share * (1 - share) * left, rtol=0.12)
+    # The same law far beyond what is drawn in one go: no rounding in proportion.
+    huge = np.array([6 * 10**12, 10**12, 3, 5 * 10**11])
+    take = 3 * 10**12
+    got = np.array([M.drawn(huge, take, rng) for _ in range(600)])
+    assert (got.sum(1) == take).all() and (got <= huge).all() and (got >= 0).all()
+    share, left = huge / huge.sum(), 1 - take / huge.sum()
+    wide = np.sqrt(take * share * (1 - share) * left)
+    assert (abs(got.mean(0) - take * share) < wide / 3 + 0.2).all() and np.allclose(got.std(0)[[0, 1, 3]], wide[[0, 1, 3]], rtol=0.12)
+    assert (M.drawn(np.zeros(3, np.int64), 0, rng) == 0).all() and (M.drawn(counts, int(counts.sum()), rng) == counts).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000, 4097])
 def test_permutation(n):
     assert sorted(M.permuted(np.arange(n), n, 77).tolist()) == list(range(n))

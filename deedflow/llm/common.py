@@ -38,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame, parts: int = 8) -> DataFrame:
+    """cut() for results of few rows, which are dealt to a few files after they are computed."""
+    return cut(df.repartition(parts))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is measured to have at most `rows` rows; else df, joined by shuffle.
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut, small
+from deedflow.llm.common import cut_few, small
 
 RATIO = 0.05
 LEAST = 3
@@ -60,9 +60,9 @@ def _over(counts: DataFrame, totals: DataFrame, ratio: float, least: int) -> Dat
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, chars: int = LISTED_CHARS) -> DataFrame:
     """(host, h, line) of pages (host, t): the boilerplate lines of each host and their hashes."""
-    totals = small(cut(pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))))
+    totals = small(cut_few(pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))))
     hashes = pages.select("host", F.explode(_seen(F.col("t"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("c"))
-    likely = cut(_over(hashes, totals, ratio, least).coalesce(16))
+    likely = cut_few(_over(hashes, totals, ratio, least))
     lists = likely.groupBy("host").agg(F.collect_list("h").alias("hs"))
     if likely.count() * 8 <= chars:
         # The pages stay where they are; each counts its own lines under the host's hashes.
@@ -83,7 +83,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Null becomes a value of its own, so that plain equality joins it.
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(None)
     pages = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")).alias("host"), row.alias("row"))
-    listed = cut(boilerplate(pages, ratio, least, listed_chars).coalesce(16))
+    listed = cut_few(boilerplate(pages, ratio, least, listed_chars))
     sized = listed.agg(F.coalesce(F.sum(F.char_length("line") + 8), F.lit(0))).first()[0]
     if sized <= listed_chars:
         lists = listed.groupBy("host").agg(F.collect_list("h").alias("hs"), F.collect_list("line").alias("dropped"))

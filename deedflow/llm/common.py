@@ -14,7 +14,7 @@ BROADCAST_ROWS = 200_000
 #: Rows and bytes of a text column that a Python worker handles at once; one longer text is handled alone. The whole batch
 #: that comes over from the JVM is bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set).
 TEXT_ROWS = 512
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

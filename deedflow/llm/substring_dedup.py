@@ -26,7 +26,7 @@ Spark sorts them; an empty table gives no rows. Columns that are neither id nor
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,6 @@ from deedflow.llm.common import cut, map_text
 WINDOW = 13
 #: Documents whose repeats are settled together before a shuffle.
 BATCH = 2048
-#: Different words that a worker remembers between batches.
-REMEMBERED = 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EVERY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -51,24 +49,33 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-class Words:
-    """Words of a batch of texts as numbers: equal numbers are equal words, until the next batch is read."""
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __init__(self):
-        self.no: dict[bytes, int] = {}
-        self.hash = np.zeros(0, np.uint64)
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers of all texts one after another, where each text starts and the last ends)."""
-        split = [t.split() for t in texts]
-        if len(self.no) > REMEMBERED:
-            self.no.clear()
-            self.hash = self.hash[:0]
-        if new := list(set().union(*split).difference(self.no)):
-            self.no.update(zip(new, range(len(self.no), len(self.no) + len(new)), strict=True))
-            self.hash = np.r_[self.hash, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))]
-        start = np.r_[0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
-        return np.fromiter(map(self.no.__getitem__, chain.from_iterable(split)), np.int64, int(start[-1])), start
+class Words:
+    """The words of a batch of texts as numbers, equal numbers for equal words: number (of each word, all texts one after
+    another), start (where each text's words start, and where the last one's end) and hash (of each word)."""
+
+    def __init__(self, texts: pa.Array):
+        """texts: a string or binary column without nulls."""
+        off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        off = (off - off[0]).astype(np.int64)
+        solid = ~_SPACE[data]
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1]
+        last[:-1] &= ~solid[1:]
+        some = off[:-1][np.diff(off) > 0]  # a text's edge parts words without white space
+        first[some] = solid[some]
+        some = off[1:][np.diff(off) > 0] - 1
+        last[some] = solid[some]
+        begin = np.flatnonzero(first)
+        ends = np.r_[0, np.cumsum(np.flatnonzero(last) + 1 - begin)].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])]).dictionary_encode()
+        known = words.dictionary
+        self.number = words.indices.to_numpy()
+        self.start = np.searchsorted(begin, off)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, known.to_pylist()), np.uint64, len(known))[self.number]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -151,37 +158,52 @@ def _sent(settled: tuple[np.ndarray, ...], rest: tuple[np.ndarray, ...]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(np.r_[h, place].view(np.int64)), pa.array(np.r_[r_ident, ident]), pa.array(np.r_[r_sub, sub]), pa.array(x)], _NAMES)
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Values that occur twice or more."""
+    h = np.sort(h)
+    return np.unique(h[1:][h[1:] == h[:-1]])
+
+
 def _settle_some(h: np.ndarray, ident: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """One row a document and hash. Of hashes that two ids of the batch hold all rows are settled, and one row tells the
     other batches that the hash repeats."""
-    order = np.lexsort((at, doc, ident, h))
-    h, ident, sub, doc, at = (c[order] for c in (h, ident, sub, doc, at))
-    one = _firsts(h, doc) == np.arange(len(h))
-    h, ident, sub, at = (c[one] for c in (h, ident, sub, at))
-    first = _firsts(h)
-    shared = np.zeros(len(h), bool)
-    np.logical_or.at(shared, first, ident != ident[first])
+    alone = np.isin(h, _repeated(h), invert=True)
+    some = np.flatnonzero(~alone)
+    some = some[np.lexsort((at[some], doc[some], ident[some], h[some]))]
+    some = some[_firsts(h[some], doc[some]) == np.arange(len(some))]
+    first = _firsts(h[some])
+    shared = np.zeros(len(some), bool)
+    shared[first[ident[some] != ident[some[first]]]] = True
     shared = shared[first]
-    tells, open_ = shared & (first == np.arange(len(h))), ~shared
+    tells, open_ = some[shared & (first == np.arange(len(some)))], np.r_[np.flatnonzero(alone), some[~shared]]
     rest = [np.r_[c[open_], c[tells]] for c in (h, ident, sub, at)]
-    rest[3][int(open_.sum()) :] = KNOWN
+    rest[3][len(open_) :] = KNOWN
+    shared = some[shared]
     return _sent((ident[shared], sub[shared], at[shared]), tuple(rest))
 
 
 def _settle_later(ids: np.ndarray, n: int, h: np.ndarray, ident: np.ndarray, sub: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Rows that a smaller id of the batch also holds, by their words, are settled; of the rest one row a document,
     hash and words goes on."""
-    order = np.lexsort((at, doc, ident, h))
-    h, ident, sub, doc, place, at = (c[order] for c in (h, ident, sub, doc, place, at))
-    lead, own = _firsts(h), _firsts(h, doc)
-    settled = (ident != ident[lead]) & _same(ids, place, place[lead], n)
-    again = ~settled & (own != np.arange(len(h))) & ~settled[own] & _same(ids, place, place[own], n)
-    go = ~settled & ~again
+    alone = np.isin(h, _repeated(h), invert=True)
+    some = np.flatnonzero(~alone)
+    some = some[np.lexsort((place[some], doc[some], ident[some], h[some]))]
+    lead, own = _firsts(h[some]), _firsts(h[some], doc[some])
+    settled = ident[some] != ident[some[lead]]
+    settled[settled] = _same(ids, place[some[settled]], place[some[lead[settled]]], n)
+    again = ~settled & (own != np.arange(len(some))) & ~settled[own]
+    again[again] = _same(ids, place[some[again]], place[some[own[again]]], n)
+    go, settled = np.r_[np.flatnonzero(alone), some[~settled & ~again]], some[settled]
     return _sent((ident[settled], sub[settled], at[settled]), (h[go], ident[go], sub[go], at[go]))
 
 
+def _range(at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """n places that follow each other from `at` on, in one number."""
+    return at * (1 << BITS) + n
+
+
 def _decide_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, known first, id: gives (id, sub, at, n) of the rows whose hash two ids hold.
+    """Rows sorted by h, known first, id: gives (id, sub, x) of the rows whose hash two ids hold.
 
     Of the run that is open between batches only its hash, its first id, whether it repeats and its rows so far are
     kept; these are rows of one id, of which a document has one.
@@ -194,7 +216,7 @@ def _decide_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, ident, sub, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         at = x >> BITS
         settled = at < KNOWN
-        out = [(ident[settled], sub[settled], KNOWN - 1 - at[settled], x[settled] & _MANY)]
+        out = [(ident[settled], sub[settled], _range(KNOWN - 1 - at[settled], x[settled] & _MANY))]
         h, ident, sub, at = (c[~settled] for c in (h, ident, sub, at))
         if len(h):
             first = _firsts(h)
@@ -203,27 +225,27 @@ def _decide_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if goes_on:
                 lows[first == 0] = least
             told = np.zeros(len(h), bool)
-            np.logical_or.at(told, first, (ident != lows) | (at == KNOWN))
+            told[first[(ident != lows) | (at == KNOWN)]] = True
             if goes_on:
                 told[0] |= repeats
                 if told[0]:
                     out += waiting
             hit = told[first] & (at != KNOWN)
-            one = np.ones(len(h), np.int64)
-            out.append((ident[hit], sub[hit], at[hit], one[hit]))
+            x = _range(at, 1)
+            out.append((ident[hit], sub[hit], x[hit]))
             last = first == first[-1]
             repeats = bool(told[first[-1]])
             held = waiting if goes_on and first[-1] == 0 else []
-            waiting = [] if repeats else [*held, (ident[last], sub[last], at[last], one[last])]
+            waiting = [] if repeats else [*held, (ident[last], sub[last], x[last])]
             key, least = h[-1], lows[-1]
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.int32()) for c in cols[2:]], ["id", "sub", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "sub", "x"])
 
 
 def _decide_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, id: gives (id, sub, at, n, wid, wsub, wat) of settled rows (wat -1), and of all rows but the
-    first of each hash, which is their witness."""
+    """Rows sorted by h, id: gives (id, sub, x, wid, wsub, wat) of settled rows (wat -1), and of all rows but the first of
+    each hash, which is their witness."""
     key = None
     witness: tuple = ()
     for b in batches:
@@ -232,7 +254,7 @@ def _decide_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         h, ident, sub, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         at = x >> BITS
         s = at < KNOWN
-        out = [(ident[s], sub[s], KNOWN - 1 - at[s], x[s] & _MANY, ident[s], sub[s], np.full(int(s.sum()), -1))]
+        out = [(ident[s], sub[s], _range(KNOWN - 1 - at[s], x[s] & _MANY), ident[s], sub[s], np.full(int(s.sum()), -1))]
         h, ident, sub, at = (c[~s] for c in (h, ident, sub, at))
         if len(h):
             first = _firsts(h)
@@ -243,11 +265,10 @@ def _decide_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     c[first == 0] = v
                 hit[0] = True
             key, witness = h[-1], tuple(c[-1] for c in w)
-            out.append((ident[hit], sub[hit], at[hit], np.ones(int(hit.sum()), np.int64), *(c[hit] for c in w)))
+            out.append((ident[hit], sub[hit], _range(at[hit], 1), *(c[hit] for c in w)))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         if len(cols[0]):
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "sub", "at", "n", "wid", "wsub", "wat"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "sub", "x", "wid", "wsub", "wat"])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -256,38 +277,39 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _first_level(docs: DataFrame, half: int, window: int) -> DataFrame:
-    """(id, sub, at, n): the first place in a document of each minimizer that two ids hold."""
+    """(id, sub, x): the first place in a document of each minimizer that two ids hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            ids, start = words.read([t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()])
-            h = window_hashes(words.hash[ids], half)
+            words = Words(b.column(2))
+            start, h = words.start, window_hashes(words.hash, half)
             chosen = np.unique(minimizers(h, _inside(start, window), half, window))
             if len(chosen):
                 doc = np.searchsorted(start, chosen, "right") - 1
                 yield _settle_some(h[chosen], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, chosen - start[doc])
 
-    return _dealt(map_text(docs, run, _KIND, BATCH)).mapInArrow(_decide_some, "id long, sub long, at int, n int")
+    return _dealt(map_text(docs, run, _KIND, BATCH)).mapInArrow(_decide_some, "id long, sub long, x long")
 
 
 def _marked(texts: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
-    """texts (id, sub, z) with the different marks of each, a list of structs."""
+    """texts (id, sub, z) with a list of each column of the marks of each."""
     rest = [c for c in marks.columns if c not in ("id", "sub")]
-    return texts.join(marks.groupBy("id", "sub").agg(F.collect_set(F.struct(*rest)).alias("marks")), ["id", "sub"], how).select("id", "sub", "z", "marks")
+    return texts.join(marks.groupBy("id", "sub").agg(*(F.collect_list(c).alias(c) for c in rest)), ["id", "sub"], how).select("id", "sub", "z", *rest)
 
 
-def _fields(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of a list column of structs: the row of each element, and the fields."""
-    off = column.offsets.to_numpy()
-    values = column.values.slice(off[0], off[-1] - off[0])
-    row = np.repeat(np.arange(len(column)), np.diff(off))
-    return row, [values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)]
+def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of the list columns from the fourth on: the row of each element, and the elements of each column."""
+    row, out = np.zeros(0, np.int64), []
+    for k in range(3, b.num_columns):
+        off = b.column(k).offsets.to_numpy()
+        out.append(b.column(k).values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False))
+        row = np.repeat(np.arange(b.num_rows), np.diff(off))
+    return row, out
 
 
-def _places(start: np.ndarray, column: pa.Array, reach: int) -> np.ndarray:
-    """The places, among all words of a batch, of the marks (at, n) that leave room for a window of `reach` words."""
-    row, (at, n, *_) = _fields(column)
+def _places(start: np.ndarray, row: np.ndarray, x: np.ndarray, reach: int) -> np.ndarray:
+    """The places, among all words of a batch, of the marks x of its rows that leave room for a window of `reach` words."""
+    at, n = x >> BITS, x & _MANY
     places = np.repeat(start[row] + at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     return np.unique(places[places + reach <= np.repeat(start[row + 1], n)])
 
@@ -301,102 +323,111 @@ def _full_windows(marked: DataFrame, half: int, window: int, settle: Callable) -
     """Rows to deal: full windows over the marked minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            ids, start = words.read(_plain_texts(b.column(2)))
-            h = window_hashes(words.hash[ids], half)
+            words = Words(pa.array(_plain_texts(b.column(2)), pa.binary()))
+            ids, start, h = words.number, words.start, window_hashes(words.hash, half)
             at = _inside(start, window)
             # A hash repeats or does not, so what one document's mark tells holds for the batch.
-            at = at[np.isin(h[minimizers(h, at, half, window)], h[_places(start, b.column(3), half)])]
+            row, (x, *_) = _lists(b)
+            at = at[np.isin(h[minimizers(h, at, half, window)], h[_places(start, row, x, half)])]
             if len(at):
                 doc = np.searchsorted(start, at, "right") - 1
-                yield settle(ids, window, window_hashes(words.hash[ids], window, _M2)[at], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, at, at - start[doc])
+                yield settle(ids, window, window_hashes(words.hash, window, _M2)[at], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, at, at - start[doc])
 
     return map_text(marked, run, _KIND, BATCH)
 
 
 def _claims(marked: DataFrame, window: int) -> DataFrame:
-    """(wid, wsub, wat, id, sub, at, n, words): n consecutive windows that a witness is said to hold from wat on, and
-    their words; settled ones stand under their own id, without words."""
+    """(id, sub, wat, mid, msub, x, words): consecutive windows of (mid, msub), the range x, that its witness (id, sub) is
+    said to hold from wat on, and their words; what a document has settled stands under its own id, as packed ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            row, (at, n, wid, wsub, wat) = _fields(b.column(3))
+            row, (x, wid, wsub, wat) = _lists(b)
+            idents, subs = b.column(0).to_numpy(), b.column(1).to_numpy()
+            out: list[tuple] = []
+            done = wat < 0
+            if done.any():
+                own, packed = row[done], x[done]
+                cuts = np.flatnonzero(np.diff(own)) + 1
+                out += [(int(idents[r]), int(subs[r]), -1, int(idents[r]), int(subs[r]), 0, part.tobytes()) for r, part in zip(own[np.r_[0, cuts]].tolist(), np.split(packed, cuts), strict=True)]
+            row, x, wid, wsub, wat = (c[~done] for c in (row, x, wid, wsub, wat))
+            at = x >> BITS
             order = np.lexsort((at, wat - at, wsub, wid, row))
-            row, at, n, wid, wsub, wat = (c[order] for c in (row, at, n, wid, wsub, wat))
+            row, at, wid, wsub, wat = (c[order] for c in (row, at, wid, wsub, wat))
             new = np.ones(len(at), bool)
-            new[1:] = (wat[1:] < 0) | (row[1:] != row[:-1]) | (wid[1:] != wid[:-1]) | (wsub[1:] != wsub[:-1]) | (wat[1:] != wat[:-1] + 1) | (at[1:] != at[:-1] + 1)
+            new[1:] = (row[1:] != row[:-1]) | (wid[1:] != wid[:-1]) | (wsub[1:] != wsub[:-1]) | (wat[1:] != wat[:-1] + 1) | (at[1:] != at[:-1] + 1)
+            new[1:] |= np.arange(1, len(at)) % _MANY == 0
             first = np.flatnonzero(new)
-            n = np.where(wat[first] < 0, n[first], np.diff(np.r_[first, len(at)]))
+            n = np.diff(np.r_[first, len(at)])
             row, at, wid, wsub, wat = (c[first] for c in (row, at, wid, wsub, wat))
-            split: dict[int, list[bytes]] = {}
-            shown = []
-            texts = b.column(2)
-            for r, a, k, w in zip(row.tolist(), at.tolist(), n.tolist(), wat.tolist(), strict=True):
-                if w >= 0 and r not in split:
-                    split = {r: _plain_texts(texts.slice(r, 1))[0].split()}
-                shown.append(pack(b" ".join(split[r][a : a + k + window - 1])) if w >= 0 else None)
-            ident, sub = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
-            cols = [pa.array(c, k) for c, k in ((wid, pa.int64()), (wsub, pa.int64()), (wat, pa.int32()), (ident, pa.int64()), (sub, pa.int64()), (at, pa.int32()), (n, pa.int32()), (shown, pa.binary()))]
-            yield pa.RecordBatch.from_arrays(cols, ["wid", "wsub", "wat", "id", "sub", "at", "n", "words"])
+            now, split = -1, []
+            for r, a, k, i, s, w in zip(row.tolist(), at.tolist(), n.tolist(), wid.tolist(), wsub.tolist(), wat.tolist(), strict=True):
+                if r != now:
+                    now, split = r, _plain_texts(b.column(2).slice(r, 1))[0].split()
+                out.append((i, s, w, int(idents[r]), int(subs[r]), a * (1 << BITS) + k, pack(b" ".join(split[a : a + k + window - 1]))))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())], ["id", "sub", "wat", "mid", "msub", "x", "words"])
 
-    return map_text(marked, run, "wid long, wsub long, wat int, id long, sub long, at int, n int, words binary", BATCH)
+    return map_text(marked, run, "id long, sub long, wat long, mid long, msub long, x long, words binary", BATCH)
 
 
 def _verified(claims: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """(id, sub, at, n, words): windows that an earlier id holds; with words, those for which the witness was wrong."""
-    held = texts.select(F.col("id").alias("wid"), F.col("sub").alias("wsub"), F.col("z"))
+    """(id, sub, x, words): windows that an earlier id holds; with words, those for which the witness was wrong."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         seen, theirs = None, []
         for b in batches:
             out = []
-            for wid, wsub, wat, ident, sub, at, n, shown, z in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
-                if shown is None:
-                    out.append((ident, sub, at, n, None))
+            for wid, wsub, wat, ident, sub, x, shown, z in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if wat < 0:
+                    out += [(ident, sub, x, None) for x in np.frombuffer(shown, np.int64).tolist()]
                     continue
                 if seen != (wid, wsub):
                     seen, theirs = (wid, wsub), open_(z).split()
                 mine = open_(shown).split(b" ")
-                if mine == theirs[wat : wat + len(mine)]:
+                held = theirs[wat : wat + len(mine)]
+                if mine == held:
                     if ident != wid:  # places of one id are no copies of each other
-                        out.append((ident, sub, at, n, None))
+                        out.append((ident, sub, x, None))
                     continue
-                same = [x == y for x, y in zip(mine, theirs[wat : wat + len(mine)], strict=True)]
-                for k in range(n):
+                same = [p == q for p, q in zip(mine, held, strict=True)]
+                for k in range(x & _MANY):
+                    one = ((x >> BITS) + k) * (1 << BITS) + 1
                     if not all(same[k : k + window]):
-                        out.append((ident, sub, at + k, 1, b" ".join(mine[k : k + window])))
+                        out.append((ident, sub, one, b" ".join(mine[k : k + window])))
                     elif ident != wid:
-                        out.append((ident, sub, at + k, 1, None))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["id", "sub", "at", "n", "words"])
+                        out.append((ident, sub, one, None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.binary())], ["id", "sub", "x", "words"])
 
-    both = claims.join(held.hint("merge"), ["wid", "wsub"]).select("wid", "wsub", "wat", "id", "sub", "at", "n", "words", "z")
-    return map_text(both, run, "id long, sub long, at int, n int, words binary", BATCH)
+    both = claims.join(texts.hint("merge"), ["id", "sub"]).select("id", "sub", "wat", "mid", "msub", "x", "words", "z")
+    return map_text(both, run, "id long, sub long, x long, words binary", BATCH)
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Rows (id, sub, t) of docs, ids being integers in the order of the given ids; of them one of each (id, sub), without
-    null ids; and (id, name) if the ids were no integers.
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Rows (id, sub, t) of docs that have an id, integers in the order of the given ids; of them one of each (id, sub), the
+    same frame if no id repeats; the rows without an id; and (id, name) if the ids were no integers.
 
     sub tells the texts of an id apart: 0 where the id has one row, else a hash of the text.
     """
-    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
     rows = docs.select(F.col(id_col).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     names = None
-    if whole:
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
         rows = rows.select(F.col("name").cast("long").alias("id"), "t")
     else:
         names = cut(rows.where("name is not null").select("name").distinct().sort("name").withColumn("id", F.monotonically_increasing_id()))
         rows = rows.join(names, "name", "left").select("id", "t")
-    again = cut(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit(True).alias("again")))
+    none = F.lit(0).cast("long").alias("sub")
+    rest, named = rows.where("id is null").select("id", none, "t"), rows.where("id is not null")
+    again = cut(named.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit(True).alias("again")).repartition(8))
     if again.isEmpty():
-        rows = rows.select("id", F.lit(0).cast("long").alias("sub"), "t")
-        return rows, rows.where("id is not null"), names
-    rows = rows.join(again, "id", "left").select("id", F.when(F.col("again"), F.xxhash64("t")).otherwise(F.lit(0)).cast("long").alias("sub"), "t")
-    return rows, rows.where("id is not null").dropDuplicates(["id", "sub"]), names
+        named = named.select("id", none, "t")
+        return named, named, rest, names
+    named = named.join(again, "id", "left").select("id", F.when(F.col("again"), F.xxhash64("t")).otherwise(F.lit(0)).cast("long").alias("sub"), "t")
+    return named, named.dropDuplicates(["id", "sub"]), rest, names
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -407,7 +438,8 @@ def _packed(rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())], ["id", "sub", "z"])
 
-    return map_text(rows, run, "id long, sub long, z binary")
+    # The filter says what joins would infer of the frame, some of them only: with it all of them read the same exchange.
+    return map_text(rows, run, "id long, sub long, z binary").where("id is not null and sub is not null")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, trusted: int = int(_EVERY)) -> DataFrame:
@@ -418,30 +450,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     half = (window + 1) // 2
     # A row that repeats another one whole has its answer. Where no id repeats, all steps read one exchange of the texts.
-    rows, once, names = _numbered(docs, id_col, text_col)
+    rows, once, rest, names = _numbered(docs, id_col, text_col)
     texts = _packed(once)
     settle = lambda ids, n, h, *rest: _settle_later(ids, n, h & np.uint64(trusted), *rest)
     met = _dealt(_full_windows(_marked(texts, _first_level(once, half, window)), half, window, settle))
-    met = met.mapInArrow(_decide_later, "id long, sub long, at int, n int, wid long, wsub long, wat int")
-    found = cut(_verified(_claims(_marked(texts, met), window), texts, window))
-    marks = found.where("words is null").select("id", "sub", "at", "n")
+    met = met.mapInArrow(_decide_later, "id long, sub long, x long, wid long, wsub long, wat long")
+    found = _verified(_claims(_marked(texts, met), window), texts, window).repartition("id", "sub")
     wrong = found.where("words is not null")
-    if not wrong.isEmpty():
-        first = wrong.groupBy("words").agg(F.min("id").alias("first"))
-        marks = marks.unionByName(wrong.join(first, "words").where("id > first").select("id", "sub", "at", "n"))
+    first = wrong.groupBy("words").agg(F.min("id").alias("first"))
+    late = wrong.join(first.hint("merge"), "words").where("id > first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
             texts = _plain_texts(b.column(2))
             shown, gone = [], []
-            some = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            row, (x,) = _lists(b)
             kept = [None] * len(texts)
-            if some.any():
-                at = np.flatnonzero(some)
-                ids, start = words.read([texts[k] for k in at.tolist()])
-                places = _spread(ids, start, window_hashes(words.hash[ids], window), _places(start, b.column(3).filter(pa.array(some)), window), window)
-                edge = np.zeros(len(ids) + 1, np.int64)
+            if len(row):
+                at, row = np.unique(row, return_inverse=True)
+                words = Words(pa.array([texts[k] for k in at.tolist()], pa.binary()))
+                start = words.start
+                places = _spread(words, _places(start, row, x, window), window)
+                edge = np.zeros(int(start[-1]) + 1, np.int64)
                 edge[places] += 1
                 np.subtract.at(edge, places + window, 1)
                 stays = np.cumsum(edge[:-1]) == 0
@@ -455,26 +485,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n, dropped = zip(*gone, strict=True) if gone else ([], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shown, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    marked = _marked(_packed(rows.where("id is not null")), marks, "left")
-    nothing = F.lit(None).cast(marked.schema["marks"].dataType)
-    marked = marked.unionByName(_packed(rows.where(F.col("id").isNull())).withColumn("marks", nothing))
-    out = map_text(marked, run, "id long, n_words long, n_removed long, kept string", BATCH)
+    marked = _marked(texts if once is rows else _packed(rows), found.where("words is null").drop("words"), "left")
+    none = F.array().cast("array<bigint>")
+    marked = marked.join(late.groupBy("id", "sub").agg(F.collect_list("x").alias("late")).hint("merge"), ["id", "sub"], "left")
+    marked = marked.select("id", "sub", "z", F.concat(F.coalesce("x", none), F.coalesce("late", none)).alias("x"))
+    bare = F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "")
+    rest = rest.select("id", F.size(bare).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(bare, " ").alias("kept"))
+    out = map_text(marked, run, "id long, n_words long, n_removed long, kept string", BATCH).unionByName(rest)
     if names is not None:
         out = out.join(names, "id", "left").withColumn("id", F.col("name"))
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept")
 
 
-def _spread(ids: np.ndarray, start: np.ndarray, h: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+def _spread(words: Words, places: np.ndarray, n: int) -> np.ndarray:
     """The marked places and all places of the same documents whose window has the words of a marked one."""
-    at = _inside(start, n)
+    start = words.start
+    at, h = _inside(start, n), window_hashes(words.hash, n)
     doc = np.searchsorted(start, at, "right") - 1
     marked = np.zeros(int(start[-1]) + 1, bool)
     marked[places] = True
-    order = np.lexsort((at, ~marked[at], h[at], doc))
+    # Most windows stand once in their document.
+    with np.errstate(over="ignore"):
+        own = _mixed(h[at] + doc.astype(np.uint64) * _M2)
+    some = np.isin(own, _repeated(own))
+    at, doc = at[some], doc[some]
+    order = np.lexsort((~marked[at], h[at], doc))
     at, doc = at[order], doc[order]
     lead = _firsts(doc, h[at])  # a marked one where the document has one
     more = marked[at[lead]] & ~marked[at]
-    more[more] = _same(ids, at[more], at[lead[more]], n)
+    more[more] = _same(words.number, at[more], at[lead[more]], n)
     marked[at[more]] = True
     return np.flatnonzero(marked[:-1])
 
@@ -484,21 +523,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     2 x window, 4 x window ... that repeats there. The loop ends when no window survives a doubling. Windows are told
     apart by a 64-bit hash of the words."""
     half = (window + 1) // 2
-    _, named, names = _numbered(docs, id_col, text_col)
+    _, named, _, names = _numbered(docs, id_col, text_col)
     texts = _packed(named)
     some = lambda ids, n, h, ident, sub, doc, place, at: _settle_some(h, ident, sub, doc, at)
 
     def level(marked: DataFrame, length: int) -> DataFrame:
-        return _dealt(marked).mapInArrow(_decide_some, "id long, sub long, at int, n int")
+        return _dealt(marked).mapInArrow(_decide_some, "id long, sub long, x long")
 
     def every_place(found: DataFrame, length: int) -> DataFrame:
         """(id, sub, at): all places of the repeated windows, of which a document names the first."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for b in batches:
-                ids, start = words.read(_plain_texts(b.column(2)))
-                at = _spread(ids, start, window_hashes(words.hash[ids], length), _places(start, b.column(3), length), length)
+                words = Words(pa.array(_plain_texts(b.column(2)), pa.binary()))
+                start = words.start
+                row, (x,) = _lists(b)
+                at = _spread(words, _places(start, row, x, length), length)
                 doc = np.searchsorted(start, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[doc]), pa.array(b.column(1).to_numpy()[doc]), pa.array((at - start[doc]).astype(np.int32))], ["id", "sub", "at"])
 
@@ -506,13 +546,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def longer(marked: DataFrame, length: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for b in batches:
-                ids, start = words.read(_plain_texts(b.column(2)))
-                at = _places(start, b.column(3), length)
+                words = Words(pa.array(_plain_texts(b.column(2)), pa.binary()))
+                row, (x,) = _lists(b)
+                start, at = words.start, _places(words.start, row, x, length)
                 if len(at):
                     doc = np.searchsorted(start, at, "right") - 1
-                    yield _settle_some(window_hashes(words.hash[ids], length, _M2)[at], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, at - start[doc])
+                    yield _settle_some(window_hashes(words.hash, length, _M2)[at], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], doc, at - start[doc])
 
         return map_text(marked, run, _KIND, BATCH)
 
@@ -523,7 +563,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = tier if found is None else found.unionByName(tier)
         # A window of twice the length can repeat only where both its halves do.
         ahead = now.select("id", "sub", (F.col("at") - length).cast("int").alias("at"))
-        starts = now.join(ahead, ["id", "sub", "at"], "left_semi").withColumn("n", F.lit(1))
+        starts = now.join(ahead, ["id", "sub", "at"], "left_semi").select("id", "sub", (F.col("at").cast("long") * (1 << BITS) + 1).alias("x"))
         now = cut(every_place(level(longer(_marked(texts, starts), 2 * length), 2 * length), 2 * length))
         length *= 2
     if found is None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 Span = tuple[str, int, int]
@@ -72,6 +73,24 @@ def secrets(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
+class Taken:
+    """What a text's spans cover, as disjoint stretches in order; spans that only meet at an edge do not touch."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+
 def joined(spans: Iterable[Span], kinds: list[str]) -> str:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2])))

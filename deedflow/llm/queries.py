@@ -17,12 +17,12 @@ from deedflow.llm.line_dedup import LEAST, RATIO, line_dedup
 from deedflow.llm.mixing import mix, taken
 from deedflow.llm.pii import find_personal
 from deedflow.llm.quality import learn, score
-from deedflow.llm.secret_scan import find_secrets
+from deedflow.llm.secret_scan import find_secrets, ranked_words
 from deedflow.llm.simhash import simhash_groups
 from deedflow.llm.substring_dedup import substring_dedup
 from deedflow.llm.token_counts import token_counts
 
-#: The vocabulary that op10 counts with, by its name in the public collection.
+#: The vocabulary that op10 counts with and op3 takes its ranked words from, by its name in the public collection.
 VOCABULARY = "piece_bpe_32k.model"
 
 
@@ -43,7 +43,9 @@ FROM d JOIN g USING (sha)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return find_secrets(table(spark, sf_dir, "documents"), words=ranked_words(public_tokenizers.path(VOCABULARY)))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ add one entry for any word that repeats its predecessor. A document is the mean
 every whole text once, without a shuffle. As the output is linear in the mean, a table entry needs but its weight
 towards class 1 when scoring, so the model that travels to the executors is one array.
 
-Defined results: null and empty texts score by the bias alone; rows that repeat an id score alike; labels that repeat
-an id count by their greatest value; with no labels at all every score is 0.5; an empty table gives no rows.
+Defined results: null and empty texts score by the bias alone; rows that repeat an id are scored by their own texts; labels
+that repeat an id count by their greatest value, and a labelled id with several texts is learned by the greatest of them;
+of labelled rows that tie in the hash of the id the lesser id comes first; with no labels at all every score is 0.5; texts of
+any length are scored whole; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deedflow.llm.common import TEXT_ROWS, map_text
 
 #: At most this many labelled rows train the model; which, follows a hash of the id.
 SAMPLE = 2400
+#: And no more of them, in that order, than hold so many characters together (but one).
+SAMPLE_CHARS = 64_000_000
 #: The last entry is that of a repeated word.
 TABLE = (1 << 16) + 1
 REPEAT = TABLE - 1
@@ -152,10 +157,15 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 450, batch: int = 3
     return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows outside the held-out fold. Only their texts come to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from at most `sample` labelled rows outside the held-out fold, of at most `chars` characters together. Only
+    their texts come to the driver."""
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    sized = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"))
+    sized = sized.join(known.select("id"), "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
+    chosen = known.join(sized, "id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    ahead = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0))
+    chosen = chosen.withColumn("ahead", ahead).where((F.col("ahead") <= chars) | (F.col("ahead") == F.col("n"))).select("id", "label")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.max("t").alias("t")).toPandas().sort_values("id")
     return train(rows["t"].tolist(), rows["label"].to_numpy(dtype=np.int64))
 

@@ -5,13 +5,17 @@ the corpus; each window takes its `lists` rarest words. The index stores the cor
 position) of these words alone: common words, which make almost all postings, are never stored. Posting lists are
 adjusted by the word's place in the item, so that all words of one occurrence agree on the same shift; shifts where a
 window's rare words all meet are candidates. Candidates are compared word by word with the text, so the result is
-exact. Proximity search (near) reads the same index with a tolerance on the shifts.
+exact. Proximity matches come out of the same lists, with a tolerance on the shifts: an item is near a document if all
+rare words of one of its windows stand there within `slack` places of where they belong, counted from the first of them.
 
 What is broadcast comes from the benchmark or is a list of ids, and only behind a count; beyond that it is joined by
-shuffle. Only texts of candidate documents are ever dealt out.
+shuffle, and words are counted before they are dealt. Only texts of candidate documents are ever dealt out.
 
 Defined results: null and empty texts have no words and no hits; items without words are skipped; items of fewer words
-than a window are one window; rows that repeat a doc id repeat its answer; empty tables give no rows or no hits.
+than a window are one window; items that repeat an id are texts of one item; of words that tie in number the first in
+the window is the rarer; texts of any length are read whole, and a document's hits are at most its windows times the
+items that share one; rows that repeat a doc id repeat its answer; empty tables give no rows or no hits; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut, small
+from deedflow.llm.common import cut, cut_few, small
 
 WINDOW = 10
 LISTS = 2
+SLACK = 3
 IDS = 1_000_000
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,12 +61,15 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def _rarest(windows: DataFrame, docs: DataFrame, lists: int) -> DataFrame:
     """(key, s, p, term): of each window that can occur, the places in its item of its rarest words."""
-    terms = small(cut(windows.select("term").distinct()))
-    counts = cut(postings(docs).select("term").join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("c")))
+    terms, count = cut_few(windows.select("term").distinct()), F.count(F.lit(1)).alias("c")
+    known, seen = small(terms), postings(docs).select("term")
+    # Few terms are broadcast to the postings; many are met by the postings' counts, which no common word makes uneven.
+    counts = seen.join(known, "term").groupBy("term").agg(count) if known is not terms else seen.groupBy("term").agg(count).join(terms, "term")
+    counts = cut_few(counts)
     ranked = windows.join(small(counts), "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     own = W.partitionBy("key", "s")
     ranked = ranked.withColumn("least", F.min("c").over(own)).withColumn("k", F.row_number().over(own.orderBy("c", "off")))
-    return cut(ranked.where((F.col("least") > 0) & (F.col("k") <= lists)).select("key", "s", (F.col("s") + F.col("off")).alias("p"), "term"))
+    return cut_few(ranked.where((F.col("least") > 0) & (F.col("k") <= lists)).select("key", "s", (F.col("s") + F.col("off")).alias("p"), "term"))
 
 
 def _index(docs: DataFrame, rare: DataFrame) -> DataFrame:
@@ -80,12 +88,16 @@ def _candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
     return met.join(needs, "key").select("id", "key", "shift", F.transform(hits, lambda w: w["s"]).alias("starts")).where(F.size("starts") > 0)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, lists: int = LISTS, ids: int = IDS) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, lists: int = LISTS, ids: int = IDS, slack: int | None = None) -> DataFrame:
+    """One row per row of docs: id, n_words, n_hit, n_items, items (sorted as strings), contaminated.
+
+    With slack also n_near: the items of which a window is near, exact ones included.
+    """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    items = cut(_items(bench, item_col, item_text, window))
+    items = cut_few(_items(bench, item_col, item_text, window))
     rare = _rarest(_windows(items), named, lists)
-    found = _candidates(_index(named, rare), rare).join(small(items), "key")
+    index = _index(named, rare)
+    found = _candidates(index, rare).join(small(items), "key")
     found = cut(found.groupBy("id").agg(F.collect_list(F.struct("item", "w", "len", "shift", "starts")).alias("found")))
     # Only candidate documents go on with their texts.
     likely = small(found.select(F.col("id").alias("i")), ids)
@@ -104,22 +116,31 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     out = sized.join(hits, F.col("id").eqNullSafe(F.col("i")), "left")
     none = F.array().cast("array<string>")
     out = out.select("id", "n_words", F.coalesce("r.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("r.items", none).alias("items"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    more = []
+    if slack is not None:
+        counts = _near(index, rare, items, slack).groupBy(F.col("id").alias("i")).agg(F.count_distinct(F.struct("item")).alias("n"))
+        out = out.join(counts, F.col("id").eqNullSafe(F.col("i")), "left")
+        more = [F.coalesce("n", F.lit(0)).cast("long").alias("n_near")]
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), *more)
 
 
-def near(docs: DataFrame, bench: DataFrame, slack: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, lists: int = LISTS) -> DataFrame:
-    """(id, item, at) proximity matches: all rare words of a window stand within `slack` places of where they belong,
-    counted from the first of them; at is that word's position."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    items = cut(_items(bench, item_col, item_text, window))
-    rare = _rarest(_windows(items), named, lists)
-    index = _index(named, rare)
+def _near(index: DataFrame, rare: DataFrame, items: DataFrame, slack: int) -> DataFrame:
+    """(id, item, at): windows all of whose rare words stand within slack of where they belong."""
     met = index.join(small(rare), "term").select("id", "key", "s", "p", "pos", (F.col("pos") - F.col("p")).alias("shift"))
     head = rare.groupBy("key", "s").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("need"))
-    first = met.join(small(head), ["key", "s", "p"]).select("id", "key", "s", "need", F.col("pos").alias("at"), F.col("shift").alias("base"))
+    first = met.join(small(cut_few(head)), ["key", "s", "p"]).select("id", "key", "s", "need", F.col("pos").alias("at"), F.col("shift").alias("base"))
     # A shift lies within slack of the base only in the base's bucket of that width or one beside it.
     width = slack + 1
     first = first.withColumn("bucket", F.explode(F.array([F.floor(F.col("base") / width) + d for d in (-1, 0, 1)])))
     near_by = first.join(met.withColumn("bucket", F.floor(F.col("shift") / width)), ["id", "key", "s", "bucket"]).where(F.abs(F.col("shift") - F.col("base")) <= slack)
     full = near_by.groupBy("id", "key", "s", "at", "need").agg(F.count_distinct("p").alias("n")).where("n = need")
-    return full.join(small(items), "key").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "at").distinct()
+    return full.join(small(items), "key").select("id", "item", "at").distinct()
+
+
+def near(docs: DataFrame, bench: DataFrame, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, lists: int = LISTS) -> DataFrame:
+    """(id, item, at) proximity matches; at is the position of the first rare word."""
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    items = cut_few(_items(bench, item_col, item_text, window))
+    rare = _rarest(_windows(items), named, lists)
+    found = _near(_index(named, rare), rare, items, slack)
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "at")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedflow.llm.common import table
-from deedflow.llm.decontaminate import decontaminate
+from deedflow.llm.decontaminate import SLACK, decontaminate
 from deedflow.llm.exact_dedup import exact_dedup
 from deedflow.llm.line_dedup import LEAST, RATIO, line_dedup
 from deedflow.llm.mixing import mix, taken
@@ -73,8 +73,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=SLACK)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,9 +87,20 @@ sizes AS (SELECT DISTINCT n FROM win),
 dw AS (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, s, dw.n FROM dw JOIN win ON dw.n = win.n AND dw.k = win.k),
 places AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS c, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.c, 0)::BIGINT AS n_hit, coalesce(i.c, 0)::BIGINT AS n_items, sha256(coalesce(i.l, '')) AS items_sha256, coalesce(p.c, 0) > 0 AS contaminated
-FROM d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_id)
+items AS (SELECT doc_id, count(*) AS c, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+cnt AS (SELECT term, count(*) AS c FROM pos GROUP BY term),
+it AS (SELECT *, row_number() OVER () AS key FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
+terms AS (SELECT key, s, p, w[p + 1] AS term FROM (SELECT key, w, s, unnest(range(s, s + least(len(w), 10))) AS p FROM (SELECT key, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM it))),
+ranked AS (SELECT t.*, min(coalesce(c, 0)) OVER (PARTITION BY key, s) AS least, row_number() OVER (PARTITION BY key, s ORDER BY coalesce(c, 0), p) AS k FROM terms t LEFT JOIN cnt USING (term)),
+rare AS (SELECT * FROM ranked WHERE least > 0 AND k <= 2),
+met AS (SELECT doc_id, key, s, p, pos - p AS shift FROM pos JOIN rare USING (term)),
+heads AS (SELECT key, s, min(p) AS p, count(*) AS need FROM rare GROUP BY ALL),
+firsts AS (SELECT m.*, need FROM met m JOIN heads USING (key, s, p)),
+near AS (SELECT f.doc_id, f.key FROM firsts f JOIN met m ON f.doc_id = m.doc_id AND f.key = m.key AND f.s = m.s AND abs(m.shift - f.shift) <= 3 GROUP BY f.doc_id, f.key, f.s, f.shift, f.need HAVING count(DISTINCT m.p) = f.need),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS c FROM near JOIN it USING (key) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.c, 0)::BIGINT AS n_hit, coalesce(i.c, 0)::BIGINT AS n_items, sha256(coalesce(i.l, '')) AS items_sha256, coalesce(p.c, 0) > 0 AS contaminated, coalesce(n.c, 0)::BIGINT AS n_near
+FROM d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN nears n USING (doc_id)
 """
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when it is measured to be no larger than this many rows.
 BROADCAST_ROWS = 200_000
@@ -51,6 +52,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def integer_ids(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows with column id as long integers, and (id, name) of what they stand for; no names if the ids are integers.
+
+    Other ids are numbered in the order in which Spark sorts them; null stays null.
+    """
+    if isinstance(rows.schema["id"].dataType, T.IntegralType):
+        return rows.withColumn("id", F.col("id").cast("long")), None
+    names = cut(rows.where("id is not null").select(F.col("id").alias("name")).distinct().sort("name").withColumn("id", F.monotonically_increasing_id()))
+    known = names.select(F.col("name").alias("known"), F.col("id").alias("number"))
+    rest = [c for c in rows.columns if c != "id"]
+    return rows.join(known, rows["id"] == known["known"], "left").select(F.col("number").alias("id"), *rest), names
+
+
 def slices(b: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """b in slices of at most `rows` rows and, unless a single row is larger, TEXT_BYTES bytes."""
     if b.num_rows and b.nbytes <= TEXT_BYTES:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut, small
+from deedflow.llm.common import cut, cut_few, small
 
 PREFIX = 64
 
@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).select("id", F.char_length("t").alias("n"), normalised(F.col("t")).alias("u"))
     # Level one: a text's length in code points, of which there are no more than the longest text has.
     sized = raw.select("id", "n", "u", F.char_length("u").alias("len"))
-    lengths = small(cut(sized.groupBy("len").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("len", F.lit(True).alias("again"))))
+    lengths = small(cut_few(sized.groupBy("len").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("len", F.lit(True).alias("again"))))
     # Level two: prefix hashes of the rows that level one leaves.
     headed = sized.join(lengths, "len", "left").withColumn("head", F.when(F.col("again"), F.xxhash64(F.substring("u", 1, prefix))))
     heads = headed.where("again").groupBy("len", "head").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("len", "head", F.lit(True).alias("live"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut, small
+from deedflow.llm.common import cut, cut_few, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
     if (many := sized.select("source").distinct().limit(SOURCES + 1).count()) > SOURCES:
         raise ValueError(f"a recipe names at most {SOURCES} sources, here are {many} or more")
-    plan = cut(targets(sized, weights, most))
+    plan = cut_few(targets(sized, weights, most))
     rows = plan.orderBy("no").collect()
     blocks = tuple(-(-r["source_size"] // block) for r in rows)
     # As many slots as bring the target with blocks of the source's mean length.

@@ -7,10 +7,15 @@ from the cells one step above: a pair meets in the cell of either of its halves.
 against the lower bound of the full embedding and then verified bit by bit. No cell is gathered into all its pairs: a
 cell gives the links of a spanning forest, found block by block, so dense cells neither grow memory nor output.
 
+A cell that more than CROWD fingerprints call their own is dealt out further: of the four quarters of its points' other
+half at least one is equal in any two points within three, so each point goes to four smaller cells, one a quarter.
+
 Only distinct fingerprints are embedded, so copies of one text cost one row whatever their number.
 
 Defined results: null and empty texts have no shingle and fingerprint zero, linked like any other; texts of fewer
-words than a shingle are one shingle; rows that repeat an id repeat its answer; an empty table gives no rows.
+words than a shingle are one shingle; texts of any length are read whole; of fingerprints that tie any link will do;
+rows that repeat an id share its least component only if their texts are near, and are documents of their own if not;
+an empty table gives no rows; columns that are neither id nor text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +26,18 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut, map_text, small
+from deedflow.llm.common import cut, cut_few, integer_ids, map_text, small
 from deedflow.llm.components import components
 
 RADIUS = 3
 #: Cells of near copies: BANDS of them a document, each of ROWS least hashes.
 BANDS, ROWS = 32, 4
 BLOCK = 1024
+#: A cell of more home points is dealt out by quarters of their other half.
+CROWD = 4096
 #: Up to this many ids are broadcast, eight bytes each.
 NODES = 1_000_000
 _PAIRS = np.uint64(0x5555555555555555)
@@ -194,17 +201,43 @@ def _links(radius: int, other_radius: int):
     return run
 
 
-def _linked(points: DataFrame, radius: int, other_radius: int, blocks: int | None) -> DataFrame:
+def _halves(fp: Column) -> list[Column]:
+    """The packed counts of the low and of the high half of a fingerprint, as numbers of 32 bits."""
+    pairs = F.lit(0x55555555).cast("long")
+    of = lambda x: x.bitwiseAND(pairs) + F.shiftrightunsigned(x, 1).bitwiseAND(pairs)
+    return [of(fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), of(F.shiftrightunsigned(fp, 32))]
+
+
+def crowded(points: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(cell) of the half cells that more than `crowd` points (fp) call their own."""
+    low, high = _halves(F.col("fp"))
+    own = F.array(low, high + F.lit(1 << 32).cast("long"))
+    return points.select(F.explode(own).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("cell")
+
+
+def _dealt_out(cells: DataFrame, crowds: DataFrame) -> DataFrame:
+    """cells with the rows of crowded cells in four cells each, by the quarters of the other half of the embedding."""
+    low, high = _halves(F.col("fp"))
+    other = F.when(F.col("cell") < (1 << 32), high).otherwise(low)
+    quarters = F.array(*(F.xxhash64("cell", F.lit(k), F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(0xFF).cast("long"))) for k in range(4)))
+    marked = cells.join(small(crowds.withColumn("crowd", F.lit(True))), "cell", "left")
+    return marked.withColumn("cell", F.explode(F.when(F.col("crowd"), quarters).otherwise(F.array("cell")))).select(cells.columns)
+
+
+def _linked(points: DataFrame, radius: int, other_radius: int, blocks: int | None, crowd: int = CROWD) -> DataFrame:
     cells = points.mapInArrow(_cells(blocks), "cell long, own boolean, node long, fp long, other long")
+    if blocks is None:
+        crowds = cut_few(crowded(points, crowd))
+        cells = cells if crowds.isEmpty() else _dealt_out(cells, crowds)
     dealt = cells.repartition("cell").sortWithinPartitions("cell", F.col("own").desc())
     return dealt.mapInArrow(_links(radius, other_radius), "a long, b long")
 
 
-def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that connect the fingerprints of column fp which lie within radius bits (at most 3) of each other."""
     if not 0 <= radius <= 3:
         raise ValueError("cells of halves hold every pair only up to 3 bits")
-    return _linked(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius, 0, None)
+    return _linked(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius, 0, None, crowd)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -390,20 +423,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (1 - 0.8 ** 4) ** 32, or 5 in 10^8, and a closer one with less. The members of a
     cell are verified by their shingle sets: first against the least of them, then, where that leaves a cell in more
     than one component, every pair that is not yet joined. So only redundant links are left out. Documents of equal
-    sets of shingles are one point. Rows with a null id are left alone.
+    sets of shingles are one point. Texts of fewer words than a shingle are one shingle; those without words are equal.
+    Rows with a null id are left alone; rows that repeat an id are one document, of the greatest of their texts where
+    they are compared; ids that are no integers are ordered as Spark sorts them.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts, names = integer_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))
     marks = cut(sketches(texts, shingle))
-    classes = cut(marks.groupBy("whole").agg(F.min("id").cast("long").alias("node"), F.first("cells").alias("cells")))
+    classes = cut(marks.groupBy("whole").agg(F.min("id").alias("node"), F.first("cells").alias("cells")))
     cells = classes.where(F.col("node").isNotNull()).select(F.explode("cells").alias("cell"), "node")
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "node")
     groups = cut(dealt.mapInArrow(_members, "grp long, node long, hub long").distinct())
     nodes = cut(groups.select("node").distinct())
-    longs = texts.withColumn("id", F.col("id").cast("long"))
-    sets = cut(shingle_sets(longs.join(small(nodes, NODES), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]), shingle))
+    chosen = texts.join(small(nodes, NODES), F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.max("t").alias("t"))
+    sets = cut(shingle_sets(chosen, shingle))
     links = cut(similar_links(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least))
     roots = components(links, "a", "b")
     links = links.unionByName(open_links(groups, roots, sets, least))
     roots = components(links, "a", "b")
     named = classes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
-    return marks.join(named, "whole").select(F.col("id").alias(id_col), "component_id")
+    out = marks.join(named, "whole").select("id", "component_id")
+    if names is not None:
+        heads = names.select(F.col("id").alias("component_id"), F.col("name").alias("head"))
+        out = out.join(names, "id", "left").join(heads, "component_id", "left").select(F.col("name").alias("id"), F.col("head").alias("component_id"))
+    kind = docs.schema[id_col].dataType
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("component_id").cast(kind).alias("component_id"))

@@ -34,9 +34,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from deedflow.llm.common import cut, map_text
+from deedflow.llm.common import cut, cut_few, integer_ids, map_text
 
 WINDOW = 13
 #: Documents whose repeats are settled together before a shuffle.
@@ -413,16 +412,10 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
     sub tells the texts of an id apart: 0 where the id has one row, else a hash of the text.
     """
-    rows = docs.select(F.col(id_col).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    names = None
-    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
-        rows = rows.select(F.col("name").cast("long").alias("id"), "t")
-    else:
-        names = cut(rows.where("name is not null").select("name").distinct().sort("name").withColumn("id", F.monotonically_increasing_id()))
-        rows = rows.join(names, "name", "left").select("id", "t")
+    rows, names = integer_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")))
     none = F.lit(0).cast("long").alias("sub")
     rest, named = rows.where("id is null").select("id", none, "t"), rows.where("id is not null")
-    again = cut(named.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit(True).alias("again")).repartition(8))
+    again = cut_few(named.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit(True).alias("again")))
     if again.isEmpty():
         named = named.select("id", none, "t")
         return named, named, rest, names

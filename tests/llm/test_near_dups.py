@@ -84,6 +84,8 @@ def test_simhash_links_every_pair_within_three_bits(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     got = {r["node"]: r["root"] for r in components(linked(df), "a", "b").collect()}
+    dealt = {r["node"]: r["root"] for r in components(linked(df, crowd=0), "a", "b").collect()}  # every cell is crowded
+    assert dealt == got
     near = {signed(x): {signed(y) for y in fps if (x ^ y).bit_count() <= 3} for x in fps}
     for x in near:
         assert {got.get(y, y) for y in near[x]} == {got.get(x, x)}
@@ -195,6 +197,23 @@ def test_near_copies_reach_every_kind_of_edit(spark):
     assert sorted(map(tuple, near_copies(frame(spark, rows)).collect())) == want
 
 
+def test_simhash_of_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    rows = [(1, long), (1, long), (2, long + " end"), (3, "other words of another text " * 3), (3, "yet another text under the same id"), (4, None)]
+    got = simhash_groups(frame(spark, rows))
+    assert sorted(map(tuple, got.collect())) == brute_groups(rows)
+
+
+def test_near_copies_of_textual_ids(spark):
+    from deedflow.llm.simhash import near_copies
+
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [("b", text), ("a", text + " more"), ("c", "quite another text of a few words"), ("d", None), (None, text), ("b", text)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id string, text string, component_id string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_copies(df).collect() if r["doc_id"]}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+
+
 def test_near_copies_of_a_template_family_match_brute_force(spark):
     """Variants of one text at about 0.69 are no copies of each other; those given a copy keep it however dense they lie."""
     from deedflow.llm.simhash import near_copies

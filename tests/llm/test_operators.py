@@ -163,6 +163,14 @@ def test_decontaminate_matches_brute_force(spark, ids):
         assert D.decontaminate(frame(spark, rows), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_many_terms_are_counted_before_they_are_dealt(spark, monkeypatch):
+    rows = [(k, f"alpha beta gamma delta w{k} the end", "s") for k in range(12)]
+    bench = frame(spark, [(1, "gamma delta w3 the"), (2, "nothing here")], ("item_id", "text"))
+    want = as_set(D.decontaminate(frame(spark, rows), bench, slack=3))
+    monkeypatch.setattr(D, "small", lambda df, rows=0: df)
+    assert as_set(D.decontaminate(frame(spark, rows), bench, slack=3)) == want and sum(r[-1] for r in want) >= 1
+
+
 def test_proximity_matches_allow_slack(spark):
     item = " ".join(f"q{k}" for k in range(10))
     near = item.replace("q1 ", "q1 extra ")
@@ -469,6 +477,34 @@ def test_quality_learns_and_scores_whole_texts(spark):
     assert {r["score"] for r in Q.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_scores_are_the_softmax_of_the_mean(spark):
+    """Every score again, entry by entry: the mean of the weights of all words, n-grams and repeats, and the logistic."""
+    rng = np.random.default_rng(2)
+    model = Q.Model(rng.standard_normal(Q.TABLE), 0.3)
+    texts = ["", None, "one", "one one two", "a b c a b c c c", "Ünï  cödé\ttext", "x" * 300] + [t for _, t, _ in corpus()[:40]]
+    got = {r["doc_id"]: r["score"] for r in Q.score(frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), model).collect()}
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        entries = [e for w in words for e in Q.features([w])[0].tolist()] + [Q.REPEAT for a, b in zip(words, words[1:], strict=False) if a == b]
+        mean = sum(model.weight[e] for e in entries) / len(entries) if entries else 0.0
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(mean + model.bias)))), t
+    for n, want in ((2, 2 + 5 * 3),):
+        assert len(Q.features(["ab" * n])[0]) == 1 + sum(max(0, 2 * n + 2 - g + 1) for g in Q.GRAMS) and want
+
+
+def test_training_takes_no_more_text_than_it_may(spark):
+    docs = frame(spark, [(k, "word " * 100, "s") for k in range(200)] + [(7, "z", "s")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    seen = []
+    plain, Q.train = Q.train, lambda texts, y: seen.append(texts) or plain([], y)
+    try:
+        Q.learn(docs, labels, chars=5_000)
+        Q.learn(docs, labels, chars=1)
+    finally:
+        Q.train = plain
+    assert len(seen[0]) == 10 and len(seen[1]) == 1 and len(seen[1][0]) == 500
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]

@@ -126,15 +126,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def _near(index: DataFrame, rare: DataFrame, items: DataFrame, slack: int) -> DataFrame:
     """(id, item, at): windows all of whose rare words stand within slack of where they belong."""
-    met = index.join(small(rare), "term").select("id", "key", "s", "p", "pos", (F.col("pos") - F.col("p")).alias("shift"))
-    head = rare.groupBy("key", "s").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("need"))
-    first = met.join(small(cut_few(head)), ["key", "s", "p"]).select("id", "key", "s", "need", F.col("pos").alias("at"), F.col("shift").alias("base"))
-    # A shift lies within slack of the base only in the base's bucket of that width or one beside it.
-    width = slack + 1
-    first = first.withColumn("bucket", F.explode(F.array([F.floor(F.col("base") / width) + d for d in (-1, 0, 1)])))
-    near_by = first.join(met.withColumn("bucket", F.floor(F.col("shift") / width)), ["id", "key", "s", "bucket"]).where(F.abs(F.col("shift") - F.col("base")) <= slack)
-    full = near_by.groupBy("id", "key", "s", "at", "need").agg(F.count_distinct("p").alias("n")).where("n = need")
-    return full.join(small(items), "key").select("id", "item", "at").distinct()
+    heads = small(cut_few(rare.groupBy("key", "s").agg(F.min("p").alias("head"), F.count(F.lit(1)).alias("need"))))
+    met = index.join(small(rare), "term").groupBy("id", "key", "s").agg(F.collect_list(F.struct("p", "pos")).alias("ms"))
+    # Most documents hold one of a window's rare words and not the others.
+    whole = met.join(heads, ["key", "s"]).where(F.size(F.array_distinct(F.col("ms.p"))) == F.col("need"))
+    here = lambda f, m: F.abs(m["pos"] - m["p"] - f["pos"] + f["p"]) <= slack
+    full = lambda f: F.size(F.array_distinct(F.transform(F.filter("ms", lambda m: here(f, m)), lambda m: m["p"]))) == F.col("need")
+    at = F.transform(F.filter("ms", lambda f: (f["p"] == F.col("head")) & full(f)), lambda f: f["pos"])
+    found = whole.select("id", "key", F.explode(at).alias("at"))
+    return found.join(small(items), "key").select("id", "item", "at").distinct()
 
 
 def near(docs: DataFrame, bench: DataFrame, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, lists: int = LISTS) -> DataFrame:

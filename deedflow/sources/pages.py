@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ET
@@ -47,7 +49,7 @@ def _items_of(fields: list[str], xml: str) -> Callable:
                     root = ET.fromstring(text)
                     items.append([{c.tag: c.text or "" for c in item} for item in root.iterfind("./body/items/item")])
                     parsed.append(all(k in known for item in items[-1] for k in item))
-                except ET.ParseError:
+                except (ET.ParseError, TypeError):
                     items.append([])
                     parsed.append(False)
             yield f.assign(items=items, parsed=parsed)
@@ -73,11 +75,11 @@ class TokenBucket:
     """At most `rate` calls a second; clock and sleep can be replaced in tests."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.rate, self.clock, self.sleep, self.tokens, self.at = rate, clock, sleep, rate, clock()
+        self.rate, self.clock, self.sleep, self.tokens, self.at = rate, clock, sleep, max(rate, 1.0), clock()
 
     def take(self) -> None:
         now = self.clock()
-        self.tokens = min(self.rate, self.tokens + (now - self.at) * self.rate)
+        self.tokens = min(max(self.rate, 1.0), self.tokens + (now - self.at) * self.rate)
         self.at = now
         if self.tokens < 1:
             self.sleep((1 - self.tokens) / self.rate)
@@ -85,52 +87,134 @@ class TokenBucket:
         self.tokens -= 1
 
 
-def fetch_all(get: Callable[[int], str], bucket: TokenBucket, attempts: int = 4, base: float = 1.0, jitter: Callable[[], float] = lambda: 0.0) -> list[str]:
-    """All pages of a load: retries with growing delays, and the number of items must be what the first page announces."""
+# Reason codes of the source that a retry may better, that close it for the day, and that reject the key.
+RETRYABLE, QUOTA, ACCOUNT = {"01", "02", "04", "05"}, {"22"}, {"20", "30", "31", "32"}
+
+
+class LoadFailed(Exception):
+    """A load that cannot be had; code is the source's reason, null if it could not be reached or was incomplete."""
+
+    def __init__(self, message: str, code: str | None = None):
+        super().__init__(message)
+        self.code = code
+
+
+class SourceClosed(Exception):
+    """Every further call would fail alike: the quota is used up or the key is rejected. Says nothing about the load."""
+
+
+def page_of(text: str) -> tuple[int, int]:
+    """(items, total count) of a page. An error envelope or a result code other than success raises LoadFailed."""
+    try:
+        root = ET.fromstring(text)
+    except ET.ParseError as e:
+        raise LoadFailed("not XML", "UNKNOWN") from e
+    if root.tag == "OpenAPI_ServiceResponse":
+        code = (root.findtext("./cmmMsgHeader/returnReasonCode") or "").strip()
+        raise LoadFailed("gateway error", code or "UNKNOWN")
+    code = (root.findtext("./header/resultCode") or "").strip()
+    if code not in OK:
+        raise LoadFailed("source error", code or "UNKNOWN")
+    return len(root.findall("./body/items/item")), int(root.findtext("./body/totalCount") or 0)
+
+
+def _refused(e: urllib.error.HTTPError) -> Exception | None:
+    """What a client error means; null for a server error, which may pass."""
+    if e.code >= 500:
+        return None
+    try:
+        page_of(e.read().decode("utf-8", "replace"))
+        reason = None
+    except LoadFailed as inner:
+        reason = None if inner.code == "UNKNOWN" else inner.code
+    if e.code == 429 or reason in QUOTA:
+        return SourceClosed(f"quota: HTTP {e.code} {reason}")
+    if reason in ACCOUNT or (reason is None and e.code in (401, 403)):
+        return SourceClosed(f"key: HTTP {e.code} {reason}")
+    return LoadFailed(f"HTTP {e.code}", reason or str(e.code))
+
+
+def fetch_page(get: Callable[[int], str], no: int, bucket: TokenBucket, attempts: int = 3, base: float = 1.0, jitter: Callable[[], float] = lambda: random.random() * 0.2) -> tuple[str, int, int]:
+    """(text, items, total count) of a page. What may pass is tried again with growing delays: a source that cannot be
+    reached, server errors and the source's own passing errors. Client errors are not."""
+    for k in range(attempts):
+        bucket.take()
+        try:
+            text = get(no)
+            return text, *page_of(text)
+        except urllib.error.HTTPError as e:
+            if (refused := _refused(e)) is not None:
+                raise refused from e
+            last = LoadFailed(f"HTTP {e.code}")
+        except LoadFailed as e:
+            if e.code in QUOTA or e.code in ACCOUNT:
+                raise SourceClosed(f"{'quota' if e.code in QUOTA else 'key'}: {e.code}") from e
+            if e.code not in RETRYABLE:
+                raise
+            last = LoadFailed(str(e))
+        except OSError as e:
+            last = LoadFailed(type(e).__name__)
+        if k < attempts - 1:
+            bucket.sleep(base * 2**k + jitter())
+    raise last
+
+
+def fetch_all(get: Callable[[int], str], bucket: TokenBucket, attempts: int = 3, base: float = 1.0, jitter: Callable[[], float] = lambda: random.random() * 0.2) -> list[str]:
+    """All pages of a load; the number of items must be what the first page announces."""
     pages, seen, total, no = [], 0, None, 1
     while total is None or seen < total:
-        for k in range(attempts):
-            bucket.take()
-            try:
-                text = get(no)
-                break
-            except OSError:
-                if k == attempts - 1:
-                    raise
-                bucket.sleep(base * 2**k + jitter())
-        root = ET.fromstring(text)
-        items = len(root.findall("./body/items/item"))
-        total = int(root.findtext("./body/totalCount") or 0) if total is None else total
+        text, items, announced = fetch_page(get, no, bucket, attempts, base, jitter)
+        total = announced if total is None else total
         pages.append(text)
         seen, no = seen + items, no + 1
         if not items and seen < total:
-            raise ValueError(f"incomplete load: {seen} of {total}")
+            break
+    if seen != total:
+        raise LoadFailed(f"incomplete load: {seen} of {total}")
     return pages
 
 
-class _Load(InputPartition):
-    def __init__(self, district: str, month: str):
-        self.district, self.month = district, month
+class _Lane(InputPartition):
+    def __init__(self, loads: list[tuple[str, str]]):
+        self.loads = loads
 
 
 class PagedReader(DataSourceReader):
-    """One input partition a (district, month); a URL template names the page. file: templates work offline."""
+    """Loads (district, month) dealt to `lanes` input partitions, which share the rate among them; a URL template names
+    the page, and file: templates work offline.
+
+    A load that fails gives one row with page_no 0 and its error. When the source closes, the lane makes no more calls
+    and its other loads are given as skipped.
+    """
 
     def __init__(self, options):
         self.options = options
+        self.lanes = int(options.get("lanes", "4"))
 
     def partitions(self):
-        return [_Load(d, m) for m in self.options["months"].split(",") for d in self.options["districts"].split(",")]
+        loads = [(d, m) for m in self.options["months"].split(",") for d in self.options["districts"].split(",")]
+        return [_Lane(loads[k :: self.lanes]) for k in range(min(self.lanes, len(loads)))]
 
     def read(self, part) -> Iterator[tuple]:
-        url = self.options["url"]
+        url, closed = self.options["url"], None
+        bucket = TokenBucket(float(self.options.get("rate", "10")) / self.lanes)
+        for district, month in part.loads:
+            if closed:
+                yield district, month, 0, None, f"skipped: {closed}"
+                continue
 
-        def get(no: int) -> str:
-            with urllib.request.urlopen(url.format(district=urllib.parse.quote(part.district), month=part.month, page=no), timeout=30) as r:
-                return r.read().decode()
+            def get(no: int, district=district, month=month) -> str:
+                with urllib.request.urlopen(url.format(district=urllib.parse.quote(district), month=month, page=no), timeout=30) as r:
+                    return r.read().decode()
 
-        for no, text in enumerate(fetch_all(get, TokenBucket(float(self.options.get("rate", "10")))), 1):
-            yield part.district, part.month, no, text
+            try:
+                for no, text in enumerate(fetch_all(get, bucket), 1):
+                    yield district, month, no, text, None
+            except SourceClosed as e:
+                closed = str(e)
+                yield district, month, 0, None, closed
+            except LoadFailed as e:
+                yield district, month, 0, None, e.code or str(e)
 
 
 class PagedSource(DataSource):
@@ -141,7 +225,7 @@ class PagedSource(DataSource):
         return "paged_xml"
 
     def schema(self) -> str:
-        return "sgg_cd string, deal_ym string, page_no int, xml string"
+        return "sgg_cd string, deal_ym string, page_no int, xml string, fetch_error string"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)

@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint folder, or one of our own where a local master has none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="deedflow-shared-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -25,8 +45,9 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so readers see the old or the new file, never a part."""
+def _write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> bool:
+    """Written beside and renamed, so readers see the old or the new file, never a part. Without replace an existing file
+    stays, and the answer is whether this one is now there."""
     fs, p = _fs(spark, path)
     _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(tmp)
@@ -34,8 +55,15 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(tmp, p, options)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if replace else spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(tmp, p, options)
+    except Py4JJavaError as e:
+        if replace or "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        fs.delete(tmp, False)
+        return False
+    return True
 
 
 class Table:
@@ -45,22 +73,69 @@ class Table:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _version(self, no: int) -> dict | None:
+        text = _read_text(self.spark, f"{self.root}/_versions/{no}.json")
+        return json.loads(text) if text else None
+
     def pointer(self) -> dict:
-        return json.loads(_read_text(self.spark, f"{self.root}/_current.json") or '{"version": 0, "paths": {}}')
+        """The state in force: what the pointer file names, or a later version whose committer has not moved it yet."""
+        now = json.loads(_read_text(self.spark, f"{self.root}/_current.json") or '{"version": 0, "paths": {}}')
+        while (after := self._version(now["version"] + 1)) is not None:
+            now = after
+        return now
 
     def stage(self, name: str, month: str, df: DataFrame) -> str:
         path = f"{self.root}/{name}/deal_ym={month}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def commit(self, staged: dict[tuple[str, str], str]) -> int:
-        now = self.pointer()
-        now["version"] += 1
-        now["paths"].update({f"{name}/{month}": path for (name, month), path in staged.items()})
-        _write_text(self.spark, f"{self.root}/_versions/{now['version']}.json", json.dumps(now))
+    def stage_months(self, name: str, df: DataFrame, sort: list[str]) -> str:
+        """All months of a table in one job, one directory a month, sorted inside; committed under the month "*"."""
+        path = f"{self.root}/{name}/deal_ym=all/{uuid.uuid4().hex}"
+        df.repartition("deal_ym").sortWithinPartitions("deal_ym", *sort).write.partitionBy("deal_ym").parquet(path)
+        _write_text(self.spark, f"{path}/_schema.json", df.schema.json())
+        return path
+
+    def stage_whole(self, name: str, df: DataFrame, sort: list[str]) -> str:
+        """A table of few rows, such as one row a district and month, as one sorted file; committed under the month "*"."""
+        path = f"{self.root}/{name}/deal_ym=all/{uuid.uuid4().hex}"
+        df.repartition(1).sortWithinPartitions(*sort).write.parquet(path)
+        _write_text(self.spark, f"{path}/_schema.json", df.schema.json())
+        return path
+
+    def read_months(self, name: str) -> DataFrame:
+        """A table that was staged with all its months: filters on deal_ym choose directories, or row groups, to read."""
+        return self.read_path(self.pointer()["paths"][f"{name}/*"])
+
+    def read_path(self, path: str) -> DataFrame:
+        """What stage_months or stage_whole has written to a path."""
+        schema = T.StructType.fromJson(json.loads(_read_text(self.spark, f"{path}/_schema.json")))
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+
+    def commit(self, staged: dict[tuple[str, str], str], lineage: dict | None = None) -> int:
+        """Makes the staged paths current, as one new version. A version file is written by one committer alone; one that
+        comes second takes the other's state and tries the next number, so no update is lost. lineage (run, sources, row
+        counts, as-of times) is kept with the version."""
+        while True:
+            now = self.pointer()
+            now = {"version": now["version"] + 1, "paths": now["paths"] | {f"{name}/{month}": path for (name, month), path in staged.items()}, "lineage": lineage or {}}
+            if _write_text(self.spark, f"{self.root}/_versions/{now['version']}.json", json.dumps(now), replace=False):
+                break
         _write_text(self.spark, f"{self.root}/_current.json", json.dumps(now))
         return now["version"]
 
+    def lineage(self, version: int | None = None) -> dict:
+        """What was recorded with a version, the current one if none is named (V6)."""
+        state = self.pointer() if version is None else self._version(version)
+        return (state or {}).get("lineage", {})
+
+    def orphans(self, name: str) -> list[str]:
+        """Staged directories of a table that no version names: left by writers that failed before their commit."""
+        fs, p = _fs(self.spark, f"{self.root}/{name}/*/*")
+        found = fs.globStatus(p) or []
+        known = {path.split("/")[-1] for v in range(1, self.pointer()["version"] + 1) for path in (self._version(v) or {"paths": {}})["paths"].values()}
+        return sorted(f.getPath().toString() for f in found if f.isDirectory() and f.getPath().getName() not in known)
+
     def read(self, name: str, months: list[str] | None = None, version: int | None = None) -> DataFrame | None:
         state = self.pointer() if version is None else json.loads(_read_text(self.spark, f"{self.root}/_versions/{version}.json") or '{"paths": {}}')
         paths = [p for k, p in state["paths"].items() if k.split("/")[0] == name and (months is None or k.split("/")[1] in months)]
@@ -140,6 +215,25 @@ def archive_missing(payloads: DataFrame, archived: DataFrame) -> DataFrame:
     return named.join(archived.select("sha256"), "sha256", "left_anti").withColumn("path", path)
 
 
-def compact(df: DataFrame, path: str, rows: int, sort: list[str]) -> None:
-    """Rewrites a partition in files of about `rows` rows, sorted inside so that page statistics prune."""
-    df.sortWithinPartitions(*sort).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+def archive_put(payloads: DataFrame, root: str) -> None:
+    """Adds the payloads (deal_ym, sgg_cd, payload) that the archive does not hold (S5); what it holds is never rewritten."""
+    spark = payloads.sparkSession
+    fs, p = _fs(spark, root)
+    held = spark.read.parquet(root) if fs.exists(p) else payloads.limit(0).withColumn("sha256", F.lit(""))
+    archive_missing(payloads, held).drop("path").write.mode("append").partitionBy("deal_ym").parquet(root)
+
+
+def archive_get(spark: SparkSession, root: str, sha256: str, month: str) -> str | None:
+    """A payload by its content address, from its month alone; one that does not hash to its address is refused."""
+    rows = spark.read.parquet(root).where((F.col("deal_ym") == month) & (F.col("sha256") == sha256)).select("payload", F.sha2(F.encode("payload", "UTF-8"), 256).alias("h")).take(1)
+    if rows and rows[0]["h"] != sha256:
+        raise ValueError(f"{sha256}: the archived payload differs")
+    return rows[0]["payload"] if rows else None
+
+
+def compact(table: Table, name: str, month: str, rows: int, sort: list[str]) -> int:
+    """Rewrites a month in files of about `rows` rows, sorted inside so that page statistics prune, as a new version: the
+    files that are read stay until no version names them (V13)."""
+    path = f"{table.root}/{name}/deal_ym={month}/{uuid.uuid4().hex}"
+    table.read(name, [month]).sortWithinPartitions(*sort).write.option("maxRecordsPerFile", rows).parquet(path)
+    return table.commit({(name, month): path}, {"compacted": name})

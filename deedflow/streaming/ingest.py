@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,20 +20,30 @@ from deedflow.sources.tables import Table
 def merge_stream(observations: DataFrame, table: Table, name: str, key: str, data: list[str], empty: DataFrame, checkpoint: str, enrich: list[str] = (), once: bool = True) -> StreamingQuery:
     """Merges a stream of stage rows (with deal_ym, ingest_id, seen_at, fetch_seq) into the history table, month by month.
 
-    A batch may hold several observations of a district; they are merged one after another by time.
+    A batch may hold several observations of a district. They are merged in rounds: the first observation of every
+    district, then the second, and so on; a round merges all districts of a month at once and commits its months together.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
-            # The loop is over loads (a district's observation), not over rows.
-            loads = batch.select("deal_ym", "seen_at").distinct().orderBy("seen_at", "deal_ym").collect()
-            for load in loads:
-                rows = batch.where((F.col("deal_ym") == load["deal_ym"]) & (F.col("seen_at") == load["seen_at"]))
-                parts = rows.select("sgg_cd", "ingest_id", "seen_at", "fetch_seq").distinct()
-                held = table.read(name, [load["deal_ym"]])
-                merged = merge_history(held if held is not None else empty, rows.where(F.col(key).isNotNull()), parts, key, data, enrich)
-                table.commit({(name, load["deal_ym"]): table.stage(name, load["deal_ym"], merged)})
+            loads = batch.select("deal_ym", "sgg_cd", "seen_at").distinct()
+            loads = loads.withColumn("round", F.row_number().over(W.partitionBy("deal_ym", "sgg_cd").orderBy("seen_at"))).persist()
+            # The loop is over rounds and months, not over loads or rows.
+            rounds: dict[int, list[str]] = {}
+            for r in loads.select("round", "deal_ym").distinct().orderBy("round", "deal_ym").collect():
+                rounds.setdefault(r["round"], []).append(r["deal_ym"])
+            for no, months in sorted(rounds.items()):
+                staged = {}
+                for month in months:
+                    own = loads.where((F.col("round") == no) & (F.col("deal_ym") == month)).select("sgg_cd", "seen_at")
+                    rows = batch.where(F.col("deal_ym") == month).join(own, ["sgg_cd", "seen_at"], "left_semi").select(batch.columns)
+                    parts = rows.select("sgg_cd", "ingest_id", "seen_at", "fetch_seq").distinct()
+                    held = table.read(name, [month])
+                    merged = merge_history(held if held is not None else empty, rows.where(F.col(key).isNotNull()), parts, key, data, enrich)
+                    staged[name, month] = table.stage(name, month, merged)
+                table.commit(staged)
+            loads.unpersist()
         finally:
             batch.unpersist()
 
@@ -40,9 +51,23 @@ def merge_stream(observations: DataFrame, table: Table, name: str, key: str, dat
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="300 seconds")).start()
 
 
-def usage_sink(usage: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Usage events in micro-batches of a second."""
-    writer = usage.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def usage_sink(usage: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, most: int = 1000, queue: int = 50_000, dropped: Callable[[int], None] = lambda n: None) -> StreamingQuery:
+    """Usage events in micro-batches of a second, written in parts of at most `most` rows. Of a batch that overflows the
+    queue the rows beyond it are dropped and their number is told: records of use must not hold up what they record."""
+
+    def apply(batch: DataFrame, no: int) -> None:
+        batch = batch.persist()
+        try:
+            n = batch.count()
+            if n > queue:
+                dropped(n - queue)
+            if n:
+                kept = min(n, queue)
+                write(batch.limit(queue).repartition(-(-kept // most)), no)
+        finally:
+            batch.unpersist()
+
+    writer = usage.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 

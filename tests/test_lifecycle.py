@@ -1,6 +1,9 @@
 """History life cycle, publishing, sources, snapshots, streams and the index against a dense fit."""
 
 import datetime as dt
+import hashlib
+import io
+import urllib.error
 
 import numpy as np
 import pytest
@@ -134,11 +137,92 @@ def test_fetch_retries_and_checks_completeness():
         return PAGE.format(items="" if no > 1 else ITEM.format(n="x"), total=2, no=no)
 
     bucket = pages.TokenBucket(100, clock=lambda: 0.0, sleep=slept.append)
-    with pytest.raises(ValueError, match="incomplete"):
-        pages.fetch_all(get, bucket)
+    with pytest.raises(pages.LoadFailed, match="incomplete"):
+        pages.fetch_all(get, bucket, jitter=lambda: 0.0)
     assert slept == [1.0] and tries == [1, 1, 2]
 
 
+GATE = "<OpenAPI_ServiceResponse><cmmMsgHeader><returnReasonCode>{}</returnReasonCode></cmmMsgHeader></OpenAPI_ServiceResponse>"
+
+
+def http_error(status, body=""):
+    return urllib.error.HTTPError("http://x", status, "no", {}, io.BytesIO(body.encode()))
+
+
+@pytest.mark.parametrize(("answer", "kind", "calls"), [
+    (GATE.format("22"), pages.SourceClosed, 1), (GATE.format("30"), pages.SourceClosed, 1), (GATE.format("10"), pages.LoadFailed, 1), (GATE.format("04"), pages.LoadFailed, 3), (GATE.format(""), pages.LoadFailed, 1), ("<x", pages.LoadFailed, 1),
+    (PAGE.replace("000", "99").format(items="", total=0, no=1), pages.LoadFailed, 1), (http_error(503), pages.LoadFailed, 3), (http_error(429), pages.SourceClosed, 1), (http_error(403), pages.SourceClosed, 1), (http_error(400, GATE.format("11")), pages.LoadFailed, 1),
+    (http_error(400, GATE.format("22")), pages.SourceClosed, 1), (OSError(), pages.LoadFailed, 3),
+])
+def test_fetch_errors_by_class(answer, kind, calls):
+    tries = []
+
+    def get(no):
+        tries.append(no)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    bucket = pages.TokenBucket(100, clock=lambda: 0.0, sleep=lambda _: None)
+    with pytest.raises(kind):
+        pages.fetch_all(get, bucket)
+    assert len(tries) == calls
+
+
+def test_paged_source_gives_errors_as_rows_and_stops_when_closed(spark, tmp_path):
+    ok = PAGE.format(items=ITEM.format(n="x"), total=1, no=1)
+    for month, text in (("202401", ok), ("202402", GATE.format("10")), ("202403", GATE.format("22")), ("202404", ok)):
+        (tmp_path / f"a-{month}-1.xml").write_text(text)
+    spark.dataSource.register(pages.PagedSource)
+    df = spark.read.format("paged_xml").options(url=f"file://{tmp_path}/{{district}}-{{month}}-{{page}}.xml", districts="a", months="202401,202402,202403,202404", rate="1000", lanes="1").load()
+    assert sorted((r["deal_ym"], r["page_no"], r["fetch_error"]) for r in df.collect()) == [("202401", 1, None), ("202402", 0, "10"), ("202403", 0, "quota: 22"), ("202404", 0, "skipped: quota: 22")]
+
+
+def test_lanes_share_the_rate():
+    r = pages.PagedReader({"months": "1,2,3", "districts": "a,b", "url": "", "rate": "8", "lanes": "4"})
+    assert len(r.partitions()) == 4 and sum(len(p.loads) for p in r.partitions()) == 6
+
+
+def test_no_commit_is_lost(spark, tmp_path, monkeypatch):
+    a, b = (tables.Table(spark, str(tmp_path / "t")) for _ in range(2))
+    assert a.commit({("x", "1"): "p1"}, {"run": "r1"}) == 1
+    late, seen = a.pointer(), []
+    # b commits between a's reading and its writing
+    monkeypatch.setattr(a, "pointer", lambda: late if not seen and not seen.append(b.commit({("x", "2"): "p2"})) else tables.Table.pointer(a))
+    assert a.commit({("x", "3"): "p3"}) == 3
+    assert b.pointer()["paths"] == {"x/1": "p1", "x/2": "p2", "x/3": "p3"} and b.lineage(1) == {"run": "r1"}
+    tables._write_text(spark, f"{tmp_path}/t/_current.json", '{"version": 1, "paths": {"x/1": "p1"}}')  # a committer ended before it moved the pointer
+    assert b.pointer()["version"] == 3
+
+
+def test_archive_compaction_and_orphans(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    one = spark.createDataFrame([("202401", "a", "x"), ("202401", "b", "x"), ("202402", "a", "y")], "deal_ym string, sgg_cd string, payload string")
+    tables.archive_put(one, root)
+    tables.archive_put(one, root)
+    assert spark.read.parquet(root).count() == 2
+    sha = hashlib.sha256(b"y").hexdigest()
+    assert tables.archive_get(spark, root, sha, "202402") == "y" and tables.archive_get(spark, root, sha, "202401") is None
+    t = tables.Table(spark, str(tmp_path / "t"))
+    tables.publish(t, "202401", {"x": spark.range(100).repartition(8)}, {})
+    left = t.stage("x", "202401", spark.range(3))
+    tables.compact(t, "x", "202401", 1000, ["id"])
+    assert t.read("x").count() == 100 and t.lineage() == {"compacted": "x"} and [p.split("/")[-1] for p in t.orphans("x")] == [left.split("/")[-1]]
+    path = str(tmp_path / "m")
+    tables.overwrite_months(spark.createDataFrame([(1, "1"), (2, "2")], "v int, deal_ym string"), path)
+    tables.overwrite_months(spark.createDataFrame([(9, "2")], "v int, deal_ym string"), path)
+    assert sorted((r["v"], str(r["deal_ym"])) for r in spark.read.parquet(path).collect()) == [(1, "1"), (9, "2")]
+
+
+def test_usage_sink_drops_what_overflows(spark, tmp_path):
+    src, seen, dropped = str(tmp_path / "u"), [], []
+    spark.range(50).coalesce(1).write.parquet(src)
+    ingest.usage_sink(ingest.due_files(spark, src, "id long"), lambda df, n: seen.append((df.count(), df.rdd.getNumPartitions())), str(tmp_path / "cp"), most=10, queue=40, dropped=dropped.append).awaitTermination()
+    assert seen == [(40, 4)] and dropped == [10]
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1),), (dt.datetime(2024, 3, 1),)], "at timestamp")
+    assert tables.retained(rows, "at", "2024-03-02", 10).count() == 1
+
+
 def test_stream_merges_late_observations(spark, tmp_path):
     t = tables.Table(spark, str(tmp_path / "t"))
     src = str(tmp_path / "in")
@@ -147,11 +231,12 @@ def test_stream_merges_late_observations(spark, tmp_path):
     run = lambda: ingest.merge_stream(ingest.due_files(spark, src, schema), t, "silver", "trade_key", ["price", "seq"], spark.createDataFrame([], HISTORY), str(tmp_path / "cp")).awaitTermination()
     send(1, [("x", 1), ("y", 2)])
     run()
-    send(2, [("x", 5)])
+    send(2, [("x", 4)])
+    send(3, [("x", 5)])  # two observations of a district in one batch
     run()
     run()  # nothing new
     rows = {(r["trade_key"], r["version"]): r for r in t.read("silver").collect()}
-    assert set(rows) == {("x", 1), ("x", 2), ("y", 1)} and rows["y", 1]["missing_seq"] == 2 and not rows["x", 1]["is_current"]
+    assert set(rows) == {("x", 1), ("x", 2), ("x", 3), ("y", 1)} and rows["y", 1]["missing_seq"] == 2 and not rows["x", 1]["is_current"] and rows["x", 3]["price"] == 5
 
 
 def dense_index(df):

@@ -17,13 +17,22 @@ RENT_MUTABLE = "contract_type contract_term use_rr_right pre_deposit_manwon pre_
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    out = s.copy()
+    some = s.notna()
+    out[some] = s[some].map(lambda x: unicodedata.normalize("NFKC", x))
+    return out
+
+
+#: Text of ASCII, Hangul syllables and unified ideographs alone is in NFKC form already.
+_SETTLED = r"^[\x00-\x7F\uAC00-\uD7A3\u4E00-\u9FFF]*$"
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC form. The JVM has no built-in for it, so an Arrow-batched function does it for non-ASCII text alone."""
+    """NFKC form. The JVM has no built-in for it: an Arrow-batched function does it, and is sent only the texts that can
+    change; for all others it is sent null."""
     udf = F.pandas_udf(_nfkc, "string")
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(udf(c))
+    settled = c.rlike(_SETTLED)
+    return F.when(settled, c).otherwise(udf(F.when(~settled, c)))
 
 
 def norm_text(c: Column) -> Column:

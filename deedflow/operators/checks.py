@@ -55,38 +55,49 @@ def reconcile_rollup(districts: DataFrame, rollup: DataFrame, metrics: list[str]
     return both.where(~F.col("expected").eqNullSafe(F.col("found")))
 
 
-def post_merge(history: DataFrame, stage: DataFrame, expected: DataFrame, fetch_seq: DataFrame, key: str, cancel_before: float | None = None) -> DataFrame:
-    """Checks after a merge: one current row a key, stage counts as observed, rows missing three times or more,
-    duplicate groups, and the shift of the cancel ratio in percentage points (at most 10)."""
+def post_merge(history: DataFrame, stage: DataFrame, parts: DataFrame, key: str, cancel_before: float | None = None) -> DataFrame:
+    """Checks after a merge, of a month's history: one current row a key; in every observed district as many current rows
+    that are not missing as the stage has; rows missing in three observations or more; duplicate groups; and the shift of
+    the cancel ratio (at most 0.10). Only the first two block.
+
+    parts: sgg_cd and fetch_seq of the districts observed, also of those whose stage is empty.
+    """
     current = history.where("is_current")
-    counts = stage.groupBy("sgg_cd").agg(F.count(F.lit(1)).alias("n")).join(expected, "sgg_cd", "full_outer")
-    missed = current.where("missing_seq is not null").join(F.broadcast(fetch_seq), "sgg_cd")
+    staged = stage.groupBy("sgg_cd").agg(F.count(F.lit(1)).alias("staged"))
+    observed = current.where("missing_since is null").groupBy("sgg_cd").agg(F.count(F.lit(1)).alias("observed"))
+    counts = parts.select("sgg_cd").distinct().join(staged, "sgg_cd", "left").join(observed, "sgg_cd", "left").na.fill(0, ["staged", "observed"])
+    missed = current.where("missing_since is not null").join(parts.select("sgg_cd", "fetch_seq"), "sgg_cd", "left")
+    # A row that was first missed in observation s has been missed fetch_seq - s + 1 times.
     checks = [
         _row(current.groupBy(key, "dup_seq").count(), "dup_current", F.count_if(F.col("count") > 1)),
-        _row(counts, "stage_as_observed", F.count_if(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("total", F.lit(0))))),
-        _row(missed, "missing_3_times", F.count_if(F.col("fetch_seq") - F.col("missing_seq") >= 2)),
-        _row(stage, "duplicate_groups", F.lit(0), F.count_distinct(F.when(F.col("dup_seq") > 0, F.col(key)))),
+        _row(counts, "stage_as_observed", F.count_if(F.col("staged") != F.col("observed"))),
+        _row(missed, "missing_3_times", F.count_if(F.col("fetch_seq") - F.col("missing_seq") + 1 >= 3)),
+        _row(stage, "duplicate_groups", F.lit(0), F.count_if(F.col("dup_seq") == 1)),
     ]
     if "is_cancelled" in history.columns:
         ratio = F.avg(F.col("is_cancelled").cast("int").cast("double"))
-        checks.append(_row(current, "cancel_shift", (F.abs(ratio - F.lit(cancel_before)) > 0.10).cast("int"), ratio))
+        shift = F.round(ratio - F.lit(cancel_before).cast("double"), 4)
+        checks.append(_row(current, "cancel_shift", (F.abs(shift) > 0.10).cast("int"), shift))
     return report(*checks)
 
 
 def validate_bronze(rows: DataFrame, previous: DataFrame, fields: list[str], required: list[str], row: str = "row") -> DataFrame:
-    """(sgg_cd, check, failed, metric): unknown and missing fields, unreadable rows, wrong partition and row drops.
+    """(sgg_cd, check, failed, metric): unknown and missing fields, unreadable rows, wrong partition and changes of the
+    number of rows, for every district loaded now or before.
 
     rows: typed rows with sgg_cd (expected), own_sgg, own_ym, deal_ym, the map `row`, missing and errors. previous:
-    (sgg_cd, n). A drop of more than 30 % fails from 20 earlier rows on; a rise of as much warns.
+    (sgg_cd, n) of the districts observed, n null where nothing was loaded before. Fewer than 70 % of 20 rows or more
+    fail (row_drop), down to none at all; a change of more than 30 % either way only warns (row_change_warning).
     """
     unknown = F.size(F.array_except(F.map_keys(row), F.array(*map(F.lit, fields))))
     absent = F.size(F.array_except(F.array(*map(F.lit, required)), F.map_keys(row)))
     wrong = (F.col("own_sgg") != F.col("sgg_cd")) | (F.col("own_ym") != F.col("deal_ym"))
     agg = rows.groupBy("sgg_cd").agg(F.count(F.lit(1)).alias("n"), F.sum((unknown > 0).cast("int")).alias("unknown_fields"), F.sum(((absent > 0) | (F.size("missing") > 0)).cast("int")).alias("missing_fields"), F.sum((F.size("errors") > 0).cast("int")).alias("unreadable"), F.sum(F.coalesce(wrong, F.lit(True)).cast("int")).alias("wrong_partition"))
-    both = agg.join(previous.select("sgg_cd", F.col("n").alias("before")), "sgg_cd", "left")
+    names = ["unknown_fields", "missing_fields", "unreadable", "wrong_partition"]
+    both = agg.join(previous.select("sgg_cd", F.col("n").alias("before")), "sgg_cd", "full_outer").na.fill(0, ["n", *names])
     drop = (F.col("before") >= 20) & (F.col("n") < F.col("before") * 0.7)
-    rise = (F.col("before") >= 20) & (F.col("n") > F.col("before") * 1.3)
-    cols = {c: F.col(c) for c in ("unknown_fields", "missing_fields", "unreadable", "wrong_partition")} | {"row_drop": F.coalesce(drop, F.lit(False)).cast("int"), "row_rise_warning": F.coalesce(rise, F.lit(False)).cast("int")}
+    change = F.round((F.col("n") - F.col("before")) / F.nullif(F.col("before"), F.lit(0)), 3)
+    cols = {c: F.col(c) for c in names} | {"row_drop": F.coalesce(drop, F.lit(False)).cast("int"), "row_change_warning": F.coalesce(F.abs(change) > 0.3, F.lit(False)).cast("int")}
     pairs = F.array(*(F.struct(F.lit(k).alias("check"), v.cast("long").alias("failed")) for k, v in cols.items()))
     return both.select("sgg_cd", F.explode(pairs).alias("c"), F.col("n").cast("double").alias("metric")).select("sgg_cd", "c.check", "c.failed", "metric")
 
@@ -105,6 +116,13 @@ def version_mismatch(bronze: DataFrame, versions: dict[int, list[str]], row: str
     return _row(bronze, "row_matches_version", F.count_if(bad))
 
 
-def verify_month(history: DataFrame, stage: DataFrame, expected: DataFrame, fetch_seq: DataFrame, key: str) -> DataFrame:
+def quarantine_rate(outcomes: DataFrame, most: float = 0.2) -> DataFrame:
+    """One row: whether a run quarantined a share of `most` or more of the partitions it asked for (V9)."""
+    bad = F.count_if(F.col("status") == "QUARANTINED")
+    share = bad / F.count(F.lit(1))
+    return _row(outcomes, "quarantine_rate", (share >= most).cast("int"), share)
+
+
+def verify_month(history: DataFrame, stage: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """The blocking checks of a month again, from stored tables, without merging."""
-    return post_merge(history, stage, expected, fetch_seq, key).where(F.col("check").isin("dup_current", "stage_as_observed"))
+    return post_merge(history, stage, parts, key).where(F.col("check").isin("dup_current", "stage_as_observed"))

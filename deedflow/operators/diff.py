@@ -36,6 +36,36 @@ def version_diff(versions: DataFrame, key: str, tracked: list[str]) -> DataFrame
     return out.select(key, "version", F.when(F.col("was").isNull(), F.array().cast("array<string>")).when(F.size(names) == 0, F.array(F.lit("untracked"))).otherwise(names).alias("changed"))
 
 
+class FeedError(ValueError):
+    """Why a feed cannot go on from a version: code, and for an expired one the oldest version that it can start from."""
+
+    def __init__(self, code: str, oldest: str | None = None):
+        super().__init__(code)
+        self.code, self.oldest = code, oldest
+
+
+def feed_window(versions: DataFrame, since: str, until: str | None, now: str, retention_days: int) -> tuple[str, DataFrame]:
+    """(upper version, publishes after `since` up to it) of versions (version, published_at, publish_id, snapshot_baseline).
+
+    VERSION_NOT_FOUND: since was never published. CHANGES_EXPIRED: it is older than the first baseline or than what is
+    kept. INVALID_CURSOR: until is unknown or before since. Versions are ordered by time, then by name (Q39).
+    """
+    order, cutoff = F.struct("published_at", "version"), F.lit(now).cast("timestamp") - F.expr(f"interval {int(retention_days)} days")
+    start = versions.where("snapshot_baseline").agg(F.min(order).alias("start"))
+    seen = versions.crossJoin(start)  # one row
+    usable = F.coalesce(F.col("start").isNotNull() & (order >= F.col("start")) & (F.col("published_at") >= cutoff), F.lit(False))
+    is_ = lambda v: F.max(F.when(F.col("version") == v, order))
+    facts = seen.agg(is_(since).alias("s"), F.max(F.when((F.col("version") == since) & usable, True)).alias("ok"), F.min(F.when(usable, order)).alias("oldest"), (is_(until) if until else F.max(order)).alias("u")).first()
+    if facts["s"] is None:
+        raise FeedError("VERSION_NOT_FOUND")
+    if not facts["ok"]:
+        raise FeedError("CHANGES_EXPIRED", facts["oldest"]["version"] if facts["oldest"] else None)
+    if facts["u"] is None or tuple(facts["u"]) < tuple(facts["s"]):
+        raise FeedError("INVALID_CURSOR")
+    at = lambda v: F.struct(F.lit(v["published_at"]).alias("published_at"), F.lit(v["version"]).alias("version"))
+    return facts["u"]["version"], versions.where((order > at(facts["s"])) & (order <= at(facts["u"])) & F.col("publish_id").isNotNull())
+
+
 def feed_page(changes: DataFrame, publishes: DataFrame, after: tuple[int, str] | None, upto: int, size: int, key: str = "trade_id") -> DataFrame:
     """A page of changes in (ordinal, key) order after a place, up to a fixed publish, one row more than `size`."""
     rows = changes.join(F.broadcast(publishes.where(F.col("ordinal") <= upto)), "publish_id")

@@ -68,6 +68,14 @@ def merge_complexes(dim: DataFrame, stage: DataFrame, trades: DataFrame | None =
     return both.select("complex_key", *(cols[c].alias(c) for c in dim.columns if c != "complex_key"))
 
 
+def catch_up(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: complexes that a catch-up over all leases inserted, and those it fixed (M7)."""
+    cols = [c for c in before.columns if c != "complex_key"]
+    old = before.select("complex_key", F.struct(*cols).alias("old"))
+    both = after.select("complex_key", F.struct(*cols).alias("new")).join(old, "complex_key", "left")
+    return both.agg(F.count_if(F.col("old").isNull()).alias("inserted"), F.count_if(F.col("old").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))).alias("fixed"))
+
+
 def serial_conflicts(stage: DataFrame, dim: DataFrame) -> DataFrame:
     """One row: complexes with several serials, serials with several complexes, and complexes whose serial changed."""
     seen = stage.where(F.col("apt_seq").isNotNull())

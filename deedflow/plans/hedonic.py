@@ -12,12 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deedflow.functions.values import AREA_EDGES, FLOOR_EDGES, band, month_no
+from deedflow.sources.tables import written
 
 MIN_MONTH = 30
 Z95 = 1.959963984540054
@@ -112,10 +112,9 @@ def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fit_index(trades: DataFrame, region: str = "region_id") -> DataFrame:
     """(region_id, deal_ym, value, lo, hi, n_obs): 100 exp(beta) of each month against the first, with 95 % intervals."""
-    # The filters read the trades several times, and seven aggregates the sample; blocks of a lost executor are computed again.
-    trades = trades.select(region, "complex_key", "deal_ym", "floor", "area_m2", "ppm2").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = sample(trades, region).withColumnRenamed(region, "region_id").persist(StorageLevel.MEMORY_AND_DISK)
-    beta = moments(rows).groupBy("region_id").applyInPandas(_solve, "region_id string, i int, beta double, bread array<double>")
+    # Seven aggregates read the sample, and three steps the coefficients: both are written once, to the shared folder.
+    rows = written(sample(trades.select(region, "complex_key", "deal_ym", "floor", "area_m2", "ppm2"), region).withColumnRenamed(region, "region_id"))
+    beta = written(moments(rows).groupBy("region_id").applyInPandas(_solve, "region_id string, i int, beta double, bread array<double>"))
     lookup = beta.groupBy("region_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "beta"))).alias("b"))
     df = _long(rows).join(F.broadcast(lookup), "region_id")
     fitted = F.aggregate("cols", F.lit(0.0), lambda s, c: s + F.coalesce(F.element_at("b", c), F.lit(0.0)))

@@ -90,14 +90,32 @@ def error_summary(usage: DataFrame, n: int = 20) -> DataFrame:
     return usage.where("status >= 500").groupBy("route", "status").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at")).orderBy(F.desc("n"), "route", "status").limit(n)
 
 
-def error_log(sources: dict[str, DataFrame], limit: int, cleared_at: str | None = None) -> DataFrame:
-    """Sources (at, text) in one time order, newest first, with cleared for what is older than a marker."""
+def error_entries(sources: dict[str, DataFrame], cleared_at: str | None = None, source: str | None = None, text: str | None = None, cleared: bool = True) -> DataFrame:
+    """Entries (source, at, text, cleared) of sources (at, text), cleared being what is older than a marker.
+
+    Only one source, only texts that hold a text in any case, or only what is not cleared, if asked.
+    """
     out = None
     for name, df in sources.items():
-        part = df.select(F.lit(name).alias("source"), "at", "text")
-        out = part if out is None else out.unionByName(part)
-    cleared = F.col("at") <= F.lit(cleared_at).cast("timestamp") if cleared_at else F.lit(False)
-    return out.withColumn("cleared", cleared).orderBy(F.desc("at"), "source", "text").limit(limit)
+        if source in (None, name):
+            part = df.select(F.lit(name).alias("source"), "at", redact(F.col("text")).alias("text"))
+            out = part if out is None else out.unionByName(part)
+    old = F.col("at") <= F.lit(cleared_at).cast("timestamp") if cleared_at else F.lit(False)
+    out = out.withColumn("cleared", old)
+    if text:
+        out = out.where(F.instr(F.lower("text"), text.lower()) > 0)
+    return out if cleared else out.where(~F.col("cleared"))
+
+
+def error_log(entries: DataFrame, limit: int) -> DataFrame:
+    """The newest entries first, each with the number of all of them and whether the list was cut."""
+    total = entries.agg(F.count(F.lit(1)).alias("total"))
+    return entries.orderBy(F.desc("at"), "source", "text").limit(limit).crossJoin(total).withColumn("truncated", F.col("total") > limit)  # total is one row
+
+
+def error_counts(entries: DataFrame) -> DataFrame:
+    """Entries by source, and of those the ones that are not cleared."""
+    return entries.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("cleared")).alias("open"))
 
 
 def resolved_runs(runs: DataFrame) -> DataFrame:
@@ -146,26 +164,39 @@ def next_due(month: Column, now: Column) -> Column:
     return now + F.make_interval(days=F.when(age < 3, 1).when(age < 12, 30).otherwise(90))
 
 
-def transitions(states: DataFrame, observed: DataFrame, attempts: int = 5) -> DataFrame:
-    """States after observations (O19). observed: sgg_cd, deal_ym, kind, at, and for loads rows, sha, ingest_id.
+ATTEMPTS = 3
+
 
-    loaded sets the new load; unchanged goes back to LOADED or MERGED by what was last merged; failed counts the attempt
-    and quarantines at the limit; interrupted retries without counting.
+def transitions(states: DataFrame, observed: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """States after observations (O19). observed: source, sgg_cd, deal_ym, kind, at, error, and for loads rows, sha,
+    ingest_id and schema_ver.
+
+    loaded sets the new load; unchanged goes back to LOADED or MERGED by what was last merged; both count the fetch and
+    clear the attempts. failed counts the attempt, puts the next one off by half an hour for each, and quarantines at
+    the limit; rejected (a failed check, or an answer that a retry cannot better) quarantines at once. released (out of
+    budget, source closed) and interrupted retry without counting the attempt; after interrupted the next fetch is due
+    an hour later. merged marks the last load as merged.
     """
-    o = observed.select("sgg_cd", "deal_ym", *(F.col(c).alias(f"o_{c}") for c in ("kind", "at", "rows", "sha", "ingest_id")))
-    df = states.join(o, ["sgg_cd", "deal_ym"], "left")
-    kind, seen = F.col("o_kind"), F.col("o_kind").isin("loaded", "unchanged")
-    loaded = kind == "loaded"
-    tries = F.when(seen, 0).when(kind == "failed", F.col("attempts") + 1).otherwise(F.col("attempts"))
-    merged = F.col("last_ingest_id").eqNullSafe(F.col("merged_ingest_id"))
-    status = F.when(loaded, "LOADED").when(kind == "unchanged", F.when(merged, "MERGED").otherwise("LOADED")).when(kind == "failed", F.when(tries >= attempts, "QUARANTINED").otherwise("RETRY")).when(kind == "interrupted", "RETRY").otherwise(F.col("status"))
+    keys = ["source", "sgg_cd", "deal_ym"]
+    o = observed.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("kind", "at", "error", "rows", "sha", "ingest_id", "schema_ver")))
+    df = states.join(o, keys, "left")
+    kind, at = F.col("o_kind"), F.col("o_at")
+    loaded, seen, lost = kind == "loaded", kind.isin("loaded", "unchanged"), kind.isin("failed", "rejected")
+    tries = F.when(seen, 0).when(lost, F.col("attempts") + 1).otherwise(F.col("attempts"))
+    same = F.col("last_ingest_id").eqNullSafe(F.col("merged_ingest_id"))
+    status = (
+        F.when(loaded, "LOADED").when(kind == "unchanged", F.when(same, "MERGED").otherwise("LOADED")).when((kind == "rejected") | ((kind == "failed") & (tries >= attempts)), "QUARANTINED")
+        .when(kind.isin("failed", "released", "interrupted"), "RETRY").when(kind == "merged", "MERGED").otherwise(F.col("status"))
+    )
+    of = lambda name, when, value: F.when(when, value).otherwise(F.col(name))
     new = {
-        "status": status, "attempts": tries, "rows_prev": F.when(loaded, F.col("rows_last")).otherwise(F.col("rows_prev")), "rows_last": F.when(loaded, F.col("o_rows")).otherwise(F.col("rows_last")),
-        "payload_sha256": F.when(loaded, F.col("o_sha")).otherwise(F.col("payload_sha256")), "last_ingest_id": F.when(loaded, F.col("o_ingest_id")).otherwise(F.col("last_ingest_id")),
-        "last_changed_at": F.when(loaded, F.col("o_at")).otherwise(F.col("last_changed_at")),
-        "next_due_at": F.when(seen, next_due(F.col("deal_ym"), F.col("o_at"))).when(kind == "failed", F.col("o_at") + F.make_interval(mins=30 * tries)).otherwise(F.col("next_due_at")),
+        "status": status, "attempts": tries, "rows_prev": of("rows_prev", loaded, F.col("rows_last")), "rows_last": of("rows_last", loaded, F.col("o_rows")),
+        "payload_sha256": of("payload_sha256", loaded, F.col("o_sha")), "last_ingest_id": of("last_ingest_id", loaded, F.col("o_ingest_id")), "schema_ver": of("schema_ver", loaded, F.col("o_schema_ver")),
+        "merged_ingest_id": of("merged_ingest_id", kind == "merged", F.col("last_ingest_id")), "last_fetched_at": of("last_fetched_at", seen, at), "last_changed_at": of("last_changed_at", loaded, at),
+        "fetch_count": F.col("fetch_count") + F.when(seen, 1).otherwise(0), "last_error": F.when(seen, F.lit(None)).when(lost | kind.isin("released", "interrupted"), F.substring("o_error", 1, 500)).otherwise(F.col("last_error")),
+        "next_due_at": F.when(seen, next_due(F.col("deal_ym"), at)).when(lost, at + F.make_interval(mins=30 * tries)).when(kind == "interrupted", at + F.expr("interval 1 hour")).otherwise(F.col("next_due_at")),
     }
-    return df.select(*(new.get(c, F.col(c)).alias(c) for c in states.columns))
+    return df.select(*(new[c].alias(c) if c in new else F.col(c) for c in states.columns))
 
 
 def gauges(states: DataFrame, now: str) -> DataFrame:
@@ -174,22 +205,61 @@ def gauges(states: DataFrame, now: str) -> DataFrame:
     return states.groupBy("source").agg(fresh.alias("freshness_s"), F.max("last_changed_at").alias("data_as_of"), F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "QUARANTINED").alias("quarantined"), F.count(F.lit(1)).alias("partitions"))
 
 
+def budget_day(calls: DataFrame, day: str) -> DataFrame:
+    """One row: the calls of a day by priority and in all (O22). calls: day, priority, calls."""
+    of = lambda p: F.coalesce(F.sum(F.when(F.col("priority") == p, F.col("calls"))), F.lit(0)).alias(p)
+    return calls.where(F.col("day") == F.lit(day).cast("date")).agg(*(of(p) for p in ("incremental", "recheck", "backfill")), F.coalesce(F.sum("calls"), F.lit(0)).alias("used"))
+
+
+def month_counts(months: DataFrame) -> DataFrame:
+    """One row: months that wait for a publish and months that are published (O22). months: merged_at, published_at."""
+    waits = F.col("published_at").isNull() | (F.col("merged_at") > F.col("published_at"))
+    return months.where("merged_at is not null").agg(F.count_if(waits).alias("pending"), F.count_if(~waits).alias("published"))
+
+
+def last_version(versions: DataFrame) -> DataFrame:
+    """The version published last."""
+    return versions.orderBy(F.desc("published_at"), F.desc("version")).limit(1)
+
+
+def last_month_file(files: DataFrame, versions: DataFrame, month: str) -> DataFrame:
+    """One row: the file recorded last for a month (O23); null if there is none."""
+    own = files.where(F.col("deal_ym") == month).join(versions.select("publish_id", "published_at", "version"), "publish_id")
+    return own.agg(F.max_by("object_key", F.struct("published_at", "version")).alias("object_key"))
+
+
 def recheck_pending(states: DataFrame, now: str) -> DataFrame:
     """At most one row: whether a month of age 3 to 12 is due."""
     age = F.year(F.lit(now).cast("date")) * 12 + F.month(F.lit(now).cast("date")) - (F.substring("deal_ym", 1, 4).cast("int") * 12 + F.substring("deal_ym", 5, 2).cast("int"))
     return states.where((age >= 3) & (age < 12) & (F.col("next_due_at") <= F.lit(now).cast("timestamp"))).limit(1)
 
 
+# Names of fields whose values are credentials.
+_CREDENTIALS = r"service_?key|api[-_]?key|crtfc_key|access[-_]?key(?:[-_]?id)?|secret(?:[-_]?access)?(?:[-_]?key)?|private[-_]?key|password|passwd|pwd|token|credentials?|signature"
+_REDACTIONS = (
+    # issued keys, by their form
+    (r"\b([a-z]{2,8}_live_)[0-9A-Za-z]{12}\.[A-Za-z0-9_-]{20,}", "$1***"),
+    # the password in the user part of an address
+    (r"(?i)\b([a-z][a-z0-9+.-]*://[^:/@\s]*):[^@\s]+@", "$1:***@"),
+    # headers, with the scheme before the value
+    (r"""(?i)\b((?:authorization|x-api-key)["']?\s*[:=]\s*["']?)(?:(?:bearer|basic|token)\s+)?[^\s"',}]+""", "$1***"),
+    # name=value, "name": "value", also where the name has a prefix; and a field that is called key
+    (rf"""(?i)((?<![\w.-])(?:[\w.-]*?(?:{_CREDENTIALS})|key)["']?\s*[:=]\s*["']?)(?!\*\*\*)[^\s"',}}&]+""", "$1***"),
+)
+
+
 def redact(c: Column) -> Column:
-    """Error text without credentials."""
-    for pattern, to in ((r"(?i)(service_?key|api_?key|token|password|secret)(\s*[=:]\s*)[^\s&;,]+", "$1$2***"), (r"(?i)(authorization:\s*\w+\s+)\S+", "$1***"), (r"(\w+://[^:/\s]+:)[^@\s]+@", "$1***@")):
+    """Error text without credentials (O26); null becomes empty."""
+    c = F.coalesce(c, F.lit(""))
+    for pattern, to in _REDACTIONS:
         c = F.regexp_replace(c, pattern, to)
     return c
 
 
 def overlap_meta(errors: DataFrame) -> DataFrame:
     """Interpolated percentiles of boundary errors."""
-    return errors.agg(F.count(F.lit(1)).alias("n"), F.percentile("area_error", F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
+    of = lambda p: F.percentile("area_error", F.lit(p))
+    return errors.agg(F.count(F.lit(1)).alias("n"), of(0.5).alias("p50"), of(0.95).alias("p95"), F.max("area_error").alias("worst"))
 
 
 def quantile_edges(df: DataFrame, value: str, k: int) -> DataFrame:

@@ -19,6 +19,16 @@ def month_bounds(marts: DataFrame) -> DataFrame:
     return marts.agg(F.min("deal_ym").alias("lo"), F.max("deal_ym").alias("hi"))
 
 
+def region_list(marts: DataFrame, columns: list[str]) -> DataFrame:
+    """The regions that the marts know, by code (Q5)."""
+    return marts.select(*columns).distinct().orderBy(columns[0])
+
+
+def latest_month(rows: DataFrame, day: str) -> DataFrame:
+    """The month of the last contract (Q38)."""
+    return rows.agg(F.date_format(F.max(day), "yyyyMM").alias("latest"))
+
+
 def compared_months(marts: DataFrame, ym: str) -> DataFrame:
     """Rows of a month, the month before and the same month a year before (Q2)."""
     no = int(ym[:4]) * 12 + int(ym[4:])
@@ -87,6 +97,10 @@ def page(df: DataFrame, where: Column, after: tuple | None, size: int, key: str
     """Latest first by (date, key), from a place on; one row more than size tells that there is a next page (Q14, Q29)."""
     if after is not None:
         where = where & (F.struct("deal_date", key) < F.struct(F.lit(after[0]).cast("date"), F.lit(after[1])))
+        # What the order of dates implies, said so that the scan can use it: months choose directories, dates row groups.
+        where = where & (F.col("deal_date") <= F.lit(after[0]).cast("date"))
+        if "deal_ym" in df.columns:
+            where = where & (F.col("deal_ym") <= after[0][:4] + after[0][5:7])
     return df.where(where).orderBy(F.desc("deal_date"), F.desc(key)).limit(size + 1)
 
 
@@ -98,6 +112,13 @@ def trade_summary(serving: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(price, by, "left").join(ppm2, by, "left")
 
 
+def rent_summary(rents: DataFrame, by: list[str]) -> DataFrame:
+    """Leases, those without a monthly rent, the median deposit of these and the median rent of the others (Q29)."""
+    counts = rents.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_jeonse").alias("jeonse"))
+    of = lambda where, c, name: exact_percentiles(rents.where(where).withColumn("x", F.col(c).cast("double")), by, "x", {name: 0.5}).drop("n")
+    return counts.join(of("is_jeonse", "deposit_manwon", "median_deposit"), by, "left").join(of("not is_jeonse", "monthly_rent_manwon", "median_rent"), by, "left")
+
+
 def versions_of(history: DataFrame, ident: str, month: str, key: str = "trade_id") -> DataFrame:
     """The history of an id, from its own month partition (Q16, Q30)."""
     return history.where((F.col("deal_ym") == month) & (F.col(key) == ident)).orderBy("version")
@@ -150,6 +171,29 @@ def region_spark(rollup: DataFrame, ym: str, months: int = 12) -> DataFrame:
     return rows.groupBy("region_id").agg(s.alias("s")).select("region_id", F.transform("s", lambda x: x["deal_ym"]).alias("months"), F.transform("s", lambda x: x["trades"]).alias("trades"))
 
 
+def index_summary(index: DataFrame, today: str, settle_days: int = 30, spark_months: int = 24, key: str = "region_id") -> DataFrame:
+    """Each region's last month and its last confirmed month of an index, with the changes against the month and the year
+    before each, and its last points in order (Q21). A month is confirmed when its end lies more than settle_days back."""
+    confirmed = F.date_add(F.last_day(F.to_date(F.concat("deal_ym", F.lit("01")), "yyyyMMdd")), settle_days) < F.lit(today).cast("date")
+    rows = with_changes(index.select(key, "deal_ym", "value"), key, {"value": 0}).withColumn("confirmed", confirmed)
+    point = F.struct("deal_ym", "value", F.col("value_mom").alias("mom"), F.col("value_yoy").alias("yoy"))
+    own = W.partitionBy(key).orderBy(F.desc("deal_ym"))
+    rows = rows.withColumn("rank", F.row_number().over(own))
+    last = F.array_sort(F.collect_list(F.when(F.col("rank") <= spark_months, F.struct("deal_ym", "value"))))
+    return rows.groupBy(key).agg(F.max_by(point, "deal_ym").alias("latest"), F.max_by(point, F.when(F.col("confirmed"), F.col("deal_ym"))).alias("settled"), last.alias("points"))
+
+
+def ticker(index: DataFrame, today: str, settle_days: int = 30, key: str = "region_id") -> DataFrame:
+    """Each region's last confirmed value, and its change in percent only if the month before is confirmed too and stands
+    right before it (Q26)."""
+    confirmed = F.date_add(F.last_day(F.to_date(F.concat("deal_ym", F.lit("01")), "yyyyMMdd")), settle_days) < F.lit(today).cast("date")
+    own = W.partitionBy(key).orderBy("deal_ym")
+    rows = index.where(confirmed).withColumn("no", month_no(F.col("deal_ym")))
+    rows = rows.withColumn("was", F.lag("value").over(own)).withColumn("gap", F.col("no") - F.lag("no").over(own))
+    change = F.when(F.col("gap") == 1, pct_change(F.col("value"), F.col("was")))
+    return rows.withColumn("change", change).groupBy(key).agg(F.max_by(F.struct("deal_ym", "value", "change"), "deal_ym").alias("q")).select(key, "q.*")
+
+
 def ranking(summary: DataFrame, metric: str, descending: bool, n: int = 10) -> DataFrame:
     """The first n districts by a metric, ties by code (Q24)."""
     order = F.desc(metric) if descending else F.asc(metric)
@@ -157,8 +201,11 @@ def ranking(summary: DataFrame, metric: str, descending: bool, n: int = 10) -> D
 
 
 def default_month(marts: DataFrame, today: str, settle_days: int = 30, within: int = 6) -> DataFrame:
-    """The latest of the last `within` months that has settled: month end plus settle_days is past; else the latest (Q25)."""
-    months = marts.select("deal_ym").distinct().orderBy(F.desc("deal_ym")).limit(within)
+    """The latest of the last `within` calendar months that has settled: month end plus settle_days is past; else the
+    latest (Q25)."""
+    months = marts.select("deal_ym").distinct()
+    last = months.agg(F.max("deal_ym").alias("last"))
+    months = months.crossJoin(last).where(month_no(F.col("last")) - month_no(F.col("deal_ym")) < within)  # last is one row
     settled = F.date_add(F.last_day(F.to_date(F.concat("deal_ym", F.lit("01")), "yyyyMMdd")), settle_days) < F.lit(today).cast("date")
     return months.agg(F.coalesce(F.max(F.when(settled, F.col("deal_ym"))), F.max("deal_ym")).alias("month"))
 
@@ -267,11 +314,14 @@ def deletable_files(versions: DataFrame, files: DataFrame, kept: DataFrame) -> D
     start = versions.where("snapshot_baseline").agg(F.min(order).alias("start"))
     known = versions.join(F.broadcast(start), order >= F.col("start")).select("publish_id", order.alias("o"))
     live = files.where("deleted_at is null") if "deleted_at" in files.columns else files
-    placed = live.join(known, "publish_id")
+    # Versions are one row a publish: their running number of kept ones tells whether a span of them holds any.
+    marked = known.join(kept.select("publish_id", F.lit(1).alias("kept")).distinct(), "publish_id", "left")
+    upto = marked.withColumn("upto", F.sum(F.coalesce("kept", F.lit(0))).over(W.orderBy("o")))
+    placed = live.join(upto.select("publish_id", "o", (F.col("upto") - F.coalesce("kept", F.lit(0))).alias("before")), "publish_id")
+    all_ = marked.agg(F.sum(F.coalesce("kept", F.lit(0))).alias("all"))
     # A file serves the versions from its own up to the next file of its month.
-    spans = placed.withColumn("next", F.lead("o").over(W.partitionBy("deal_ym").orderBy("o")))
-    keep = kept.select(order.alias("k"))
-    used = spans.join(F.broadcast(keep), (F.col("k") >= F.col("o")) & (F.col("next").isNull() | (F.col("k") < F.col("next")))).select("publish_id", "deal_ym").distinct()
+    after = F.lead("before").over(W.partitionBy("deal_ym").orderBy("o"))
+    used = placed.withColumn("after", after).crossJoin(all_).where(F.coalesce("after", "all") > F.col("before")).select("publish_id", "deal_ym").distinct()  # all_ is one row
     return live.join(used, ["publish_id", "deal_ym"], "left_anti")
 
 
@@ -281,6 +331,14 @@ def feature_collection(shapes: DataFrame, key: str = "sgg_cd", geometry: str = "
     return shapes.select(key, F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.col(geometry).alias("geometry"))).alias("feature")).orderBy(key)
 
 
+def collection(shapes: DataFrame, key: str = "sgg_cd", geometry: str = "geometry", meta: dict[str, str] | None = None) -> DataFrame:
+    """One row: the GeoJSON collection of all shapes by code, and its bounds and meta values. A boundary list is some
+    hundreds of shapes, so the document is one value."""
+    features = F.array_sort(F.collect_list(F.struct(F.col(key), F.col("feature"))))
+    document = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(features, lambda f: f["feature"]), ","), F.lit("]}"))
+    return feature_collection(shapes, key, geometry).agg(F.count(F.lit(1)).alias("n"), document.alias("document"), *(F.lit(v).alias(k) for k, v in (meta or {}).items()))
+
+
 def published(df: DataFrame, columns: dict[str, object]) -> DataFrame:
     """The published projection: the named columns in order, nulls replaced where a default is given (V3)."""
     return df.select(*(F.col(c) if default is None else F.coalesce(c, F.lit(default)).alias(c) for c, default in columns.items()))

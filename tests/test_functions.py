@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 import unicodedata
 
@@ -91,9 +92,9 @@ def test_keys_do_not_depend_on_order_or_spelling(spark):
 
 
 def test_aliases_keep_old_keys(spark):
-    aliases = spark.createDataFrame([("11110", "구지읍", "구지면")], "sgg_cd string, new_nm string, old_nm string")
-    old, new = keyed(spark, [trade(umdNm="구지면")], aliases)[0], keyed(spark, [trade(umdNm="구지읍")], aliases)[0]
-    assert old["trade_key"] == new["trade_key"] and new["umd_nm"] == "구지읍"
+    aliases = spark.createDataFrame([("11110", "새들읍", "새들면")], "sgg_cd string, new_nm string, old_nm string")
+    old, new = keyed(spark, [trade(umdNm="새들면")], aliases)[0], keyed(spark, [trade(umdNm="새들읍")], aliases)[0]
+    assert old["trade_key"] == new["trade_key"] and new["umd_nm"] == "새들읍"
 
 
 def test_percentiles_equal_numpy(spark):
@@ -141,6 +142,35 @@ def test_cursor_round_trip():
             values.decode_cursor(bad, query, secret)
 
 
+def test_feed_window_rules(spark):
+    day = lambda k: dt.datetime(2026, 1, k)
+    v = spark.createDataFrame([(f"v{k}", day(k), f"p{k}" if k != 4 else None, k == 2) for k in range(1, 8)], "version string, published_at timestamp, publish_id string, snapshot_baseline boolean")
+    upper, rows = diff.feed_window(v, "v3", "v6", "2026-01-08", 90)
+    assert upper == "v6" and sorted(r["version"] for r in rows.collect()) == ["v5", "v6"] and diff.feed_window(v, "v7", None, "2026-01-08", 90)[1].count() == 0
+    for since, until, days, code, oldest in (("zz", None, 90, "VERSION_NOT_FOUND", None), ("v1", None, 90, "CHANGES_EXPIRED", "v2"), ("v3", None, 3, "CHANGES_EXPIRED", "v5"), ("v5", "v4", 90, "INVALID_CURSOR", None), ("v5", "zz", 90, "INVALID_CURSOR", None)):
+        with pytest.raises(diff.FeedError) as e:
+            diff.feed_window(v, since, until, "2026-01-08", days)
+        assert (e.value.code, e.value.oldest) == (code, oldest)
+
+
+def test_percentiles_of_uneven_groups(spark):
+    """All equal, far outliers, negative values, a null group, and one value."""
+    rng = random.Random(6)
+    groups = {"same": [3.25] * 50, "far": [rng.random() for _ in range(400)] + [1e12, -1e12], "neg": [-rng.random() * 7 for _ in range(333)], None: [rng.choice([1.0, 2.0, 1e-9]) for _ in range(77)], "one": [5.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    pcts = {"lo": 0.001, "p25": 0.25, "p50": 0.5, "hi": 0.999}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", pcts, wide=True).collect()}
+    for other in (exact_percentiles(df, ["g"], "v", pcts), exact_percentiles(df, ["g"], "v", pcts, wide=True, step=0.125)):
+        assert {r["g"]: r for r in other.collect()} == got
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for k, p in (("lo", 0.001), ("p25", 0.25), ("p50", 0.5), ("hi", 0.999)):
+            at = (len(vs) - 1) * p
+            lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
+            assert got[g][k] == lo + (at - math.floor(at)) * (hi - lo) and got[g]["n"] == len(vs)
+
+
 def test_diff_rules(spark):
     schema = "id string, p int, missing_since date"
     day = dt.date(2024, 1, 1)
@@ -158,7 +188,22 @@ def test_bronze_validation(spark):
     typed = typing.typed_trades(raw.withColumn("raw", F.col("row")))
     typed = typed.select(F.col("p_sgg").alias("sgg_cd"), F.col("p_ym").alias("deal_ym"), F.col("sgg_cd").alias("own_sgg"), F.date_format("deal_date", "yyyyMM").alias("own_ym"), F.col("raw").alias("row"), "missing", "errors")
     got = {r["check"]: r["failed"] for r in checks.validate_bronze(typed, spark.createDataFrame([("11110", 30)], "sgg_cd string, n int"), typing.TRADE_V1, typing.TRADE_REQUIRED).collect()}
-    assert got == {"unknown_fields": 1, "missing_fields": 0, "unreadable": 1, "wrong_partition": 1, "row_drop": 1, "row_rise_warning": 0}
+    assert got == {"unknown_fields": 1, "missing_fields": 0, "unreadable": 1, "wrong_partition": 1, "row_drop": 1, "row_change_warning": 1}
+    # A district whose new load is empty, one that grew from a few rows, one without an earlier load.
+    previous = spark.createDataFrame([("gone", 100), ("11110", 3), ("fresh", None)], "sgg_cd string, n int")
+    got = {(r["sgg_cd"], r["check"]): r["failed"] for r in checks.validate_bronze(typed, previous, typing.TRADE_V1, typing.TRADE_REQUIRED).collect()}
+    assert got["gone", "row_drop"] == got["gone", "row_change_warning"] == 1 and got["11110", "row_change_warning"] == 1 and got["11110", "row_drop"] == got["fresh", "row_drop"] == got["fresh", "row_change_warning"] == 0
+
+
+def test_checks_find_a_row_that_a_merge_lost(spark):
+    cols = "trade_key string, dup_seq int, sgg_cd string, is_current boolean, missing_since date, missing_seq int, is_cancelled boolean"
+    day = dt.date(2024, 1, 1)
+    history = spark.createDataFrame([("x", 0, "a", True, None, None, False), ("m", 0, "a", True, day, 2, True), ("z", 0, "b", True, None, None, False)], cols)
+    stage = spark.createDataFrame([("x", 0, "a"), ("y", 0, "a"), ("y", 1, "a")], "trade_key string, dup_seq int, sgg_cd string")
+    parts = spark.createDataFrame([("a", 4), ("b", 1)], "sgg_cd string, fetch_seq int")
+    got = {r["check"]: (r["failed"], r["metric"]) for r in checks.post_merge(history, stage, parts, "trade_key", 0.2).collect()}
+    # a lost two rows; b has a row that no stage holds; m was missed in observations 2, 3 and 4
+    assert got["stage_as_observed"] == (2, 2.0) and got["missing_3_times"][0] == 1 and got["dup_current"][0] == 0 and got["duplicate_groups"] == (0, 1.0) and got["cancel_shift"] == (1, 0.1333)
 
 
 def test_reconciliation_finds_differences(spark):
@@ -168,12 +213,12 @@ def test_reconciliation_finds_differences(spark):
 
 
 def test_region_derivation_aliases_and_short_names(spark):
-    rows = [("1100000000", "11", "000", "000", "00", "서울특별시"), ("1111000000", "11", "110", "000", "00", "서울특별시 종로구"), ("4100000000", "41", "000", "000", "00", "경기도"), ("4111000000", "41", "110", "000", "00", "경기도 수원시"), ("4111100000", "41", "111", "000", "00", "경기도 수원시 장안구"), ("3611000000", "36", "110", "000", "00", "세종특별자치시"), ("1111010100", "11", "110", "101", "00", "서울특별시 종로구 구지읍"), ("1111010200", "11", "110", "102", "00", "서울특별시 종로구 구지읍 응암리")]
+    rows = [("1100000000", "11", "000", "000", "00", "서울특별시"), ("1111000000", "11", "110", "000", "00", "서울특별시 종로구"), ("4100000000", "41", "000", "000", "00", "경기도"), ("4111000000", "41", "110", "000", "00", "경기도 수원시"), ("4111100000", "41", "111", "000", "00", "경기도 수원시 장안구"), ("3611000000", "36", "110", "000", "00", "세종특별자치시"), ("1111010100", "11", "110", "101", "00", "서울특별시 종로구 새들읍"), ("1111010200", "11", "110", "102", "00", "서울특별시 종로구 새들읍 샘골리")]
     df = spark.createDataFrame(rows, "region_cd string, sido_cd string, sgg_cd string, umd_cd string, ri_cd string, locatadd_nm string")
     got = {r["sgg_cd"]: (r["sgg_nm"], r["is_leaf"]) for r in regions.derive_regions(df).collect()}
     assert got == {"11110": ("종로구", True), "41110": ("수원시", False), "41111": ("수원시 장안구", True), "36110": ("세종특별자치시", True)}
-    seen = spark.createDataFrame([("11110", "구지면"), ("11110", "구지면 응암리"), ("11110", "구지읍"), ("11110", "다른면")], "sgg_cd string, umd_nm string")
-    assert sorted(map(tuple, regions.derive_aliases(regions.official_names(df), seen).collect())) == [("11110", "구지읍", "구지면"), ("11110", "구지읍 응암리", "구지면 응암리")]
+    seen = spark.createDataFrame([("11110", "새들면"), ("11110", "새들면 샘골리"), ("11110", "새들읍"), ("11110", "다른면")], "sgg_cd string, umd_nm string")
+    assert sorted(map(tuple, regions.derive_aliases(regions.official_names(df), seen).collect())) == [("11110", "새들읍", "새들면"), ("11110", "새들읍 샘골리", "새들면 샘골리")]
     sido = spark.createDataFrame([("11", "서울특별시"), ("43", "충청북도"), ("44", "충청남도")], "sido_cd string, sido_nm string")
     short = spark.createDataFrame([("서울",), ("충북",), ("충청",), ("전국",), ("x",)], "short string")
     assert {r[0]: r[1] for r in regions.match_short_names(short, sido).collect()} == {"서울": "11", "충북": "43", "충청": None, "전국": "00", "x": None}
@@ -191,19 +236,31 @@ def test_control_rules():
 
 
 def test_state_transitions(spark):
-    cols = "sgg_cd string, deal_ym string, status string, attempts int, rows_prev long, rows_last long, payload_sha256 string, last_ingest_id string, merged_ingest_id string, last_changed_at timestamp, next_due_at timestamp"
+    cols = "source string, sgg_cd string, deal_ym string, status string, attempts int, rows_prev long, rows_last long, payload_sha256 string, last_ingest_id string, merged_ingest_id string, schema_ver int, last_fetched_at timestamp, last_changed_at timestamp, next_due_at timestamp, fetch_count int, last_error string"
     at = dt.datetime(2026, 9, 15)
-    state = lambda s, ing="i1", tries=0: (s, "202609", "FETCHING", tries, None, 5, "h", ing, "i1", at, at)
-    seen = [("a", "loaded"), ("b", "unchanged"), ("c", "unchanged"), ("d", "failed"), ("e", "failed"), ("f", "interrupted")]
-    observed = spark.createDataFrame([(s, "202609", k, at, 7, "h2", "i2") for s, k in seen], "sgg_cd string, deal_ym string, kind string, at timestamp, rows long, sha string, ingest_id string")
-    states = spark.createDataFrame([state("a"), state("b"), state("c", "i9"), state("d"), state("e", tries=4), state("f"), state("g")], cols)
-    got = {r["sgg_cd"]: r for r in quality.transitions(states, observed).collect()}
-    assert {k: r["status"] for k, r in got.items()} == {"a": "LOADED", "b": "MERGED", "c": "LOADED", "d": "RETRY", "e": "QUARANTINED", "f": "RETRY", "g": "FETCHING"}
-    assert got["a"]["rows_prev"] == 5 and got["a"]["rows_last"] == 7 and got["a"]["next_due_at"] == at + dt.timedelta(days=1)
+    state = lambda s, ing="i1", tries=0, source="trade": (source, s, "202609", "FETCHING", tries, None, 5, "h", ing, "i1", None, at, at, at, 4, "old")
+    seen = [("a", "loaded"), ("b", "unchanged"), ("c", "unchanged"), ("d", "failed"), ("e", "failed"), ("f", "interrupted"), ("h", "rejected"), ("i", "released")]
+    observed = spark.createDataFrame([("trade", s, "202609", k, at, "e" * 600, 7, "h2", "i2", 2) for s, k in seen], "source string, sgg_cd string, deal_ym string, kind string, at timestamp, error string, rows long, sha string, ingest_id string, schema_ver int")
+    states = spark.createDataFrame([state("a"), state("b"), state("c", "i9"), state("d", tries=1), state("e", tries=2), state("f"), state("g"), state("h"), state("i", tries=2), state("a", source="rent")], cols)
+    got = {(r["source"], r["sgg_cd"]): r for r in quality.transitions(states, observed).collect()}
+    assert {k: got["trade", k]["status"] for k in "abcdefghi"} == {"a": "LOADED", "b": "MERGED", "c": "LOADED", "d": "RETRY", "e": "QUARANTINED", "f": "RETRY", "g": "FETCHING", "h": "QUARANTINED", "i": "RETRY"}
+    a, e = got["trade", "a"], got["trade", "e"]
+    assert a["rows_prev"] == 5 and a["rows_last"] == 7 and a["next_due_at"] == at + dt.timedelta(days=1) and a["fetch_count"] == 5 and a["last_error"] is None and a["schema_ver"] == 2
+    assert e["attempts"] == 3 and e["next_due_at"] == at + dt.timedelta(minutes=90) and len(e["last_error"]) == 500 and e["fetch_count"] == 4
+    assert got["trade", "i"]["attempts"] == 2 and got["trade", "f"]["next_due_at"] == at + dt.timedelta(hours=1) and got["rent", "a"]["status"] == "FETCHING"
+
+
+def test_redaction_leaves_no_credential(spark):
+    for text, want in {
+        '{"password": "hunter2", "n": 1}': '{"password": "***", "n": 1}', "pwd=abc;x=1": "pwd=***", "'access_key' : 'AK'": "'access_key' : '***'", "private-key: zz, ok": "private-key: ***, ok", "x-api-key: k9": "x-api-key: ***",
+        'Authorization: "Basic dXNlcg=="': 'Authorization: "***"', "redis://:pw@h": "redis://:***@h", "https://h/?X-Amz-Signature=ab&b=2": "https://h/?X-Amz-Signature=***&b=2", "key=v1": "key=***", "monkey=v1": "monkey=v1",
+        "aws_secret_access_key=z z": "aws_secret_access_key=*** z", "zz_live_ABCDEFGHJKLM.abcdefghijklmnopqrstu": "zz_live_***", None: "",
+    }.items():
+        assert one(spark, quality.redact, text) == want, text
 
 
 def test_redaction_and_search(spark):
-    assert one(spark, quality.redact, "GET http://u:pw@h/?serviceKey=abc&x=1 Authorization: Bearer zzz") == "GET http://u:***@h/?serviceKey=***&x=1 Authorization: Bearer ***"
+    assert one(spark, quality.redact, "GET http://u:pw@h/?serviceKey=abc&x=1 Authorization: Bearer zzz") == "GET http://u:***@h/?serviceKey=***&x=1 Authorization: ***"
     df = spark.createDataFrame([("1", "강남구", "서울 강남구"), ("2", "수원시 강남동", "경기 수원시 강남동"), ("3", "남구", "부산 남구")], "sgg_cd string, sgg_nm string, full_nm string")
     assert [r["sgg_cd"] for r in quality.region_search(df, "강남").collect()] == ["1", "2"]
     assert [r["sgg_cd"] for r in quality.region_search(df, "ㄴㄱ").collect()] == ["1", "3"] or [r["sgg_cd"] for r in quality.region_search(df, "ㄴㄱ").collect()] == ["3"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from deedflow.adapters import oracle, view
 from deedflow.functions import keys, typing
 from deedflow.operators import checks, diff, scd2
 from deedflow.operators.percentile import exact_percentiles, nearest_rank
-from deedflow.plans import control, hedonic, marts, quality, serving
+from deedflow.plans import control, hedonic, marts, quality, served, serving
+from deedflow.sources.tables import Table, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,14 +52,37 @@ jeonse AS (SELECT * FROM r_served WHERE is_jeonse AND area_m2 > 0 AND NOT is_out
 """
 
 
-def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.trade_serving(view(spark, sf_dir, "trade"))
 
 
-def _r_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _r_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.rent_serving(view(spark, sf_dir, "rent"))
 
 
+#: The published marts of each application and folder.
+_TABLES: dict[tuple[str, str], Table] = {}
+WORDS = {"renewal": "renewal", "new": "new", "used": "used"}
+
+
+def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A mart of the folder's tables from the served layout, which the first query of an application publishes."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _TABLES:
+        table = Table(spark, f"{shared_dir(spark)}/marts-{uuid.uuid4().hex}")
+        served.publish_marts(table, view(spark, sf_dir, "trade"), view(spark, sf_dir, "rent"), WORDS)
+        _TABLES[key] = table
+    return _TABLES[key].read_months(name)
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart(spark, sf_dir, "trade")
+
+
+def _r_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart(spark, sf_dir, "rent")
+
+
 def _month_sql(rel: str, sample: str, region: str) -> str:
     return f"""SELECT {region}, deal_ym, reported, trades, cancelled, priced, outliers, CASE WHEN priced >= 5 THEN p25 END AS p25_ppm2, CASE WHEN priced >= 5 THEN p50 END AS median_ppm2,
 CASE WHEN priced >= 5 THEN p75 END AS p75_ppm2, priced < 5 AS low_sample FROM (SELECT {region}, deal_ym, count(*) AS reported, count(*) FILTER (NOT is_cancelled) AS trades, count(*) FILTER (is_cancelled) AS cancelled,
@@ -72,13 +97,13 @@ ROLLUP = f"SELECT *, CASE WHEN region_id = '00' THEN 'nation' ELSE 'sido' END AS
 @query(f"--with v AS (SELECT deal_ym, price_manwon::DOUBLE AS x FROM trade) SELECT * FROM {pct_sql('v', 'deal_ym', 'x', {'p10': 0.1, 'p50': 0.5, 'p999': 0.999})}", "trade")
 def exact_percentile_months(spark, d):
     """G1"""
-    return exact_percentiles(view(spark, d, "trade").select("deal_ym", F.col("price_manwon").cast("double").alias("x")), ["deal_ym"], "x", {"p10": 0.1, "p50": 0.5, "p999": 0.999})
+    return exact_percentiles(view(spark, d, "trade").select("deal_ym", F.col("price_manwon").cast("double").alias("x")), ["deal_ym"], "x", {"p10": 0.1, "p50": 0.5, "p999": 0.999}, wide=True)
 
 
 @query(SERVED + "SELECT trade_id, sgg_cd, deal_ym, ppm2, is_outlier FROM served", "trade")
 def trade_serving(spark, d):
     """G2"""
-    return _served(spark, d).select("trade_id", "sgg_cd", "deal_ym", "ppm2", "is_outlier")
+    return _fresh(spark, d).select("trade_id", "sgg_cd", "deal_ym", "ppm2", "is_outlier")
 
 
 @query(MONTH_SQL, "trade")
@@ -93,11 +118,14 @@ def rollup_month(spark, d):
     return marts.rollup_month(_served(spark, d))
 
 
-@query("SELECT '' AS region_id, '' AS deal_ym, '' AS metric, 0::BIGINT AS expected, 0::BIGINT AS found WHERE false")
+@query(SERVED + f"""SELECT region_id, deal_ym, 'trades' AS metric, trades AS expected, trades + 1 AS found FROM ({ROLLUP}) WHERE deal_ym LIKE '%06' AND region_id <> '12'
+UNION ALL SELECT region_id, deal_ym, unnest(['reported', 'trades', 'cancelled', 'priced', 'outliers']), unnest([reported, trades, cancelled, priced, outliers]), NULL FROM ({ROLLUP}) WHERE deal_ym = '199707'""", "trade")
 def rollup_reconciles(spark, d):
-    """No row differs"""
+    """G13, on a rollup with wrong counts in every June and without one month"""
     s = _served(spark, d)
-    return checks.reconcile_rollup(marts.region_month(s), marts.rollup_month(s), ["reported", "trades", "cancelled", "priced", "outliers"])
+    wrong = F.col("deal_ym").endswith("06") & (F.col("region_id") != "12")
+    rollup = marts.rollup_month(s).where("deal_ym <> '199707'").withColumn("trades", F.col("trades") + wrong.cast("int"))
+    return checks.reconcile_rollup(marts.region_month(s), rollup, ["reported", "trades", "cancelled", "priced", "outliers"])
 
 
 @query("SELECT trade_id, version, valid_from, valid_to, is_cancelled FROM version", "version")
@@ -109,7 +137,7 @@ def trade_version(spark, d):
 @query(R_SERVED + "SELECT rent_id, sgg_cd, deal_ym, is_jeonse, deposit_ppm2, is_outlier FROM r_served", "rent")
 def rent_serving(spark, d):
     """G6"""
-    return _r_served(spark, d).select("rent_id", "sgg_cd", "deal_ym", "is_jeonse", "deposit_ppm2", "is_outlier")
+    return _r_fresh(spark, d).select("rent_id", "sgg_cd", "deal_ym", "is_jeonse", "deposit_ppm2", "is_outlier")
 
 
 def _rent_sql(region: str, rel: str, sample: str, monthly: str) -> str:
@@ -157,11 +185,12 @@ VER = "SELECT trade_id, sgg_cd, concat(year(seen_on) * 100 + month(seen_on), '')
 def _latency(spark, d):
     v = view(spark, d, "version").createOrReplaceTempView("deedflow_version") or spark.sql(VER.format("deedflow_version"))
     v = v.withColumn("valid_from", F.col("valid_from").cast("timestamp"))
-    return marts.source_latency(v, v.groupBy("sgg_cd", "deal_ym").agg((F.min("valid_from") + F.expr("interval 1 day")).alias("first_fetch")))
+    regions = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.col("n_regionkey") + 11, F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("sgg_cd"))
+    return marts.source_latency(v, v.groupBy("sgg_cd", "deal_ym").agg((F.min("valid_from") + F.expr("interval 1 day")).alias("first_fetch")), regions)
 
 
 LATENCY = f"""--with v AS ({VER.format("version")}), f AS (SELECT sgg_cd, deal_ym, min(valid_from) + INTERVAL 1 DAY AS first_fetch FROM v GROUP BY ALL),
-w AS (SELECT *, lag(valid_from) OVER (PARTITION BY trade_id ORDER BY version) AS prev_from FROM v),
+w AS (SELECT *, lag(valid_from) OVER (PARTITION BY trade_id ORDER BY version) AS prev_from FROM v WHERE sgg_cd IN (SELECT concat(n_regionkey + 11, lpad(concat(n_nationkey, ''), 3, '0')) FROM nation)),
 e AS (SELECT 'L1' AS metric, deal_date AS base_date, * FROM w WHERE version = 1 UNION ALL SELECT 'L2', cancel_date, * FROM w WHERE is_cancelled QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY version) = 1),
 o AS (SELECT metric, base_date, CAST(valid_from + INTERVAL 9 HOUR AS DATE) AS observed_date, substr(e.sgg_cd, 1, 2) AS sido_cd, e.deal_ym, valid_from, prev_from, first_fetch FROM e JOIN f ON e.sgg_cd = f.sgg_cd AND e.deal_ym = f.deal_ym),
 c AS (SELECT *, CASE WHEN valid_from < prev_from THEN 'time_inverted' WHEN valid_from <= first_fetch THEN 'initial_load' WHEN base_date IS NULL THEN 'no_base_date'
@@ -189,50 +218,55 @@ def latency_bins(spark, d):
     return quality.latency_bins(_latency(spark, d))
 
 
-@query(f"""{SERVED}, m AS ({_month_sql("served", "priced", "sgg_cd")}) SELECT 'unique:sgg_cd+deal_ym' AS check_name, 0::BIGINT AS failed, (SELECT count(*) FROM m)::DOUBLE AS metric
-UNION ALL SELECT 'holds:trades + cancelled = reported', 0, (SELECT count(*) FROM m) UNION ALL SELECT 'holds:p25_ppm2 <= median_ppm2 and median_ppm2 <= p75_ppm2', 0, (SELECT count(*) FROM m) UNION ALL SELECT 'not_null:median_ppm2', (SELECT count(*) FROM m WHERE median_ppm2 IS NULL), (SELECT count(*) FROM m)
-UNION ALL SELECT 'between:priced', (SELECT count(*) FROM m WHERE priced NOT BETWEEN 5 AND 1000000), (SELECT count(*) FROM m) UNION ALL SELECT 'related:sgg_cd', 0, 0""", "trade")
+@query(f"""{SERVED}, m AS ({_month_sql("served", "priced", "sgg_cd")}), x AS (SELECT * FROM m UNION ALL SELECT * REPLACE (trades + 1 AS trades) FROM m WHERE deal_ym LIKE '%05'), n AS (SELECT count(*)::DOUBLE AS n FROM x)
+SELECT 'unique:sgg_cd+deal_ym' AS check_name, (SELECT count(*) FROM m WHERE deal_ym LIKE '%05') AS failed, (SELECT count(*) FROM m)::DOUBLE AS metric
+UNION ALL SELECT 'holds:trades + cancelled = reported', (SELECT count(*) FROM m WHERE deal_ym LIKE '%05'), n FROM n UNION ALL SELECT 'holds:p25_ppm2 <= median_ppm2 and median_ppm2 < p75_ppm2', (SELECT count(*) FROM x WHERE NOT (p25_ppm2 <= median_ppm2 AND median_ppm2 < p75_ppm2)), n FROM n
+UNION ALL SELECT 'not_null:median_ppm2', (SELECT count(*) FROM x WHERE median_ppm2 IS NULL), n FROM n UNION ALL SELECT 'between:priced', (SELECT count(*) FROM x WHERE priced NOT BETWEEN 5 AND 40), n FROM n
+UNION ALL SELECT 'accepted:low_sample', (SELECT count(*) FROM x WHERE low_sample), n FROM n UNION ALL SELECT 'related:sgg_cd', (SELECT count(*) FROM x WHERE sgg_cd LIKE '12%'), (SELECT count(*) FROM x WHERE sgg_cd LIKE '12%')""", "trade")
 def data_checks(spark, d):
-    """G14"""
-    s = _served(spark, d)
-    m = marts.region_month(s)
-    return checks.report(checks.unique(m, ["sgg_cd", "deal_ym"]), checks.holds(m, "trades + cancelled = reported"), checks.holds(m, "p25_ppm2 <= median_ppm2 and median_ppm2 <= p75_ppm2"), checks.not_null(m, "median_ppm2"), checks.between(m, "priced", 5, 1_000_000), checks.related(m, "sgg_cd", s, "sgg_cd")).withColumnRenamed("check", "check_name")
+    """G14, on a mart with every May twice and wrong, and a region list without a province"""
+    m = marts.region_month(_served(spark, d))
+    x = m.unionByName(m.where(F.col("deal_ym").endswith("05")).withColumn("trades", F.col("trades") + 1))
+    known = m.where(~F.col("sgg_cd").startswith("12"))
+    rows = [checks.unique(x, ["sgg_cd", "deal_ym"]), checks.holds(x, "trades + cancelled = reported"), checks.holds(x, "p25_ppm2 <= median_ppm2 and median_ppm2 < p75_ppm2"), checks.not_null(x, "median_ppm2")]
+    rows += [checks.between(x, "priced", 5, 40), checks.accepted(x, "low_sample", [False]), checks.related(x, "sgg_cd", known, "sgg_cd")]
+    return checks.report(*rows).withColumnRenamed("check", "check_name")
 
 
 @query("SELECT min(deal_ym) AS lo, max(deal_ym) AS hi FROM trade", "trade")
 def month_bounds(spark, d):
     """Q1"""
-    return serving.month_bounds(view(spark, d, "trade"))
+    return serving.month_bounds(mart(spark, d, "region_month"))
 
 
 @query(f"{SERVED}, m AS ({_month_sql('served', 'priced', 'sgg_cd')}) SELECT * FROM m WHERE deal_ym IN ('{MONTH}', '199805', '199706')", "trade")
 def compared_months(spark, d):
     """Q2"""
-    return serving.compared_months(region_month(spark, d), MONTH)
+    return serving.compared_months(mart(spark, d, "region_month"), MONTH)
 
 
 @query(f"{SERVED}, m AS ({ROLLUP}) SELECT * FROM m WHERE deal_ym BETWEEN '{LO}' AND '{MONTH}' OR deal_ym = '199601'", "trade")
 def range_or_month(spark, d):
     """Q3"""
-    return serving.range_or_month(rollup_month(spark, d), LO, MONTH, "199601")
+    return serving.range_or_month(mart(spark, d, "rollup_month"), LO, MONTH, "199601")
 
 
 @query(f"{SERVED}, m AS ({ROLLUP}) SELECT region_id, deal_ym, trades FROM m QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY deal_ym DESC) <= 3", "trade")
 def last_points(spark, d):
     """Q4"""
-    return serving.last_points(rollup_month(spark, d), "region_id", 3).select("region_id", "deal_ym", "trades")
+    return serving.last_points(mart(spark, d, "rollup_month"), "region_id", 3).select("region_id", "deal_ym", "trades")
 
 
 @query("SELECT DISTINCT sgg_cd, sido_cd FROM trade ORDER BY sgg_cd", "trade")
 def region_list(spark, d):
     """Q5"""
-    return view(spark, d, "trade").select("sgg_cd", "sido_cd").distinct().orderBy("sgg_cd")
+    return serving.region_list(_served(spark, d), ["sgg_cd", "sido_cd"])
 
 
 @query(f"{SERVED}, m AS ({_month_sql('served', 'priced', 'sgg_cd')}) SELECT deal_ym, trades, median_ppm2 FROM m WHERE sgg_cd = '12001' AND deal_ym BETWEEN '{LO}' AND '{HI}'", "trade")
 def month_series(spark, d):
     """Q6: the district reaches the scan's side of the plan, the bounds stay nation-wide"""
-    return serving.month_series(region_month(spark, d), "12001", LO, HI).select("deal_ym", "trades", "median_ppm2")
+    return serving.month_series(mart(spark, d, "region_month"), "12001", LO, HI).select("deal_ym", "trades", "median_ppm2")
 
 
 Q5S = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -270,7 +304,7 @@ def by_area(spark, d):
 @query(f"--with b AS (SELECT *, {F_BAND} AS band FROM trade WHERE NOT is_cancelled AND floor IS NOT NULL) SELECT * FROM {pct_sql('b', 'sgg_cd, band', 'price_manwon::DOUBLE', {'median': 0.5})}", "trade")
 def by_floor(spark, d):
     """Q11"""
-    return serving.by_floor(view(spark, d, "trade"), ["sgg_cd"])
+    return serving.by_floor(_served(spark, d), ["sgg_cd"])
 
 
 @query(f"{SERVED} SELECT trade_id, deal_date, area_m2, ppm2 FROM priced WHERE sgg_cd = '12001' ORDER BY deal_date, trade_id LIMIT 200", "trade")
@@ -289,7 +323,7 @@ def top_complexes(spark, d):
 @query("SELECT trade_id, deal_date, price_manwon FROM trade WHERE sgg_cd = '12001' AND (deal_date, trade_id) < (DATE '1999-03-01', '12001') ORDER BY deal_date DESC, trade_id DESC LIMIT 51", "trade")
 def trade_page(spark, d):
     """Q14"""
-    return serving.page(view(spark, d, "trade"), F.col("sgg_cd") == "12001", ("1999-03-01", "12001"), 50).select("trade_id", "deal_date", "price_manwon")
+    return serving.page(_served(spark, d), F.col("sgg_cd") == "12001", ("1999-03-01", "12001"), 50).select("trade_id", "deal_date", "price_manwon")
 
 
 @query(f"""{SERVED} SELECT c.*, median_price, median_ppm2 FROM (SELECT sgg_cd, count(*) AS n, count(*) FILTER (is_cancelled) AS cancelled FROM served GROUP BY 1) c
@@ -301,8 +335,16 @@ def trade_summary(spark, d):
 
 @query("SELECT trade_id, version, state FROM version WHERE trade_id = '7' ORDER BY version", "version")
 def version_history(spark, d):
-    """Q16, Q30"""
-    return view(spark, d, "version").where("trade_id = '7'").orderBy("version").select("trade_id", "version", "state")
+    """Q16: from the month partition that the first version names"""
+    v = view(spark, d, "version").withColumn("deal_ym", F.lit("202401"))
+    return serving.versions_of(v, "7", "202401").select("trade_id", "version", "state")
+
+
+@query("SELECT concat('r', trade_id) AS rent_id, version, state FROM version WHERE trade_id = '11' ORDER BY version", "version")
+def rent_version_history(spark, d):
+    """Q30"""
+    v = view(spark, d, "version").select(F.concat(F.lit("r"), "trade_id").alias("rent_id"), "version", "state", F.lit("202401").alias("deal_ym"))
+    return serving.versions_of(v, "r11", "202401", "rent_id").select("rent_id", "version", "state")
 
 
 @query("""--with w AS (SELECT *, lag(state) OVER x AS s, lag(amount) OVER x AS a FROM version WINDOW x AS (PARTITION BY trade_id ORDER BY version))
@@ -315,20 +357,20 @@ def history_diff(spark, d):
 @query("SELECT trade_id, deal_date, price_manwon FROM trade WHERE complex_key = 'c_77' ORDER BY deal_date DESC, trade_id DESC LIMIT 11", "trade")
 def complex_recent(spark, d):
     """Q18"""
-    return serving.page(view(spark, d, "trade"), F.col("complex_key") == "c_77", None, 10).select("trade_id", "deal_date", "price_manwon")
+    return serving.page(_served(spark, d), F.col("complex_key") == "c_77", None, 10).select("trade_id", "deal_date", "price_manwon")
 
 
-@query(f"--with dim AS ({DIM} FROM part), n AS (SELECT complex_key, count(*) AS trades FROM trade WHERE NOT is_cancelled GROUP BY 1) SELECT complex_key, apt_nm, coalesce(trades, 0) AS trades FROM dim LEFT JOIN n USING (complex_key) WHERE contains(lower(apt_nm), 'en') OR contains(lower(umd_nm), 'en') ORDER BY trades DESC, complex_key LIMIT 15", "trade")
+@query(f"--with dim AS ({DIM} FROM part), n AS (SELECT complex_key, count(*) AS trades FROM trade WHERE NOT is_cancelled GROUP BY 1) SELECT complex_key, apt_nm, coalesce(trades, 0) AS trades FROM dim LEFT JOIN n USING (complex_key) WHERE contains(lower(apt_nm), 'ring') OR contains(lower(umd_nm), 'ring') ORDER BY trades DESC, complex_key LIMIT 15", "trade")
 def complex_search(spark, d):
     """Q19"""
     t = view(spark, d, "trade")
-    return serving.search(marts.complex_summary(_dim(spark, d), t, _dim(spark, d)), "EN").select("complex_key", "apt_nm", "trades")
+    return serving.search(marts.complex_summary(_dim(spark, d), t, _dim(spark, d)), "RING").select("complex_key", "apt_nm", "trades")
 
 
 @query(f"{SERVED}, m AS ({ROLLUP}) SELECT region_id, string_agg(concat(deal_ym, ':', trades), ',' ORDER BY deal_ym) AS series FROM m GROUP BY 1", "trade")
 def index_series(spark, d):
     """Q20"""
-    s = serving.series_arrays(rollup_month(spark, d), "region_id", "trades")
+    s = serving.series_arrays(mart(spark, d, "rollup_month"), "region_id", "trades")
     return s.select("region_id", F.array_join(F.zip_with("periods", "values", lambda p, v: F.concat(p, F.lit(":"), v)), ",").alias("series"))
 
 
@@ -338,26 +380,26 @@ round((a.trades - y.trades) * 100.0::DOUBLE / nullif(y.trades, 0), 2) AS trades_
 FROM m a LEFT JOIN m b ON a.sgg_cd = b.sgg_cd AND b.no = a.no - 1 LEFT JOIN m y ON a.sgg_cd = y.sgg_cd AND y.no = a.no - 12 WHERE a.deal_ym = '{MONTH}'""", "trade")
 def district_summary(spark, d):
     """Q21, Q22, Q45"""
-    return serving.district_summary(region_month(spark, d), MONTH).select("sgg_cd", "trades", "cancel_rate", "median_ppm2_yoy", "trades_yoy", "trades_mom")
+    return serving.district_summary(mart(spark, d, "region_month"), MONTH).select("sgg_cd", "trades", "cancel_rate", "median_ppm2_yoy", "trades_yoy", "trades_mom")
 
 
 @query(f"{SERVED}, m AS ({ROLLUP}) SELECT region_id, string_agg(deal_ym, ',' ORDER BY deal_ym) AS months, string_agg(trades::VARCHAR, ',' ORDER BY deal_ym) AS trades FROM m WHERE deal_ym BETWEEN '199707' AND '{MONTH}' GROUP BY 1", "trade")
 def region_spark(spark, d):
     """Q23, Q26"""
-    s = serving.region_spark(rollup_month(spark, d), MONTH)
+    s = serving.region_spark(mart(spark, d, "rollup_month"), MONTH)
     return s.select("region_id", F.array_join("months", ",").alias("months"), F.array_join(F.transform("trades", lambda x: x.cast("string")), ",").alias("trades"))
 
 
 @query(f"{SERVED}, m AS ({_month_sql('served', 'priced', 'sgg_cd')}) SELECT sgg_cd, trades FROM m WHERE deal_ym = '{MONTH}' ORDER BY trades DESC, sgg_cd LIMIT 10", "trade")
 def ranking_volume(spark, d):
     """Q24"""
-    return serving.ranking(region_month(spark, d).where(F.col("deal_ym") == MONTH), "trades", True)
+    return serving.ranking(mart(spark, d, "region_month").where(F.col("deal_ym") == MONTH), "trades", True)
 
 
 @query("SELECT max(deal_ym) AS month FROM trade WHERE last_day(deal_date) + 30 < DATE '2001-10-20'", "trade")
 def default_month(spark, d):
     """Q25"""
-    return serving.default_month(view(spark, d, "trade"), "2001-10-20", within=12)
+    return serving.default_month(mart(spark, d, "region_month"), "2001-10-20", within=12)
 
 
 @query("--with g AS (SELECT DISTINCT sgg_cd FROM trade), k AS (SELECT strftime(m, '%Y%m') AS deal_ym FROM unnest(generate_series(DATE '1994-11-01', DATE '1995-03-01', INTERVAL 1 MONTH)) t(m)) SELECT sgg_cd, deal_ym FROM g, k WHERE (sgg_cd, deal_ym) NOT IN (SELECT sgg_cd, deal_ym FROM trade)", "trade")
@@ -382,7 +424,7 @@ def rent_histogram(spark, d):
 @query("SELECT rent_id, deal_date, deposit_manwon FROM rent WHERE sgg_cd = '12001' AND monthly_rent_manwon = 0 ORDER BY deal_date DESC, rent_id DESC LIMIT 51", "rent")
 def rent_page(spark, d):
     """Q29"""
-    return serving.page(view(spark, d, "rent"), (F.col("sgg_cd") == "12001") & (F.col("monthly_rent_manwon") == 0), None, 50, "rent_id").select("rent_id", "deal_date", "deposit_manwon")
+    return serving.page(_r_served(spark, d), (F.col("sgg_cd") == "12001") & (F.col("monthly_rent_manwon") == 0), None, 50, "rent_id").select("rent_id", "deal_date", "deposit_manwon")
 
 
 ROLL = "(SELECT sgg_cd, {0} AS v, unnest(range(no, no + 12)) AS no FROM (SELECT *, substr(deal_ym, 1, 4)::INT * 12 + substr(deal_ym, 5, 2)::INT AS no FROM {1}))"
@@ -432,7 +474,7 @@ def complex_rent_bands(spark, d):
 @query("SELECT strftime(max(deal_date), '%Y%m') AS latest FROM rent", "rent")
 def latest_rent_month(spark, d):
     """Q38"""
-    return view(spark, d, "rent").agg(F.date_format(F.max("deal_date"), "yyyyMM").alias("latest"))
+    return serving.latest_month(_r_served(spark, d), "deal_date")
 
 
 def _states(spark, d):
@@ -469,7 +511,7 @@ def change_feed_page(spark, d):
     return diff.feed_page(changes, spark.range(9).select(F.col("id").alias("publish_id"), (F.col("id") + 1).alias("ordinal")), (2, "13"), 6, 100)
 
 
-VERSIONS = "SELECT concat('v', p_partkey) AS version, make_date(2024, 1, 1) + CAST(p_partkey AS INT) AS day, concat('b', p_partkey) AS publish_id, p_partkey % 400 = 10 AS snapshot_baseline, p_partkey FROM {} WHERE p_partkey <= 500"
+VERSIONS = "SELECT concat('v', p_partkey) AS version, make_date(2024, 1, 1) + CAST(p_partkey AS INT) AS day, concat('b', p_partkey) AS publish_id, p_partkey % 400 = 10 AS snapshot_baseline, p_partkey FROM {}"
 
 
 def _versions(spark, d):
@@ -495,8 +537,9 @@ def kept_versions(spark, d):
     return serving.kept_versions(_versions(spark, d)[0], "2025-04-25").select("version")
 
 
-@query(f"""{KEPT}, u AS (SELECT k.p_partkey AS kp, max(v.p_partkey) AS fp FROM k JOIN v ON v.p_partkey <= k.p_partkey GROUP BY k.p_partkey, v.p_partkey % 7)
-SELECT concat('f', p_partkey) AS object_key FROM ({VERSIONS.format("part")}) WHERE p_partkey NOT IN (SELECT fp FROM u)""")
+@query(f"""{KEPT}, a AS (SELECT p.p_partkey, sum(CASE WHEN k.p_partkey IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY p.p_partkey) AS upto, k.p_partkey IS NOT NULL AS own, p.p_partkey >= 10 AS known FROM ({VERSIONS.format("part")}) p LEFT JOIN k USING (p_partkey)),
+n AS (SELECT *, upto - own::INT AS before, coalesce(lead(upto - own::INT) OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey), max(upto) OVER ()) AS after FROM a)
+SELECT concat('f', p_partkey) AS object_key FROM n WHERE NOT known OR after = before""")
 def deletable_files(spark, d):
     """Q42"""
     v, files = _versions(spark, d)
@@ -631,14 +674,37 @@ def keyed_trades(spark, d):
     return k.select(F.col("source_id").alias("trade_id"), "complex_key", "trade_key", "attr_hash")
 
 
-@query("""--with g AS (SELECT sgg_cd, deal_ym, complex_key, sha256(concat(price_manwon, '|', coalesce(floor::INT::VARCHAR, ''))) AS a FROM trade) SELECT sgg_cd, deal_ym, complex_key, a, row_number() OVER (PARTITION BY sgg_cd, deal_ym, complex_key ORDER BY a) - 1 AS dup_seq FROM g""", "trade")
+TWINS = """--with k AS (SELECT *, concat(sgg_cd, '|', lower(umd_nm), '||') AS place FROM trade),
+h AS (SELECT sgg_cd, deal_ym, sha256(concat(place, '|20.0000|', deal_date, '|1000|')) AS trade_key, substr(sha256(concat(CASE WHEN is_cancelled THEN 'True' ELSE 'False' END, '|||||||', '|', build_year, '|')), 1, 32) AS attr_hash FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY sgg_cd, deal_ym, trade_key ORDER BY attr_hash) - 1 AS dup_seq FROM h), i AS (SELECT *, concat(sgg_cd, '-', deal_ym, '-', substr(trade_key, 1, 16), '-', dup_seq) AS trade_id FROM n)"""
+
+
+def _twins(spark, d):
+    """Trades of one size and price, that only place, day and attributes tell apart."""
+    same = {"aptNm": " ", "jibun": " ", "excluUseAr": "20", "dealAmount": "1,000", "floor": " "}
+    row = F.map_concat(F.map_filter("row", lambda k, _: ~k.isin(*same)), F.create_map(*(F.lit(x) for kv in same.items() for x in kv)))
+    return keys.keyed_trades(typing.typed_trades(_raw(spark, d).select(row.alias("row"))))
+
+
+@query(TWINS + " SELECT sgg_cd, deal_ym, trade_key, attr_hash, dup_seq::INT AS dup_seq, trade_id FROM i", "trade")
 def duplicate_numbers(spark, d):
-    """The rank of equal keys by their attributes"""
-    from pyspark.sql import Window
+    """The rank of equal keys by their attributes, and the public id"""
+    return _twins(spark, d).select("sgg_cd", "deal_ym", "trade_key", "attr_hash", "dup_seq", "trade_id")
+
 
-    a = keys.joined_hash(F.col("price_manwon").cast("string"), F.coalesce(F.col("floor").cast("int").cast("string"), F.lit("")))
-    same = Window.partitionBy("sgg_cd", "deal_ym", "complex_key").orderBy("a")
-    return view(spark, d, "trade").withColumn("a", a).select("sgg_cd", "deal_ym", "complex_key", "a", (F.row_number().over(same) - 1).cast("long").alias("dup_seq"))
+@query(TWINS + " SELECT count(DISTINCT trade_key) AS duplicate_groups FROM i WHERE dup_seq > 0", "trade")
+def duplicate_groups(spark, d):
+    """K12"""
+    return keys.duplicate_groups(_twins(spark, d))
+
+
+@query(TWINS + ", x AS (SELECT trade_id, deal_ym, sgg_cd, dup_seq FROM i UNION ALL SELECT concat(trade_id, 'x'), NULL, sgg_cd, dup_seq FROM i) SELECT trade_id, deal_ym AS month, sgg_cd, substr(trade_id, 7, 6) AS ym FROM x", "trade")
+def id_months(spark, d):
+    """Of well-formed and malformed ids"""
+    ids = _twins(spark, d).select("trade_id")
+    ids = ids.unionByName(ids.select(F.concat("trade_id", F.lit("x")).alias("trade_id")))
+    sgg, ym = serving.scope_of(F.col("trade_id"))
+    return ids.select("trade_id", keys.id_month(F.col("trade_id")).alias("month"), sgg.alias("sgg_cd"), ym.alias("ym"))
 
 
 def _history(spark, d):
@@ -686,13 +752,13 @@ def renamed_places(spark, d):
 @query(f"{SERVED}, m AS ({ROLLUP}), g AS (SELECT region_id, strftime(x, '%Y%m') AS deal_ym FROM (SELECT DISTINCT region_id FROM m), unnest(generate_series(DATE '1994-10-01', DATE '1995-06-01', INTERVAL 1 MONTH)) u(x)) SELECT region_id, deal_ym, coalesce(trades, 0) AS trades FROM g LEFT JOIN m USING (region_id, deal_ym)", "trade")
 def calendar_fill(spark, d):
     """W3, W10"""
-    return serving.calendar_fill(rollup_month(spark, d), "region_id", "199410", "199506", ["trades"])
+    return serving.calendar_fill(mart(spark, d, "rollup_month"), "region_id", "199410", "199506", ["trades"])
 
 
 @query(f"{SERVED}, m AS ({ROLLUP}), v AS (SELECT trades, row_number() OVER (ORDER BY trades) - 1 AS r, count(*) OVER () AS n FROM m) SELECT DISTINCT trades AS edge FROM v WHERE r IN (floor(n / 6), floor(2 * n / 6), floor(3 * n / 6), floor(4 * n / 6), floor(5 * n / 6))", "trade")
 def quantile_edges(spark, d):
     """W1"""
-    return quality.quantile_edges(rollup_month(spark, d), "trades", 6)
+    return quality.quantile_edges(mart(spark, d, "rollup_month"), "trades", 6)
 
 
 @query("""WITH e AS (SELECT user_id % 20 AS client_id, ts AS seen_at, event_id, epoch_us(ts) AS us FROM events), w AS (SELECT *, us // 3600000000 AS w, (us % 3600000000) / 3600000000.0::DOUBLE AS frac FROM e), c AS (SELECT client_id, w + 1 AS w, count(*) AS prev FROM w GROUP BY ALL)
@@ -723,7 +789,7 @@ def hedonic_index(spark, d):
 SELECT a.region_id, a.deal_ym, a.value / b.value - 1 AS change FROM m a JOIN m b ON a.region_id = b.region_id AND a.no = b.no + 1""", "trade")
 def monthly_change(spark, d):
     """H6"""
-    return hedonic.monthly_change(region_month(spark, d).where("median_ppm2 is not null").select(F.col("sgg_cd").alias("region_id"), "deal_ym", F.col("median_ppm2").alias("value")))
+    return hedonic.monthly_change(mart(spark, d, "region_month").where("median_ppm2 is not null").select(F.col("sgg_cd").alias("region_id"), "deal_ym", F.col("median_ppm2").alias("value")))
 
 
 @query("SELECT p_partkey, lower(replace(replace(p_name, ' ', ''), chr(9), '')) AS norm FROM part")
@@ -743,13 +809,13 @@ def nearest_ranks(spark, d):
 SELECT a.sgg_cd, a.deal_ym, a.median_ppm2, round((a.median_ppm2 - y.median_ppm2) * 100.0::DOUBLE / nullif(y.median_ppm2, 0), 2) AS median_ppm2_yoy FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sgg_cd ORDER BY deal_ym DESC) = 1) a LEFT JOIN m y ON a.sgg_cd = y.sgg_cd AND y.no = a.no - 12""", "trade")
 def latest_quote(spark, d):
     """W4, Q26"""
-    return serving.latest_quote(region_month(spark, d), "sgg_cd", "2001-10-05")
+    return serving.latest_quote(mart(spark, d, "region_month"), "sgg_cd", "2001-10-05")
 
 
 @query(f"{SERVED}, m AS (SELECT * FROM ({_month_sql('served', 'priced', 'sgg_cd')}) QUALIFY row_number() OVER (PARTITION BY sgg_cd ORDER BY deal_ym DESC) <= 12) SELECT sgg_cd, sum(trades)::BIGINT AS trades, sum(priced)::BIGINT AS priced FROM m GROUP BY 1", "trade")
 def trailing_stats(spark, d):
     """W4"""
-    return serving.trailing(region_month(spark, d), "sgg_cd")
+    return serving.trailing(mart(spark, d, "region_month"), "sgg_cd")
 
 
 @query("SELECT trade_id, coalesce(floor, -1) AS floor, build_year, coalesce(cancel_date, DATE '1970-01-01') AS cancel_date FROM trade", "trade")
@@ -760,19 +826,49 @@ def published_rows(spark, d):
     return serving.published(view(spark, d, "trade"), {"trade_id": None, "floor": -1, "build_year": None, "cancel_date": dt.date(1970, 1, 1)})
 
 
-@query("""--with cur AS (SELECT trade_id, sgg_cd, complex_no FROM trade WHERE complex_no % 5 <> 3) SELECT 'dup_current' AS check_name, 0::BIGINT AS failed UNION ALL SELECT 'stage_as_observed', count(*) FILTER (a <> b) FROM (SELECT sgg_cd, count(*) FILTER (complex_no % 5 <> 3 AND sgg_cd <> '15023') AS a, count(*) AS b FROM trade GROUP BY 1)""", "trade")
-def month_verification(spark, d):
-    """M9, M10"""
+@query("""--with t AS (SELECT *, complex_no % 5 AS k, sgg_cd <> '15023' AS seen FROM trade),
+cur AS (SELECT trade_id, sgg_cd, price_manwon + CASE WHEN seen AND k = 2 THEN 1 ELSE 0 END AS price, seen AND k = 3 AS missing, seen FROM t WHERE k <> 1 OR seen),
+kept AS (SELECT * FROM cur WHERE price % 97 <> 0), twice AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE price % 89 = 0),
+a AS (SELECT sgg_cd, count(*) FILTER (k <> 3) AS staged FROM t WHERE seen GROUP BY 1), o AS (SELECT sgg_cd, count(*) FILTER (NOT missing) AS observed FROM twice WHERE seen GROUP BY 1)
+SELECT 'dup_current' AS check_name, count(*) AS failed, (SELECT count(*) FROM kept)::DOUBLE AS metric FROM kept WHERE price % 89 = 0
+UNION ALL SELECT 'stage_as_observed', count(*) FILTER (staged <> coalesce(observed, 0)), count(*) FROM a LEFT JOIN o USING (sgg_cd)
+UNION ALL SELECT 'missing_3_times', count(*) FILTER (price % 2 = 0), count(*) FROM twice WHERE missing
+UNION ALL SELECT 'duplicate_groups', 0, 0""", "trade")
+def merge_checks(spark, d):
+    """M9, on a merge that lost rows and doubled others"""
+    return checks.post_merge(*_damaged(spark, d), "trade_key").withColumnRenamed("check", "check_name")
+
+
+def _damaged(spark, d):
+    """A merged history without the rows of some prices and with those of others twice, its stage and districts."""
     history, stage, parts = _history(spark, d)
-    merged = scd2.merge_history(history, stage, parts, "trade_key", ["price_manwon"])
-    total = view(spark, d, "trade").groupBy("sgg_cd").agg(F.count(F.lit(1)).alias("total"))
-    return checks.verify_month(merged, stage, total, parts.select("sgg_cd", "fetch_seq"), "trade_key").select(F.col("check").alias("check_name"), "failed")
+    merged = scd2.merge_history(history, stage, parts, "trade_key", ["price_manwon"]).where("price_manwon % 97 <> 0 or not is_current")
+    # Rows of even prices count as missing since the first observation, a third one having followed the second.
+    merged = merged.withColumn("missing_seq", F.when(F.col("missing_since").isNotNull() & (F.col("price_manwon") % 2 == 0), F.col("missing_seq") - 1).otherwise(F.col("missing_seq")))
+    twice = merged.unionByName(merged.where("is_current and price_manwon % 89 = 0"))
+    return twice, stage, parts.withColumn("fetch_seq", F.lit(3))
+
+
+@query("""--with t AS (SELECT *, complex_no % 5 AS k, sgg_cd <> '15023' AS seen FROM trade),
+kept AS (SELECT * FROM (SELECT sgg_cd, price_manwon + CASE WHEN seen AND k = 2 THEN 1 ELSE 0 END AS price, seen AND k = 3 AS missing, seen FROM t WHERE k <> 1 OR seen) WHERE price % 97 <> 0),
+a AS (SELECT sgg_cd, count(*) FILTER (k <> 3) AS staged FROM t WHERE seen GROUP BY 1), o AS (SELECT sgg_cd, sum(CASE WHEN price % 89 = 0 THEN 2 ELSE 1 END) AS observed FROM kept WHERE seen AND NOT missing GROUP BY 1)
+SELECT 'dup_current' AS check_name, count(*) AS failed FROM kept WHERE price % 89 = 0 UNION ALL SELECT 'stage_as_observed', count(*) FILTER (staged <> coalesce(observed, 0)) FROM a LEFT JOIN o USING (sgg_cd)""", "trade")
+def month_verification(spark, d):
+    """The blocking checks again, on the same damaged month"""
+    return checks.verify_month(*_damaged(spark, d), "trade_key").select(F.col("check").alias("check_name"), "failed")
 
 
-@query("WITH m AS (SELECT concat(date_part('year', l_shipdate) * 100 + date_part('month', l_shipdate), '') AS deal_ym, max(l_shipdate) AS changed FROM lineitem GROUP BY 1) SELECT deal_ym, 'late' AS kind, 1440::BIGINT AS minutes FROM m")
+WAITS = "SELECT DISTINCT concat(year(l_shipdate) * 100 + month(l_shipdate), '') AS deal_ym, CAST(l_shipdate AS DATE) AS day FROM {} WHERE l_suppkey % 10 = 3"
+
+
+@query(f"""WITH c AS ({WAITS.format("lineitem")}), p AS (SELECT DISTINCT deal_ym, last_day(day) + n AS day FROM c, unnest([-20, -9, 3]) u(n)), s AS (SELECT *, lag(day) OVER (PARTITION BY deal_ym ORDER BY day) AS prev FROM p)
+SELECT s.deal_ym, s.day AS published_on, count(*) AS n, sum(date_diff('day', c.day, s.day) * 1440)::BIGINT AS minutes FROM s JOIN c ON s.deal_ym = c.deal_ym AND c.day <= s.day AND (prev IS NULL OR c.day > prev) GROUP BY ALL""")
 def publish_waits(spark, d):
-    """Minutes from a change to the publish that took it in"""
-    ym = F.date_format("l_shipdate", "yyyyMM")
-    m = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(ym.alias("deal_ym")).agg(F.max("l_shipdate").cast("timestamp").alias("changed_at"))
-    publishes = m.select("deal_ym", F.explode(F.array(F.col("changed_at") - F.expr("interval 5 days"), F.col("changed_at") + F.expr("interval 1 day"), F.col("changed_at") + F.expr("interval 9 days"))).alias("published_at"))
-    return quality.lag_rows(publishes, m).select("deal_ym", F.lit("late").alias("kind"), "minutes")
+    """Minutes from each change to the publish that took it in"""
+    days = spark.sql(WAITS.format("{l}"), l=spark.read.parquet(f"{d}/lineitem.parquet"))
+    publishes = days.select("deal_ym", F.explode(F.array(*(F.date_add(F.last_day("day"), n).cast("timestamp") for n in (-20, -9, 3)))).alias("published_at")).distinct()
+    rows = quality.lag_rows(publishes, days.select("deal_ym", F.col("day").cast("timestamp").alias("changed_at")))
+    return rows.groupBy("deal_ym", F.to_date("published_at").alias("published_on")).agg(F.count(F.lit(1)).alias("n"), F.sum("minutes").alias("minutes"))
+
+
+from deedflow import queries_ops as _ops  # noqa: E402, F401  registers the rest

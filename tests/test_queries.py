@@ -27,7 +27,7 @@ def plain(rows):
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", ["region_month", "rent_rollup_month", "source_latency", "histogram", "district_summary", "jeonse_ratio", "deletable_files", "failed_checks", "keyed_trades", "history_merge", "state_diff"])
+@pytest.mark.parametrize("name", ["merge_checks", "month_verification", "bronze_checks", "state_transitions", "data_checks", "keyed_rents", "feed_errors", "error_log", "index_summary", "region_month", "rent_rollup_month", "source_latency", "histogram", "district_summary", "jeonse_ratio", "deletable_files", "failed_checks", "keyed_trades", "history_merge", "state_diff"])
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)

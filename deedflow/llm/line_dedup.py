@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedflow.llm.common import cut_few, small
+from deedflow.llm.common import cut_few
 
 RATIO = 0.05
 LEAST = 3
@@ -60,7 +60,7 @@ def _over(counts: DataFrame, totals: DataFrame, ratio: float, least: int) -> Dat
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, chars: int = LISTED_CHARS) -> DataFrame:
     """(host, h, line) of pages (host, t): the boilerplate lines of each host and their hashes."""
-    totals = small(cut_few(pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))))
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))  # one row a host; its measured size decides how it is joined
     hashes = pages.select("host", F.explode(_seen(F.col("t"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("c"))
     likely = cut_few(_over(hashes, totals, ratio, least))
     lists = likely.groupBy("host").agg(F.collect_list("h").alias("hs"))

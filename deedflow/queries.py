@@ -740,7 +740,7 @@ def complex_merge(spark, d):
     return scd2.merge_complexes(dim, t).select("complex_key", "sgg_cd", "first_seen", "build_year", "apt_seq")
 
 
-@query("""--with o AS (SELECT sgg_cd, deal_ym, price_manwon, complex_no, umd_nm FROM trade WHERE complex_no % 10 = 0), n AS (SELECT sgg_cd, deal_ym, price_manwon, complex_no, concat(umd_nm, CASE WHEN complex_no % 20 = 0 THEN '-new' ELSE '' END) AS umd_nm FROM o)
+@query("""--with o AS (SELECT sgg_cd, deal_ym, price_manwon, complex_no, umd_nm FROM trade), n AS (SELECT sgg_cd, deal_ym, price_manwon, complex_no, concat(umd_nm, CASE WHEN complex_no % 20 = 0 THEN '-new' ELSE '' END) AS umd_nm FROM o)
 SELECT n.sgg_cd, o.umd_nm AS old_nm, n.umd_nm AS new_nm, count(*) AS n FROM n JOIN o USING (sgg_cd, deal_ym, price_manwon, complex_no) WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.sgg_cd = n.sgg_cd AND x.deal_ym = n.deal_ym AND x.price_manwon = n.price_manwon AND x.complex_no = n.complex_no AND x.umd_nm = n.umd_nm) GROUP BY ALL""", "trade")
 def renamed_places(spark, d):
     """V8"""
@@ -858,7 +858,7 @@ def month_verification(spark, d):
     return checks.verify_month(*_damaged(spark, d), "trade_key").select(F.col("check").alias("check_name"), "failed")
 
 
-WAITS = "SELECT DISTINCT concat(year(l_shipdate) * 100 + month(l_shipdate), '') AS deal_ym, CAST(l_shipdate AS DATE) AS day FROM {} WHERE l_suppkey % 10 = 3"
+WAITS = "SELECT DISTINCT concat(year(l_shipdate) * 100 + month(l_shipdate), '') AS deal_ym, CAST(l_shipdate AS DATE) AS day FROM {}"
 
 
 @query(f"""WITH c AS ({WAITS.format("lineitem")}), p AS (SELECT DISTINCT deal_ym, last_day(day) + n AS day FROM c, unnest([-20, -9, 3]) u(n)), s AS (SELECT *, lag(day) OVER (PARTITION BY deal_ym ORDER BY day) AS prev FROM p)

@@ -143,10 +143,10 @@ def complex_catch_up(spark, d):
     return scd2.catch_up(dim, scd2.merge_complexes(dim, stage, traded))
 
 
-@query("SELECT event_id, user_id % 20 AS load, ts + INTERVAL 40 DAY AS seen_at, (user_id % 20)::INT AS fetch_seq FROM events WHERE user_id % 20 < 7 AND event_id % 20 = user_id % 20".replace("ts + INTERVAL 40 DAY", "TIMESTAMP '2024-03-01' + to_days((user_id % 20)::INT)"))
+@query("SELECT event_id, user_id % 20 AS load, TIMESTAMP '2024-03-01' + to_days((event_id % 20)::INT) AS seen_at, (event_id % 20)::INT AS fetch_seq FROM events WHERE event_id % 20 < 7")
 def stage_rows(spark, d):
-    """M8: rows of the loads in force, with this observation's time"""
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 20).alias("ingest_id"), (F.col("user_id") % 20).alias("load")).where("ingest_id = load")
+    """M8: rows of the seven loads in force, of twenty, with this observation's time"""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 20).alias("ingest_id"), (F.col("user_id") % 20).alias("load"))
     loaded = spark.range(7).select(F.col("id").alias("ingest_id"), (F.lit("2024-03-01").cast("timestamp") + F.make_interval(days=F.col("id").cast("int"))).cast("timestamp_ntz").alias("fetched_at"), F.col("id").cast("int").alias("fetch_count"))
     return scd2.stage_rows(e, loaded).select("event_id", "load", "seen_at", "fetch_seq")
 

@@ -272,3 +272,25 @@ def test_window_completeness(spark):
     assert {r["sgg_cd"] for r in got.collect()} == {"a", "b"}
     cells = spark.createDataFrame([("a", s, f"2024{m:02d}") for s in ("trade", "rent") for m in range(1, 13) if (s, m) != ("rent", 4)], "sgg_cd string, source string, deal_ym string")
     assert [tuple(r) for r in serving.complete_windows(cells, 2, 3).orderBy("no").collect()] == [("a", 2024 * 12 + 3)] + [("a", 2024 * 12 + m) for m in range(7, 13)]
+
+
+def test_python_functions_run_where_the_package_is_not_installed(tmp_path):
+    """The session starts in another folder and the path is set in the driver alone, as on executors without the package."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    code = textwrap.dedent("""
+        import sys
+        sys.path.insert(0, sys.argv[1])
+        from pyspark.sql import SparkSession
+        from deedflow.functions import keys
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+        rows = spark.createDataFrame([("\\uff21 b",), (None,)], "x string").repartition(1)
+        print([r[0] for r in rows.select(keys.norm_text(rows.x)).collect()])
+    """)
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert done.stdout.strip() in ("['ab', '']", "['', 'ab']"), done.stderr[-2000:]

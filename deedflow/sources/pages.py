@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import random
 import time
-import urllib.error
-import urllib.parse
-import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
+from urllib.parse import quote
+from urllib.request import urlopen
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,7 +118,7 @@ def page_of(text: str) -> tuple[int, int]:
     return len(root.findall("./body/items/item")), int(root.findtext("./body/totalCount") or 0)
 
 
-def _refused(e: urllib.error.HTTPError) -> Exception | None:
+def _refused(e: HTTPError) -> Exception | None:
     """What a client error means; null for a server error, which may pass."""
     if e.code >= 500:
         return None
@@ -142,7 +142,7 @@ def fetch_page(get: Callable[[int], str], no: int, bucket: TokenBucket, attempts
         try:
             text = get(no)
             return text, *page_of(text)
-        except urllib.error.HTTPError as e:
+        except HTTPError as e:
             if (refused := _refused(e)) is not None:
                 raise refused from e
             last = LoadFailed(f"HTTP {e.code}")
@@ -204,7 +204,7 @@ class PagedReader(DataSourceReader):
                 continue
 
             def get(no: int, district=district, month=month) -> str:
-                with urllib.request.urlopen(url.format(district=urllib.parse.quote(district), month=month, page=no), timeout=30) as r:
+                with urlopen(url.format(district=quote(district), month=month, page=no), timeout=30) as r:
                     return r.read().decode()
 
             try:

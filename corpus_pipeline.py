@@ -17,7 +17,7 @@ from deedflow.llm.decontaminate import IDS, decontaminate
 from deedflow.llm.line_dedup import line_dedup
 from deedflow.llm.mixing import mix, taken
 from deedflow.llm.quality import accepted, learn
-from deedflow.llm.simhash import near_copies
+from deedflow.llm.simhash import RADIUS, near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,10 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id. Rows that repeat an id are one document and stay or go
-    together; rows without an id stay; null and empty texts are equal to each other; ids may be of any type."""
-    return _without(docs, near_copies(docs).where("doc_id <> component_id").select("doc_id"))
+    """Of each group of near copies the document with the least id. Near copies are what op8 joins, by its fingerprints and
+    grid, and pairs of a shingle similarity of 0.8. Rows that repeat an id are one document and stay or go together; rows
+    without an id stay; null and empty texts are equal to each other; ids may be of any type."""
+    return _without(docs, near_copies(docs, radius=RADIUS).where("doc_id <> component_id").select("doc_id"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from deedflow.llm.common import cut, cut_few, integer_ids, map_text, small
 from deedflow.llm.components import components
 
 RADIUS = 3
+#: Words of a fingerprint's shingles.
+SHINGLE = 3
 #: Cells of near copies: BANDS of them a document, each of ROWS least hashes.
 BANDS, ROWS = 32, 4
 BLOCK = 1024
@@ -240,22 +242,30 @@ def linked(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Dat
     return _linked(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius, 0, None, crowd)
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 hex digits), component_id (least id linked to it, itself included)."""
-    fps = cut(fingerprints(docs, id_col, text_col, [shingle]).withColumnRenamed("fp0", "fp"))
+def fingerprint_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component_id) of fps (id, fp): the least id of the fingerprints that links within radius bits reach from fp."""
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(linked(classes, radius), "a", "b")
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Classes of one component meet by partial aggregates; most are alone in theirs.
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(heads, "root").select("fp", "component_id")
+    return classes.join(heads, "root").select("fp", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs: id, fingerprint (16 hex digits), component_id (least id linked to it, itself included)."""
+    fps = cut(fingerprints(docs, id_col, text_col, [shingle]).withColumnRenamed("fp0", "fp"))
+    named = fingerprint_groups(fps, radius)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
-def _parts(text: str, shingle: int) -> Iterator[bytes]:
-    """Shingles of a text; texts of fewer words are one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _parts(words: list[bytes], shingle: int) -> Iterator[bytes]:
+    """Shingles of a text's words; texts of fewer words are one shingle."""
     return map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)] * bool(words))
 
 
@@ -265,7 +275,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.fromiter(map(xxhash.xxh32_intdigest, _parts(text, shingle)), np.uint32)) for text in b.column(1).to_pylist()]
+            sets = [np.unique(np.fromiter(map(xxhash.xxh32_intdigest, _parts(_words(text), shingle)), np.uint32)) for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "s"])
 
     return map_text(docs, run, f"id {kind}, n int, s binary")
@@ -282,20 +292,22 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, whole, cells) of docs (id, t): a hash of the set of shingles, and its cells; an empty set has none."""
+    """(id, fp, whole, cells) of docs (id, t): the fingerprint, a hash of the set of shingles, and its cells; an empty set has none."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole, cells = np.zeros(b.num_rows, np.int64), []
+            fps, whole, cells = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
             for row, text in enumerate(b.column(1).to_pylist()):
-                hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _parts(text, shingle)), np.uint64))
+                words = _words(text)
+                fps[row] = fingerprint(words, SHINGLE)
+                hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _parts(words, shingle)), np.uint64))
                 whole[row] = np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
                 bands = least_hashes(hashes).reshape(BANDS, ROWS) if len(hashes) else []
                 cells.append([xxhash.xxh64_intdigest(x.tobytes(), no) - (1 << 63) for no, x in enumerate(bands)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole), pa.array(cells, pa.list_(pa.int64()))], ["id", "whole", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(whole), pa.array(cells, pa.list_(pa.int64()))], ["id", "fp", "whole", "cells"])
 
-    return map_text(docs, run, f"id {kind}, whole long, cells array<long>")
+    return map_text(docs, run, f"id {kind}, fp long, whole long, cells array<long>")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -415,9 +427,27 @@ def open_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, least: floa
     return sorted_.mapInArrow(_tied(least), "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def bit_links(marks: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Links (a, b) of nodes that tie each to the least of its SimHash group; ids of several texts enter by the greatest."""
+    known = marks.where(F.col("id").isNotNull()).select("id", "fp", "whole")
+    spans = known.groupBy("id").agg(*(f(c).alias(f"{c}{k}") for c in ("fp", "whole") for k, f in enumerate((F.min, F.max))))
+    torn = cut_few(spans.where("fp0 <> fp1 or whole0 <> whole1").select("id"))
+    if not torn.isEmpty():
+        torn = small(torn)
+        greatest = texts.join(torn, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
+        known = known.join(torn, "id", "left_anti").unionByName(sketches(greatest, shingle).select("id", "fp", "whole"))
+    fps = cut(known.select("fp", "whole").distinct().join(classes.select("whole", "node"), "whole").select(F.col("node").alias("id"), "fp").distinct())
+    named = fps.join(fingerprint_groups(fps, radius), "fp").where("id <> component_id")
+    return named.select(F.col("component_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int | None = None) -> DataFrame:
     """(id, component_id) of documents that are near copies: of a shingle similarity of `least` or more.
 
+    With `radius`, near copies are first of all the documents that simhash_groups joins: fingerprints within that many
+    bits, found by the grid range join. They need no further similarity; what follows adds the pairs whose fingerprints
+    lie farther apart, which edits of long passages bring about, and the links of both kinds make one component.
+
     Candidates are documents that share a cell: all ROWS least hashes of one of BANDS bands. A pair shares a band with
     the fourth power of its similarity, whatever the edit, so a pair at 0.8 is passed over with a chance of
     (1 - 0.8 ** 4) ** 32, or 5 in 10^8, and a closer one with less. The members of a
@@ -436,7 +466,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = cut(groups.select("node").distinct())
     chosen = texts.join(small(nodes, NODES), F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.max("t").alias("t"))
     sets = cut(shingle_sets(chosen, shingle))
-    links = cut(similar_links(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least))
+    links = similar_links(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least)
+    links = cut(links if radius is None else bit_links(marks, classes, texts, shingle, radius).unionByName(links))
     roots = components(links, "a", "b")
     links = links.unionByName(open_links(groups, roots, sets, least))
     roots = components(links, "a", "b")

@@ -235,3 +235,40 @@ def test_near_copies_of_a_template_family_match_brute_force(spark):
     assert 100 < len(set(root)) < len(docs) - 40
     got = near_copies(frame(spark, [(k, " ".join(w)) for k, w in enumerate(docs)]))
     assert sorted(map(tuple, got.collect())) == list(enumerate(root))
+
+
+def test_the_pipeline_joins_what_op8_joins(spark):
+    """Groups of near copies by brute force: fingerprints within 3 bits, or a similarity of 0.8 or more."""
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    base = rng.choices([f"w{x}" for x in range(3000)], k=300)
+    change = lambda words, k: [f"n{rng.randrange(10**6)}" if j in at else w for at in [set(rng.sample(range(len(words)), k))] for j, w in enumerate(words)]
+    docs = [change(base, 5) for _ in range(80)]
+    docs += [edited(rng, docs[k], ["append", "cut"][k % 2]) for k in range(0, 80, 5)]
+    rng.shuffle(docs)
+    fps = [brute_fp(" ".join(w)) for w in docs]
+    root, kinds = list(range(len(docs))), set()
+    for i in range(len(docs)):
+        for j in range(i):
+            near, like = (fps[i] ^ fps[j]).bit_count() <= 3, jaccard(docs[i], docs[j]) >= 0.8
+            kinds.add((near, like))
+            if near or like:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert (True, False) in kinds and (False, True) in kinds and 10 < len(set(root)) < len(docs) - 10
+    left = P.near_duplicates(spark, frame(spark, [(k, " ".join(w)) for k, w in enumerate(docs)]), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(root))
+
+
+def test_an_id_of_two_texts_is_no_bridge_between_groups(spark):
+    """Fingerprints that repeated phrases fix; the greater text of id 3 is near 2, the other one is near 1."""
+    import corpus_pipeline as P
+
+    phrase = lambda c: " ".join(f"{c}{k}" for k in range(7)) + " "
+    tail = lambda c: " ".join(f"{c}x{k}" for k in range(30))
+    p, q = phrase("p") * 60, phrase("q") * 60
+    assert jaccard((p + tail("a")).split(), (p + tail("b")).split()) < 0.2 and brute_fp(p + tail("a")) == brute_fp(p + tail("b"))
+    rows = [(1, p + tail("a")), (2, q + tail("c")), (3, p + tail("b")), (3, q + tail("d")), (None, p + tail("e"))]
+    left = P.near_duplicates(spark, frame(spark, rows), "").collect()
+    assert sorted(r["doc_id"] or -1 for r in left) == [-1, 1, 2]

@@ -428,7 +428,7 @@ def open_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, least: floa
 
 
 def bit_links(marks: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """Links (a, b) of nodes that tie each to the least of its SimHash group; ids of several texts enter by the greatest."""
+    """Links (a, b) of nodes that connect what simhash_groups joins; ids of several texts enter by the greatest."""
     known = marks.where(F.col("id").isNotNull()).select("id", "fp", "whole")
     spans = known.groupBy("id").agg(*(f(c).alias(f"{c}{k}") for c in ("fp", "whole") for k, f in enumerate((F.min, F.max))))
     torn = cut_few(spans.where("fp0 <> fp1 or whole0 <> whole1").select("id"))
@@ -437,8 +437,12 @@ def bit_links(marks: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
         greatest = texts.join(torn, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
         known = known.join(torn, "id", "left_anti").unionByName(sketches(greatest, shingle).select("id", "fp", "whole"))
     fps = cut(known.select("fp", "whole").distinct().join(classes.select("whole", "node"), "whole").select(F.col("node").alias("id"), "fp").distinct())
-    named = fps.join(fingerprint_groups(fps, radius), "fp").where("id <> component_id")
-    return named.select(F.col("component_id").alias("a"), F.col("id").alias("b")).distinct()
+    # Nodes of one fingerprint hang on the least of them, and these by the links of their fingerprints.
+    heads = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    ties = fps.join(heads, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    left, right = (heads.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c)) for c in "ab")
+    near = small(cut(linked(heads, radius).toDF("fp_a", "fp_b").distinct())).join(left, "fp_a").join(right, "fp_b").select("a", "b")
+    return ties.unionByName(near)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int | None = None) -> DataFrame:
@@ -469,8 +473,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = similar_links(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, least)
     links = cut(links if radius is None else bit_links(marks, classes, texts, shingle, radius).unionByName(links))
     roots = components(links, "a", "b")
-    links = links.unionByName(open_links(groups, roots, sets, least))
-    roots = components(links, "a", "b")
+    stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = components(stars.unionByName(open_links(groups, roots, sets, least)), "a", "b")
     named = classes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
     out = marks.join(named, "whole").select("id", "component_id")
     if names is not None:

@@ -521,6 +521,30 @@ def test_components_of_chains_stars_and_loops(spark):
     assert all(got.get(x, x) == find(x) for x in list(root))
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """However many the shuffle partitions; over the limit they are folded by shuffles, to the same components."""
+    rng = random.Random(2)
+    pairs = [(k, k + 1) for k in range(40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few edges", "")
+        got = components(edges, "a", "b")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        status = sc.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("few edges") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for s in stages if (x := status.getStageInfo(s)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got, many = (sorted(map(tuple, x.collect())) for x in (got, components(edges, "a", "b", few=0)))
+    assert got == many and 0 < tasks < 1000
+
+
 def test_small_is_measured(spark):
     df = cut(spark.range(10))
     plan = lambda d: d._jdf.queryExecution().analyzed().toString()
